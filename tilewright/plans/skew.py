@@ -19,8 +19,8 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE)
     one row per input partition.
     """
     counts = df.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_all") * F.lit(float(share))).select(*keys)
+    total = df.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    return counts.where(F.col("_n") > total * F.lit(float(share))).select(*keys)
 
 
 def _all_set(keys: Sequence[str]) -> Column:
