@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import quantiles, quota_sample, terms, tokens
+from tilewright.llm import groups, languages, leaks, quantiles, quota_sample, terms, tokens
 from tilewright.sources.tables import table as t
 
 QUERIES = {
@@ -11,9 +11,16 @@ QUERIES = {
     "p2_found": lambda s, d: quota_sample.p2_found(t(s, d, "training_data"), t(s, d, "sample_targets"), t(s, d, "class_table")),
     "p2_report": lambda s, d: quota_sample.p2_report(t(s, d, "training_data"), t(s, d, "sample_targets"), t(s, d, "class_table")),
     "p2_sample": lambda s, d: quota_sample.p2_sample(t(s, d, "training_data"), t(s, d, "sample_targets"), t(s, d, "class_table")),
+    "p3_found": lambda s, d: groups.p3_found(t(s, d, "training_data")),
+    "p3_split": lambda s, d: groups.p3_split(t(s, d, "training_data")),
     "p5_found": lambda s, d: terms.p5_found(t(s, d, "training_data"), t(s, d, "edits")),
     "p5_terms": lambda s, d: terms.p5_terms(t(s, d, "training_data"), t(s, d, "edits")),
     "p6_ids": lambda s, d: tokens.p6_ids(t(s, d, "documents")),
+    "p7_found": lambda s, d: leaks.p7_found(t(s, d, "documents"), t(s, d, "eval_items")),
+    "p7_tiles": lambda s, d: leaks.p7_tiles(t(s, d, "documents"), t(s, d, "eval_items")),
+    "p7_report": lambda s, d: leaks.p7_report(t(s, d, "documents"), t(s, d, "eval_items")),
+    "p8_found": lambda s, d: languages.p8_found(t(s, d, "documents")),
+    "p8_languages": lambda s, d: languages.p8_languages(t(s, d, "documents")),
 }
 
 _TERMS = """
@@ -60,6 +67,19 @@ WITH latest AS (
 )
 SELECT t.training_set, t.seg_class FROM sample_targets t LEFT JOIN have h ON t.training_set = h.training_set AND t.seg_class = h.seg_class
 WHERE coalesce(h.n, 0) < greatest(t.min_rows, round(t.target_share * t.sample_rows))
+""",
+    "p3_found": """
+WITH RECURSIVE key AS (
+  SELECT row_id, 'f' || fid AS k FROM training_data WHERE fid IS NOT NULL
+  UNION ALL SELECT row_id, 't' || type || ' ' || training_fid FROM training_data WHERE type IS NOT NULL AND training_fid >= 1
+), edge AS (
+  SELECT DISTINCT a.row_id AS u, b.u AS v FROM key a JOIN (SELECT k, min(row_id) AS u FROM key GROUP BY k) b USING (k)
+), both_ways AS (
+  SELECT u, v FROM edge WHERE u <> v UNION SELECT v, u FROM edge WHERE u <> v
+), reach AS (
+  SELECT u AS row_id, u AS r FROM both_ways UNION SELECT reach.row_id, e.v FROM reach JOIN both_ways e ON e.u = reach.r
+)
+SELECT row_id, min(r) AS group_id FROM reach GROUP BY row_id
 """,
     "p5_found": _TERMS + "SELECT field, term, 'rare' AS mark FROM marked WHERE is_rare UNION ALL SELECT field, term, 'common' FROM marked WHERE is_common",
     "p5_terms": _TERMS + "SELECT field, term, occurrences, records, is_rare, is_common FROM marked",
