@@ -8,31 +8,34 @@ their parent while node + sibling + parent hold no more than n / k. A node's
 count then stands for values somewhere below it, and a rank read off the digest
 is wrong by at most BITS * n / k (Shrivastava et al. 2004), whatever the data.
 Digests of other partitions or days merge by adding the counts of equal nodes
-and compressing again.
+and compressing again. A digest is one row: its group, its nodes and their
+counts; many digests are compressed and read at a time in numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.plans.latest import latest_rows
 from tilewright.plans.stage import materialize
 
-#: The universe has 2**BITS levels over LOW .. HIGH in powers of two: 0.06 % a level.
-BITS, LOW, HIGH = 16, -20.0, 40.0
-#: Compression: a rank is wrong by BITS / K at most, 0.2 % of the values.
-K = 8192
+#: The universe has 2**BITS levels over LOW .. HIGH in powers of two: 0.55 % a level.
+BITS, LOW, HIGH = 12, -10.0, 22.0
+#: Compression: a rank is wrong by BITS / K at most, 0.5 % of the values. A digest has no more than 3 * K nodes.
+K = 2400
+#: Nodes handled at a time.
+CHUNK_NODES = 400_000
 
 
 def quantized(v: Column) -> Column:
-    """Level of a positive, finite value; values beyond the universe go to its ends."""
+    """Level of a positive, finite value, null for others; values beyond the universe go to its ends."""
     at = F.floor((F.log2(v) - F.lit(LOW)) * F.lit(2**BITS / (HIGH - LOW)))
-    return F.least(F.greatest(at, F.lit(0)), F.lit(2**BITS - 1)).cast("int")
+    return F.when((v > 0) & (v < float("inf")), F.least(F.greatest(at, F.lit(0)), F.lit(2**BITS - 1)).cast("int"))
 
 
 def value_of(level: np.ndarray) -> np.ndarray:
@@ -40,73 +43,104 @@ def value_of(level: np.ndarray) -> np.ndarray:
     return 2.0 ** (LOW + (np.asarray(level) + 0.5) * (HIGH - LOW) / 2**BITS)
 
 
-def compressed(node: np.ndarray, count: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """A digest's nodes (ascending) and counts after compression; equal nodes are added first."""
-    node, at = np.unique(node, return_inverse=True)
-    count = np.bincount(at, count, len(node)).astype(np.int64)
-    limit = count.sum() // k
-    done_n, done_c = [], []
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if len(key) == 0:
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
+
+
+def compressed(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, node, count) of the digests of groups 0, 1, ... after compression, in order; equal nodes are added first."""
+    key, n = _added(group.astype(np.int64) << (BITS + 1) | node, count.astype(np.int64))
+    mask = (1 << (BITS + 1)) - 1
+    limit = np.bincount(key >> (BITS + 1), n).astype(np.int64) // k
+    # digests below k values stay as they are
+    can = limit[key >> (BITS + 1)] > 0
+    done = [(key[~can], n[~can])]
+    key, n = key[can], n[can]
     for depth in range(BITS, 0, -1):
-        here = node >= 2**depth
-        n, c = node[here], count[here]
-        up, inv = np.unique(n >> 1, return_inverse=True)
-        both = np.bincount(inv, c, len(up)).astype(np.int64)
-        # the parents' own counts
-        rest_n, rest_c = node[~here], count[~here]
-        i = np.searchsorted(rest_n, up)
-        hit = (i < len(rest_n)) & (rest_n[np.minimum(i, len(rest_n) - 1)] == up) if len(rest_n) else np.zeros(len(up), bool)
-        own = np.zeros(len(up), np.int64)
-        own[hit] = rest_c[i[hit]]
-        light = both + own <= limit
-        stay = ~light[inv]
-        done_n.append(n[stay])
-        done_c.append(c[stay])
-        node = np.concatenate([rest_n, up[light]])
-        count = np.concatenate([rest_c, both[light]])
-        node, at = np.unique(node, return_inverse=True)
-        count = np.bincount(at, count, len(node)).astype(np.int64)
-    node, count = np.concatenate([node, *done_n]), np.concatenate([count, *done_c])
-    order = np.argsort(node)
-    return node[order], count[order]
-
-
-def quantiles_of(node: np.ndarray, count: np.ndarray, at: Sequence[float]) -> np.ndarray:
-    """Values at the shares ``at``: nodes in post-order of their upper ends, smaller ranges first."""
+        here = (key & mask) >= 1 << depth
+        low, low_n, key, n = key[here], n[here], key[~here], n[~here]
+        if not len(low):
+            continue
+        parent = (low >> (BITS + 1) << (BITS + 1)) | ((low & mask) >> 1)
+        up, both = _added(parent, low_n)
+        if len(key):
+            i = np.minimum(np.searchsorted(key, up), len(key) - 1)
+            own = np.where(key[i] == up, n[i], 0)
+        else:
+            own = np.zeros(len(up), np.int64)
+        light = both + own <= limit[up >> (BITS + 1)]
+        stay = ~light[np.searchsorted(up, parent)]
+        done.append((low[stay], low_n[stay]))
+        key, n = _added(np.concatenate([key, up[light]]), np.concatenate([n, both[light]]))
+    key, n = _added(np.concatenate([x for x, _ in done] + [key]), np.concatenate([x for _, x in done] + [n]))
+    return key >> (BITS + 1), key & mask, n
+
+
+def quantiles_of(group: np.ndarray, node: np.ndarray, count: np.ndarray, at: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the groups 0, 1, ... (rows) at the shares ``at`` (columns), and their sizes: nodes are read by their upper ends, smaller ranges first."""
     depth = np.floor(np.log2(node)).astype(np.int64)
-    high = ((node + 1) << (BITS - depth)) - 1 - 2**BITS
-    order = np.lexsort((-depth, high))
+    high = ((node.astype(np.int64) + 1) << (BITS - depth)) - 1 - 2**BITS
+    order = np.lexsort((-depth, high, group))
     cum = np.cumsum(count[order])
-    want = np.ceil(np.asarray(at) * cum[-1]).clip(1)
-    return value_of(high[order][np.searchsorted(cum, want)])
+    size = np.bincount(group, count).astype(np.int64)
+    before = np.cumsum(size) - size
+    want = np.ceil(np.asarray(at)[None, :] * size[:, None]).clip(1) + before[:, None]
+    return value_of(high[order][np.searchsorted(cum, want)]), size
 
 
 def digests(df: DataFrame, by: Sequence[str], value: str, k: int = K) -> DataFrame:
-    """Digest rows (``by``, node, n) of each group's positive, finite values.
+    """One digest (``by``, nodes, counts) of each group's positive, finite values.
 
-    Rows are first counted by level in the partial hash aggregate, so a group
-    brings at most 2**BITS rows to the task that compresses it, however many
-    values it has. Null, NaN, infinite, zero and negative values don't count;
-    a null in ``by`` is a group of its own.
+    Null, NaN, infinite, zero and negative values don't count, and groups
+    without others have no digest; a null in ``by`` is a group of its own.
     """
-    v = F.col(value).cast("double")
-    leaves = df.where((v > 0) & (v < float("inf"))).groupBy(*by, (quantized(v) + F.lit(2**BITS)).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    return _compress(leaves, by, k)
+    return of_nodes(df.select(*by, (quantized(F.col(value).cast("double")) + F.lit(2**BITS)).alias("node")).where(F.col("node").isNotNull()), by, k)
+
+
+def of_nodes(df: DataFrame, by: Sequence[str], k: int = K) -> DataFrame:
+    """Digests of rows (``by``, node). Rows are counted by node in the partial hash aggregate, so a group brings at most 2**BITS rows to the task that compresses it, however many values it has."""
+    return _compress(df.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n")), by, k)
 
 
 def merged(digest: DataFrame, by: Sequence[str], k: int = K) -> DataFrame:
-    """Digests of coarser groups ``by``: counts of equal nodes are added, then compressed. The error stays BITS / k of all values for each merge level."""
-    return _compress(digest.groupBy(*by, "node").agg(F.sum("n").alias("n")), by, k)
+    """Digests of coarser groups ``by``: counts of equal nodes are added, then compressed. A rank stays wrong by BITS / k at most."""
+    flat = digest.select(*by, F.explode(F.arrays_zip("nodes", "counts")).alias("e")).select(*by, F.col("e.nodes").alias("node"), F.col("e.counts").alias("n"))
+    return _compress(flat.groupBy(*by, "node").agg(F.sum("n").alias("n")), by, k)
 
 
 def _compress(nodes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     by = list(by)
     kinds = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in by)
+    # lists of at most 2**(BITS + 1) nodes
+    whole = nodes.groupBy(*by).agg(F.collect_list(F.struct(F.col("node").cast("int").alias("node"), "n")).alias("e")).select(*by, "e.node", "e.n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, group, node, n in _chunks(batches, "node", "n"):
+            g, node, n = compressed(group, node, n, k)
+            ends = pa.array(np.searchsorted(g, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(node, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *lists], names=[*by, "nodes", "counts"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n = compressed(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), k)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(node) for c in by}, "node": node, "n": n})[[*by, "node", "n"]]
+    return whole.mapInArrow(run, f"{kinds}, nodes array<int>, counts array<bigint>")
 
-    return nodes.select(*by, F.col("node").cast("bigint").alias("node"), "n").groupBy(*by).applyInPandas(one, f"{kinds}, node bigint, n bigint")
+
+def _chunks(batches: Iterator[pa.RecordBatch], nodes: str, counts: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with about CHUNK_NODES nodes together: the rows, and of each node its row, node and count."""
+    for b in batches:
+        total = np.concatenate(([0], np.cumsum(np.diff(b.column(nodes).offsets.to_numpy()))))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK_NODES, "right")) - 1)
+            part = b.slice(at, to - at)
+            group = np.repeat(np.arange(part.num_rows), np.diff(total[at : to + 1]))
+            yield part, group, part.column(nodes).flatten().to_numpy(), part.column(counts).flatten().to_numpy()
+            at = to
 
 
 def percentiles(digest: DataFrame, by: Sequence[str], pcts: Sequence[int]) -> DataFrame:
@@ -114,40 +148,56 @@ def percentiles(digest: DataFrame, by: Sequence[str], pcts: Sequence[int]) -> Da
     by = list(by)
     kinds = ", ".join(f"`{c}` {digest.schema[c].dataType.simpleString()}" for c in by)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(np.int64)
-        v = quantiles_of(pdf["node"].to_numpy(np.int64), n, [p / 100 for p in pcts])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(pcts) for c in by}, "pct": list(pcts), "value": v, "n": n.sum()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, group, node, n in _chunks(batches, "nodes", "counts"):
+            v, size = quantiles_of(group, node, n, [p / 100 for p in pcts])
+            row = pa.array(np.repeat(np.arange(b.num_rows), len(pcts)))
+            cols = [pa.array(np.tile(np.array(pcts, np.int32), b.num_rows)), pa.array(v.ravel()), pa.array(np.repeat(size, len(pcts)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in by), *cols], names=[*by, "pct", "value", "n"])
+
+    return digest.select(*by, "nodes", "counts").mapInArrow(run, f"{kinds}, pct int, value double, n bigint")
 
-    return digest.groupBy(*by).applyInPandas(one, f"{kinds}, pct int, value double, n bigint")
 
+MEASURES = ("height", "crown_area")
+_EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
-def tree_measures(trees: DataFrame, classes: DataFrame) -> DataFrame:
-    """batch_id, tree_class, measure, v: the latest row of each fid, if its class is the label of a tree.
+
+def tree_nodes(trees: DataFrame, classes: DataFrame) -> DataFrame:
+    """batch_id, tree (the class's id), measure (place in MEASURES), node: from the latest row of each fid, if its class is the label of a tree.
 
     Labels count without surrounding white space, in lower case. Rows without
-    fid are left out. Ties on delivered_at go to the smallest values.
+    fid are left out. Ties on delivered_at go to the smallest values. Labels
+    and values become small integers before the shuffle on fid. ``classes`` is
+    a lookup of fixed size.
     """
-    label = F.lower(F.regexp_replace("class", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    t = trees.select("fid", "batch_id", label.alias("tree_class"), "height", "crown_area", "delivered_at")
-    t = latest_rows(t, "fid", "delivered_at", ["batch_id", "tree_class", "height", "crown_area"])
-    known = classes.where("is_tree").select(F.lower(F.regexp_replace("label", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("tree_class")).distinct()
-    t = t.join(known, "tree_class", "left_semi")
-    both = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in ("height", "crown_area")))).alias("m")
-    return t.select("batch_id", "tree_class", both).select("batch_id", "tree_class", "m.measure", "m.v")
+    known = _labels(classes).withColumnRenamed("tree_class", "_label")
+    t = trees.select("fid", "batch_id", F.lower(F.regexp_replace("class", _EDGES, "")).alias("_label"), *(quantized(F.col(m).cast("double")).alias(m) for m in MEASURES), "delivered_at")
+    t = t.join(F.broadcast(known), "_label", "left").drop("_label")
+    t = latest_rows(t, "fid", "delivered_at", ["batch_id", "tree", *MEASURES]).where(F.col("tree").isNotNull())
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), (F.col(m) + F.lit(2**BITS)).alias("node")) for i, m in enumerate(MEASURES)))).alias("m")
+    return t.select("batch_id", "tree", both).select("batch_id", "tree", "m.measure", "m.node").where(F.col("node").isNotNull())
+
+
+def _labels(classes: DataFrame) -> DataFrame:
+    return classes.where("is_tree").groupBy(F.lower(F.regexp_replace("label", _EDGES, "")).alias("tree_class")).agg(F.min("id").cast("int").alias("tree"))
 
 
 def batch_percentiles(trees: DataFrame, classes: DataFrame, pcts: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """Percentiles by batch, class and measure, and by class and measure out of the merged digests of the batches."""
-    by = ["batch_id", "tree_class", "measure"]
-    d = materialize(digests(tree_measures(trees, classes), by, "v"), "p1-digests")
+    """Percentiles by batch_id, tree and measure, and by tree and measure out of the merged digests of the batches."""
+    by = ["batch_id", "tree", "measure"]
+    d = materialize(of_nodes(tree_nodes(trees, classes), by), "p1-digests")
     return percentiles(d, by, pcts), percentiles(merged(d, by[1:]), by[1:], pcts)
 
 
+def _named(df: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    named = F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1).alias("measure")
+    return df.join(F.broadcast(_labels(classes)), "tree").select("batch_id", "tree_class", named, *columns)
+
+
 def p1_percentiles(trees: DataFrame, classes: DataFrame, pcts: Sequence[int] = (10, 25, 50, 75, 90, 99)) -> DataFrame:
     """All percentiles: batch_id (null: over all batches), tree_class, measure, pct, value, n."""
     own, every = batch_percentiles(trees, classes, pcts)
-    return own.unionByName(every.withColumn("batch_id", F.lit(None).cast(own.schema["batch_id"].dataType)))
+    return _named(own.unionByName(every.withColumn("batch_id", F.lit(None).cast(own.schema["batch_id"].dataType))), classes, "pct", "value", "n")
 
 
 def p1_found(trees: DataFrame, classes: DataFrame, least: int = 100, low: float = 0.6, high: float = 1.7) -> DataFrame:
@@ -157,6 +207,6 @@ def p1_found(trees: DataFrame, classes: DataFrame, least: int = 100, low: float
     Empty tables give no rows.
     """
     own, every = batch_percentiles(trees, classes, (50, 90))
-    both = own.where((F.col("n") >= least) & F.col("batch_id").isNotNull()).join(every.select("tree_class", "measure", "pct", F.col("value").alias("whole")), ["tree_class", "measure", "pct"])
+    both = own.where((F.col("n") >= least) & F.col("batch_id").isNotNull()).join(every.select("tree", "measure", "pct", F.col("value").alias("whole")), ["tree", "measure", "pct"])
     ratio = F.col("value") / F.col("whole")
-    return both.where((ratio <= low) | (ratio >= high)).select("batch_id", "tree_class", "measure", "pct")
+    return _named(both.where((ratio <= low) | (ratio >= high)), classes, "pct")
