@@ -28,6 +28,7 @@ BLOCK_CHARS = 20_000_000
 CHUNK_WORDS = 500_000
 _BASE = 0xD1342543DE82EF95
 _words = re.compile(r"[^\W_]+").findall
+_space = re.compile(r"\s")
 
 
 def words_of(text: str) -> list[str]:
@@ -35,6 +36,21 @@ def words_of(text: str) -> list[str]:
     return _words(unicodedata.normalize("NFKC", text).lower())
 
 
+def pieces(text: str, most: int = 1_000_000) -> Iterator[str]:
+    """The text in pieces of about ``most`` characters, cut behind white space: words lie in one piece."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most))
+        if cut < at:
+            cut = _space.search(text, at + most)
+            if cut is None:
+                break
+            cut = cut.start()
+        yield text[at : cut + 1]
+        at = cut + 1
+    yield text[at:]
+
+
 class _Ids(dict):
     def __missing__(self, key: str) -> int:
         return -1
@@ -152,9 +168,9 @@ def tiled(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, block_
                 some: list[np.ndarray] = []
                 first, n = 0, 0
                 for i in range(b.num_rows):
-                    w = words_of(b.column(1)[i].as_py())
-                    some.append(np.fromiter(map(get, w), np.int64, len(w)))
-                    n += len(w)
+                    ids = [np.fromiter(map(get, w), np.int64, len(w)) for w in map(words_of, pieces(b.column(1)[i].as_py()))]
+                    some.append(np.concatenate(ids))
+                    n += len(some[-1])
                     if n >= CHUNK_WORDS or i + 1 == b.num_rows:
                         out += _matches(ix, some, first)
                         some, first, n = [], i + 1, 0

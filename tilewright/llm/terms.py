@@ -19,10 +19,10 @@ def terms_of(text: Column) -> Column:
 def term_counts(fields: Sequence[tuple[str, DataFrame, str]], rare: int = 2, common: float = 0.2) -> DataFrame:
     """field, term, occurrences, records, is_rare, is_common for each (name, table, column).
 
-    A record is a row as delivered. The terms of a record are sorted, so the
-    first of each run of equal terms counts the record: no second grouping by
-    record. Counts are combined by the partial hash aggregate before the
-    shuffle, so a term in a third of all rows costs one row a partition. A term
+    A record is a row as delivered. The terms of a record are sorted, so its
+    counts are the lengths of runs: no grouping by record. Counts are combined
+    by the partial hash aggregate before the shuffle, so a term in a third of
+    all rows costs one row a partition. A term
     is rare if at most ``rare`` records hold it, common if at least the share
     ``common`` of the field's records that have terms do; it can be both in a
     small field.
@@ -31,13 +31,16 @@ def term_counts(fields: Sequence[tuple[str, DataFrame, str]], rare: int = 2, com
     for name, df, column in fields:
         one = df.select(F.lit(name).alias("field"), terms_of(F.col(column)).alias("t")).where(F.size("t") > 0)
         rows = one if rows is None else rows.unionByName(one)
+    # a record's terms and counts: where each run of equal terms starts, and how far the next one is
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("field", "t", starts.alias("s"))
+    each = F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("bigint").alias("n")))
     # one marker a record, a null term, carries the number of records that have terms
-    each = F.transform("t", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.element_at("t", F.when(i == 0, F.lit(1)).otherwise(i)) != t)).cast("bigint").alias("first")))
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("first")))
-    flat = rows.select("field", F.explode(F.concat(marker, each)).alias("e")).select("field", "e.term", "e.first")
-    counts = flat.groupBy("field", "term").agg(F.count(F.lit(1)).alias("occurrences"), F.sum("first").alias("records"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n")))
+    flat = rows.select("field", F.explode(F.concat(marker, each)).alias("e")).select("field", "e.term", "e.n")
+    counts = flat.groupBy("field", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     # as many rows as fields
-    total = F.broadcast(flat.where(F.col("term").isNull()).groupBy("field").agg(F.sum("first").alias("of")))
+    total = F.broadcast(flat.where(F.col("term").isNull()).groupBy("field").agg(F.count(F.lit(1)).alias("of")))
     out = counts.where(F.col("term").isNotNull()).join(total, "field")
     return out.select("field", "term", "occurrences", "records", (F.col("records") <= rare).alias("is_rare"), (F.col("records") >= F.lit(common) * F.col("of")).alias("is_common"))
 
