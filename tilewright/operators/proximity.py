@@ -113,12 +113,12 @@ def region_candidates(points: DataFrame, regions: DataFrame, spread: str = "fid"
     return got.where(F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, point_key: str = "fid", region_key: str = "seg") -> DataFrame:
+def containing_regions(points: DataFrame, regions: DataFrame, point_key: str = "fid", region_key: str = "seg", closed: bool = False) -> DataFrame:
     """``point_key`` and ``region_key`` of every point inside a region's outline and outside its holes.
 
     ``points`` holds ``x`` and ``y``; ``regions`` is from :func:`with_rings`.
-    Points on an outline may go either way. Even-odd rule, in numpy over all
-    edges of a batch of candidates.
+    Points on an outline may go either way; with ``closed`` they are inside.
+    Even-odd rule, in numpy over all edges of a batch of candidates.
     """
     c = region_candidates(points.select(point_key, "x", "y"), regions, point_key).select(point_key, region_key, "x", "y", "xs", "ys", "ends")
     kinds = {f.name: f.dataType.simpleString() for f in c.schema.fields}
@@ -126,13 +126,13 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_key: str = "
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.select([point_key, region_key]).filter(pa.array(points_in_rings(b)))
+                yield b.select([point_key, region_key]).filter(pa.array(points_in_rings(b, closed)))
 
     return c.mapInArrow(inside, f"`{point_key}` {kinds[point_key]}, `{region_key}` {kinds[region_key]}")
 
 
-def points_in_rings(b: pa.RecordBatch) -> np.ndarray:
-    """For each row whether (x, y) is inside the rings xs, ys that end at ends."""
+def points_in_rings(b: pa.RecordBatch, closed: bool = False) -> np.ndarray:
+    """For each row whether (x, y) is inside the rings xs, ys that end at ends, or, if ``closed``, within a billionth of their lines."""
     xs, ys, ends = b.column("xs"), b.column("ys"), b.column("ends")
     n = np.diff(xs.offsets.to_numpy())
     vx, vy = xs.flatten().to_numpy(), ys.flatten().to_numpy()
@@ -149,7 +149,14 @@ def points_in_rings(b: pa.RecordBatch) -> np.ndarray:
     cross = (vy > py) != (y2 > py)
     with np.errstate(divide="ignore", invalid="ignore"):
         left = px < (x2 - vx) * (py - vy) / (y2 - vy) + vx
-    return np.bincount(row[cross & left], minlength=b.num_rows) % 2 == 1
+    inside = np.bincount(row[cross & left], minlength=b.num_rows) % 2 == 1
+    if closed:
+        dx, dy = x2 - vx, y2 - vy
+        size = np.maximum(np.abs(dx), np.abs(dy))
+        far = np.abs(dx * (py - vy) - dy * (px - vx)) > 1e-9 * size * np.maximum(size, 1)
+        along = (np.minimum(vx, x2) <= px) & (px <= np.maximum(vx, x2)) & (np.minimum(vy, y2) <= py) & (py <= np.maximum(vy, y2))
+        inside |= np.bincount(row[along & ~far], minlength=b.num_rows) > 0
+    return inside
 
 
 def p4_found(points: DataFrame, segments: DataFrame, tiles: DataFrame, radius: float = 2.0) -> DataFrame:

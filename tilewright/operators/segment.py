@@ -63,7 +63,7 @@ def crowns(chm: DataFrame, tops: DataFrame, least: float = 0.3, width: float = 1
 
     def one(key: tuple, c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(t):
-            return pd.DataFrame({"tile_name": [], "px": [], "py": [], "tree_id": []})
+            return pd.DataFrame({"tile_name": np.array([], object), "px": np.array([], np.int32), "py": np.array([], np.int32), "tree_id": np.array([], np.int64)})
         x0, y0 = c["px"].min(), c["py"].min()
         h = np.full((c["py"].max() - y0 + 1, c["px"].max() - x0 + 1), -np.inf)
         h[c["py"] - y0, c["px"] - x0] = c[band].fillna(-np.inf)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.operators.proximity import _cell, _levels, _met, region_candidates
+from tilewright.operators.proximity import _cell, _levels, _met, containing_regions, region_candidates
 from tilewright.plans.stage import materialize
 
 _BOX = ("minx", "miny", "maxx", "maxy")
@@ -21,21 +21,26 @@ _BOX = ("minx", "miny", "maxx", "maxy")
 def boxes_meet(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
     """Pairs of rectangles that intersect; the columns of ``b`` get the suffix _b. Each pair once.
 
-    Both sides are put in cells as wide as the larger rectangles of ``b`` need
-    (four cells each at most); a rectangle of ``a`` that spans many such cells
-    is exploded over them. A pair meets in the cell that holds the lower left
-    corner of its intersection, so none is repeated.
+    A rectangle's level is the power of two that its longer side needs. A pair
+    meets on cells as wide as the larger of its two levels, where each of them
+    lies in four cells at most, so a large rectangle is never cut into small
+    cells. It meets in the cell that holds the lower left corner of the
+    intersection, so no pair is repeated.
     """
-    r, levels = _levels(b.withColumnsRenamed({c: f"{c}_b" for c in b.columns}).withColumnsRenamed({f"{c}_b": c for c in _BOX}))
-    w = F.pow(F.lit(2.0), F.col("lv"))
-    spans = lambda df: df.withColumn("cx", F.explode(F.sequence(_cell(F.col("minx"), w), _cell(F.col("maxx"), w)))).withColumn("cy", F.explode(F.sequence(_cell(F.col("miny"), w), _cell(F.col("maxy"), w))))
-    right = spans(r).withColumnsRenamed({c: f"{c}_b" for c in _BOX})
-    left = spans(a.withColumn("lv", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))))
-    got = _met(left, right, ["lv", "cx", "cy"], "minx")
+    r, of_b = _levels(b.withColumnsRenamed({c: f"{c}_b" for c in b.columns}).withColumnsRenamed({f"{c}_b": c for c in _BOX}))
+    left, of_a = _levels(a)
+    among = lambda ns: F.array(*map(F.lit, ns)) if ns else F.array().cast("array<int>")
+    w = F.pow(F.lit(2.0), F.col("at"))
+    ends = lambda c: F.explode(F.array_distinct(F.array(_cell(F.col(f"min{c}"), w), _cell(F.col(f"max{c}"), w)))).alias(f"c{c}")
+    spans = lambda df: df.select("*", ends("x")).select("*", ends("y"))
+    right = spans(r.withColumn("at", F.explode(F.array_distinct(F.transform(among(of_a), lambda k: F.greatest(k, F.col("lv")))))))
+    right = right.withColumnsRenamed({c: f"{c}_b" for c in _BOX})
+    left = left.withColumnRenamed("lv", "_own").withColumn("lv", F.explode(among(of_b))).withColumn("at", F.greatest("_own", "lv")).drop("_own")
+    got = _met(spans(left), right, ["lv", "at", "cx", "cy"], "minx")
     lo = lambda c: F.greatest(F.col(f"min{c}"), F.col(f"min{c}_b"))
     hi = lambda c: F.least(F.col(f"max{c}"), F.col(f"max{c}_b"))
     meet = (lo("x") < hi("x")) & (lo("y") < hi("y")) if strict else (lo("x") <= hi("x")) & (lo("y") <= hi("y"))
-    return got.where(meet & (_cell(lo("x"), w) == F.col("cx")) & (_cell(lo("y"), w) == F.col("cy"))).drop("lv", "cx", "cy")
+    return got.where(meet & (_cell(lo("x"), w) == F.col("cx")) & (_cell(lo("y"), w) == F.col("cy"))).drop("lv", "at", "cx", "cy")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, spread: str) -> DataFrame:
@@ -107,15 +112,24 @@ def rasterized(features: DataFrame, width: float = 1.0) -> DataFrame:
     return e.groupBy("tile_name", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).agg(F.min("poly_id").alias("poly_id"))
 
 
+def semi_polygons(points: DataFrame, rings: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Points inside any, or outside all, of the polygons of :func:`proximity.with_rings`; closed."""
+    r = rings.select(F.monotonically_increasing_id().alias("_zone_id"), *_BOX, "xs", "ys", "ends")
+    hit = containing_regions(points.select(key, "x", "y"), r, key, "_zone_id", closed=True).select(key).distinct()
+    return points.join(hit, key, "left_semi" if inside else "left_anti")
+
+
 def merged_by_zone(sources: dict[str, DataFrame], zones: DataFrame, zone_field: str, key: str = "fid", outside: str = "<none>") -> DataFrame:
     """Point features of each zone from the zone's own source, and from ``sources[outside]`` what lies in no zone; ids 1..n by tile.
 
     A source is named after its zone. Columns that a source lacks are null.
-    Zones are rectangles, closed.
+    Zones are rectangles, or polygons if they have the columns of
+    :func:`proximity.with_rings`; both are closed.
     """
+    semi = semi_polygons if "xs" in zones.columns else semi_points
     parts = None
     for name, df in sources.items():
-        one = semi_points(df, zones, key, inside=False) if name == outside else semi_points(df, zones.where(F.col(zone_field) == name), key)
+        one = semi(df, zones, key, inside=False) if name == outside else semi(df, zones.where(F.col(zone_field) == name), key)
         one = one.withColumn("_zone", F.lit(name))
         parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
     return renumbered(parts, ["_zone", key]).withColumnRenamed("_zone", zone_field)
