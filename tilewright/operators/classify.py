@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.proximity import region_candidates
 from tilewright.operators.spatial import boxes_meet
+from tilewright.plans.skew import broadcast_if_small
 
 #: Schemas of the empty layers that the constructors make.
 LAYERS = {
@@ -115,8 +116,8 @@ def edit_hits(edits: DataFrame, segments: DataFrame, key: Sequence[str]) -> Data
 
 
 def class_ids(df: DataFrame, classes: DataFrame, code: str = "seg_class", out: str = "class_id") -> DataFrame:
-    """With the class's id; null for codes that the table lacks. The class table is a small lookup."""
-    return df.join(F.broadcast(classes.select(F.col("code").alias(code), F.col("id").alias(out))), code, "left")
+    """With the class's id; null for codes that the table lacks."""
+    return df.join(broadcast_if_small(classes.select(F.col("code").alias(code), F.col("id").alias(out))), code, "left")
 
 
 def regrouped(c: str | Column, reclass: Mapping[str, Sequence[str]]) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.skew import broadcast_if_small
+
 CELL = ("px", "py")
 
 
@@ -123,8 +125,8 @@ def band_range(df: DataFrame, bands: Sequence[str]) -> DataFrame:
 def crop(df: DataFrame, tiles: DataFrame, bounds: str, width: float = 1.0) -> DataFrame:
     """Cells whose centre lies in a tile's ``bounds`` (core, buff or nbuff), under the tile's name: with ``buff`` a cell appears in every tile that needs it.
 
-    The tile scheme is small and fixed, and each cell finds its tiles in the
-    grid of bounds by equality on coarse cells, not by a range join.
+    Each cell finds its tiles in the grid of bounds by equality on coarse cells,
+    not by a range join; a small scheme is broadcast.
     """
     side = tiles.select(F.max(F.greatest(F.col(f"{bounds}.maxx") - F.col(f"{bounds}.minx"), F.col(f"{bounds}.maxy") - F.col(f"{bounds}.miny")))).scalar()
     t = tiles.select(F.col("tile_name").alias("_tile"), f"{bounds}.*").withColumn("_w", side)
@@ -133,7 +135,7 @@ def crop(df: DataFrame, tiles: DataFrame, bounds: str, width: float = 1.0) -> Da
     x, y = ((F.col(c) + 0.5) * width for c in CELL)
     p = df.withColumns({"_x": x, "_y": y}).withColumn("_side", side)
     p = p.withColumns({"_cx": F.floor(F.col("_x") / F.col("_side")), "_cy": F.floor(F.col("_y") / F.col("_side"))})
-    got = p.join(F.broadcast(t), ["_cx", "_cy"]).where((F.col("_x") >= F.col("minx")) & (F.col("_x") < F.col("maxx")) & (F.col("_y") >= F.col("miny")) & (F.col("_y") < F.col("maxy")))
+    got = p.join(broadcast_if_small(t), ["_cx", "_cy"]).where((F.col("_x") >= F.col("minx")) & (F.col("_x") < F.col("maxx")) & (F.col("_y") >= F.col("miny")) & (F.col("_y") < F.col("maxy")))
     return got.select(F.col("_tile").alias("tile_name"), *(c for c in df.columns if c != "tile_name"))
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.proximity import _cell, _levels, _met, containing_regions, region_candidates
+from tilewright.plans.rank import ranked
 from tilewright.plans.stage import materialize
 
 _BOX = ("minx", "miny", "maxx", "maxy")
@@ -73,16 +74,16 @@ def semi_boxes(df: DataFrame, boxes: DataFrame, keys: Sequence[str], inside: boo
 
 
 def renumbered(df: DataFrame, order: Sequence[str | Column], key: str = "poly_id") -> DataFrame:
-    """1..n within each tile by ``order``."""
-    return df.withColumn(key, F.row_number().over(Window.partitionBy("tile_name").orderBy(*order)).cast("int"))
+    """1..n within each tile by ``order``, also in tiles that hold a large part of the rows."""
+    out = ranked(df, ["tile_name"], order, key)
+    return out.withColumn(key, F.col(key).cast("int"))
 
 
 def renumbered_after(df: DataFrame, kept: Column, order: Sequence[str | Column], key: str = "poly_id") -> DataFrame:
     """Rows that aren't ``kept`` get the numbers after their tile's greatest kept one."""
-    w = Window.partitionBy("tile_name")
-    top = F.coalesce(F.max(F.when(kept, F.col(key))).over(w), F.lit(0))
-    n = F.row_number().over(Window.partitionBy("tile_name", kept).orderBy(*order))
-    return df.withColumn(key, F.when(kept, F.col(key)).otherwise(top + n).cast("int"))
+    top = df.groupBy("tile_name").agg(F.coalesce(F.max(F.when(kept, F.col(key))), F.lit(0)).alias("_top"))
+    n = ranked(df.withColumn("_kept", kept), ["tile_name", "_kept"], order, "_rank").join(top, "tile_name")
+    return n.withColumn(key, F.when(F.col("_kept"), F.col(key)).otherwise(F.col("_top") + F.col("_rank")).cast("int")).select(*df.columns)
 
 
 def tile_rectangles(polys: DataFrame, tiles: DataFrame, key: str) -> DataFrame:

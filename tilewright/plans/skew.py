@@ -23,6 +23,11 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE)
     return counts.where(F.col("_n") > total * F.lit(float(share))).select(*keys)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has no more than ``rows`` rows, which a small job counts; else as it is, and the planner joins it by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _all_set(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.plans.skew import broadcast_if_small
+
 #: Rows that a file's reader hands on at a time.
 CHUNK = 200_000
 
@@ -255,4 +257,4 @@ def write_archives(df: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
         os.replace(part, os.path.join(folder, name))
         return pd.DataFrame({"archive": [name], "tiles": [pdf["tile_name"].nunique()], "bytes": [len(buf.getvalue())]})
 
-    return df.join(F.broadcast(plan.select("tile_name", "archive")), "tile_name").groupBy("archive").applyInPandas(one, "archive string, tiles bigint, bytes bigint")
+    return df.join(broadcast_if_small(plan.select("tile_name", "archive")), "tile_name").groupBy("archive").applyInPandas(one, "archive string, tiles bigint, bytes bigint")
