@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.raster import jitter
@@ -172,24 +172,29 @@ def tin_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, px: np.ndarray, py:
     return out
 
 
-def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int = 4) -> DataFrame:
-    """Bare earth of ``cells`` (tile_name, px, py) out of ground ``points`` (tile_name, x, y, z): a triangulated surface by tile.
+def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int = 4, block: int = 64, halo: int = 32) -> DataFrame:
+    """Bare earth of ``cells`` (tile_name, px, py) out of ground ``points`` (tile_name, x, y, z): a triangulated surface.
 
-    A tile with fewer than ``least`` distinct ground points, and cells outside
-    their hull, are null. A tile's points, buffered by the caller, meet in one
-    task; of points at one place the lowest counts.
+    A tile with fewer than ``least`` distinct ground points is null, and so are
+    cells outside their block's hull. The surface is made in blocks of ``block``
+    cells with the points of ``halo`` more cells around, whatever tile these are
+    in, so a task holds a block's area and tiles make no seams; gaps wider than
+    the halo may be bridged differently than by one triangulation of all. Of
+    points at one place the lowest counts.
     """
+    enough = points.select("tile_name", "x", "y").distinct().groupBy("tile_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("tile_name")
+    p = points.join(enough, "tile_name", "left_semi").groupBy("x", "y").agg(F.min("z").cast("double").alias("z"))
+    for a in "xy":
+        at = F.floor(F.col(a) / float(width))
+        p = p.withColumn(f"b{a}", F.explode(F.sequence(F.floor((at - halo) / block), F.floor((at + halo) / block))))
+    c = cells.select("tile_name", "px", "py").join(enough.withColumn("_ok", F.lit(True)), "tile_name", "left")
+    c = c.withColumns({f"b{a}": F.floor(F.col(f"p{a}") / block) for a in "xy"})
 
     def one(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c[["tile_name", "px", "py"]].reset_index(drop=True)
-        p = p.groupby(["x", "y"], as_index=False)["z"].min()
         dem = np.full(len(c), np.nan)
-        if len(p) >= least and len(c):
-            dem = tin_surface(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(float), (c["px"].to_numpy() + 0.5) * width, (c["py"].to_numpy() + 0.5) * width)
-        return c.assign(dem=pd.array(np.where(np.isnan(dem), None, dem), dtype="Float64"))
+        some = np.flatnonzero(c["_ok"].notna())
+        if len(p) >= least and len(some):
+            dem[some] = tin_surface(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(float), (c["px"].to_numpy()[some] + 0.5) * width, (c["py"].to_numpy()[some] + 0.5) * width)
+        return pd.DataFrame({"tile_name": c["tile_name"].to_numpy(object), "px": c["px"].to_numpy(np.int32), "py": c["py"].to_numpy(np.int32), "dem": pd.array(np.where(np.isnan(dem), None, dem), dtype="Float64")})
 
-    return points.select("tile_name", "x", "y", "z").groupBy("tile_name").cogroup(cells.select("tile_name", "px", "py").groupBy("tile_name")).applyInPandas(one, "tile_name string, px int, py int, dem double")
-
-
-def smallest_rank(by: Sequence[str], order: Sequence[str | Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return p.groupBy("bx", "by").cogroup(c.groupBy("bx", "by")).applyInPandas(one, "tile_name string, px int, py int, dem double")

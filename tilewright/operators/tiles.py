@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,7 +239,3 @@ def chunk_plan(tiles: DataFrame, size: int, prefix: str) -> DataFrame:
     total = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / size)
     c = tiles.select("tile_name", F.ceil(n / size).cast("int").alias("chunk"), total.cast("int").alias("of"))
     return c.select("tile_name", "chunk", F.format_string(prefix + "%dof%d.zip", "chunk", "of").alias("archive"))
-
-
-def box_of(c: str) -> Column:
-    return F.struct(*(F.col(f"{c}.{k}") for k in ("minx", "miny", "maxx", "maxy")))
