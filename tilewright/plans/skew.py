@@ -55,3 +55,9 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: C
     on = reduce(lambda a, b: a & b, (F.col(f"_k_{k}") == F.col(f"_r_{k}") for k in keys), F.col("_salt") == F.col("_r_salt"))
     out = out.join(side, on, "left").withColumn("_got", F.coalesce("_hot", "_cold"))
     return out.select(*df.columns, *(F.col("_got")[v].alias(v) for v in values))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key`` if the scan has fewer partitions than the cluster has cores, as for heavy work on a single small file; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
