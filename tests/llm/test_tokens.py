@@ -65,5 +65,5 @@ def test_p6_ids(spark, reference, monkeypatch):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "x"), (1, "Hello world"), (4, "long text " * 150_000), (5, "<|endoftext|>")]
     df = spark.createDataFrame([(a, b, [1], "y") for a, b in rows], "doc_id long, text string, ids array<int>, _text string").coalesce(1)
     got = [(r.doc_id, r.ids) for r in tk.p6_ids(df).collect()]
-    assert got == [(a, reference(b or "")) for a, b in rows]
+    assert sorted(got, key=str) == sorted(((a, reference(b or "")) for a, b in rows), key=str)
     assert tk.p6_ids(df.limit(0)).collect() == []

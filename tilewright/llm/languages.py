@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.plans.skew import spread
+
 #: Paragraphs with fewer letters don't count.
 MIN_LETTERS = 80
 #: n-grams of these sizes are hashed into 2**BITS buckets.
@@ -216,7 +218,7 @@ def identified(documents: DataFrame, model: Model | None = None) -> DataFrame:
                     first, some, owners, chars = i + 1, [], [], 0
 
     d = documents.select("doc_id", named_language(F.col("lang")).alias("stated"), F.col("text").cast("string").alias("_text"))
-    return d.mapInArrow(run, f"doc_id {kind}, stated string, lang string, confidence double, letters bigint, other array<struct<para:int,lang:string,confidence:double>>")
+    return spread(d, "doc_id").mapInArrow(run, f"doc_id {kind}, stated string, lang string, confidence double, letters bigint, other array<struct<para:int,lang:string,confidence:double>>")
 
 
 def _by_document(m: Model, some: list[str], owners: list[int]):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.skew import spread
+
 #: A passage has at least so many words; a shorter item must be there whole.
 MIN_WORDS = 12
 #: Items go to the executors in blocks of so many characters at most; the documents are read once for each block.
@@ -157,7 +159,7 @@ def tiled(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, block_
     spark = documents.sparkSession
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((documents, "doc_id"), (items, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, tiles int, words int, share double, longest int"
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    docs = spread(documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()), "doc_id")
 
     def over(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.plans.latest import latest_rows
+from tilewright.plans.skew import broadcast_if_small
 from tilewright.plans.stage import materialize
 
 #: The universe has 2**BITS levels over LOW .. HIGH in powers of two: 0.55 % a level.
@@ -167,12 +168,11 @@ def tree_nodes(trees: DataFrame, classes: DataFrame) -> DataFrame:
 
     Labels count without surrounding white space, in lower case. Rows without
     fid are left out. Ties on delivered_at go to the smallest values. Labels
-    and values become small integers before the shuffle on fid. ``classes`` is
-    a lookup of fixed size.
+    and values become small integers before the shuffle on fid.
     """
     known = _labels(classes).withColumnRenamed("tree_class", "_label")
     t = trees.select("fid", "batch_id", F.lower(F.regexp_replace("class", _EDGES, "")).alias("_label"), *(quantized(F.col(m).cast("double")).alias(m) for m in MEASURES), "delivered_at")
-    t = t.join(F.broadcast(known), "_label", "left").drop("_label")
+    t = t.join(broadcast_if_small(known), "_label", "left").drop("_label")
     t = latest_rows(t, "fid", "delivered_at", ["batch_id", "tree", *MEASURES]).where(F.col("tree").isNotNull())
     both = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), (F.col(m) + F.lit(2**BITS)).alias("node")) for i, m in enumerate(MEASURES)))).alias("m")
     return t.select("batch_id", "tree", both).select("batch_id", "tree", "m.measure", "m.node").where(F.col("node").isNotNull())
@@ -191,7 +191,7 @@ def batch_percentiles(trees: DataFrame, classes: DataFrame, pcts: Sequence[int])
 
 def _named(df: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
     named = F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1).alias("measure")
-    return df.join(F.broadcast(_labels(classes)), "tree").select("batch_id", "tree_class", named, *columns)
+    return df.join(broadcast_if_small(_labels(classes)), "tree").select("batch_id", "tree_class", named, *columns)
 
 
 def p1_percentiles(trees: DataFrame, classes: DataFrame, pcts: Sequence[int] = (10, 25, 50, 75, 90, 99)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.plans.latest import latest_rows
+from tilewright.plans.stage import materialize
 
 #: Random keys fall into 2**BUCKET_BITS ranges; only the range that a quota ends in is ranked.
 BUCKET_BITS = 16
@@ -125,7 +126,7 @@ def _counts(e: DataFrame) -> DataFrame:
 
 def p2_sample(data: DataFrame, targets: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
     """training_set, seg_class, fid of the sample; empty without targets or eligible rows."""
-    e = eligible(data, classes)
+    e = materialize(eligible(data, classes), "p2-eligible")
     return smallest_keys(e, quota_plan(_counts(e), targets), ["training_set", "seg_class"], "fid", seed)
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.skew import spread
+
 #: Words with their ids and tested pairs kept in each Python worker, and characters of text encoded at a time.
 KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 300_000, 1_000_000, 1_000_000
 _NEVER = np.int64(2**40)
@@ -403,7 +405,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 got.append((*v.encode(pieces), np.array(owners)))
                 yield flush(b.num_rows)
 
-    return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, F.col(text).cast("string").alias("_text")), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def p6_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
