@@ -69,11 +69,15 @@ def test_hillshade(spark):
 def test_resample(spark):
     v = np.arange(16).reshape(4, 4)
     df = grid(spark, v)
-    assert cells(raster.resample_bilinear(df, ["v"], (0, 0, 1), (0, 0, 1), (0, 0, 4, 4))) == cells(df)
-    half = cells(raster.resample_bilinear(df, ["v"], (0, 0, 1), (0, 0, 2), (0, 0, 2, 2)))
+    assert cells(raster.resampled(df, ["v"], (0, 0, 1), (0, 0, 1), (0, 0, 4, 4))) == cells(df)
+    half = cells(raster.resampled(df, ["v"], (0, 0, 1), (0, 0, 2), (0, 0, 2, 2)))
+    assert all(cells(raster.resampled(df, ["v"], (0, 0, 1), (0, 0, 1), (0, 0, 4, 4), k)) == cells(df) for k in ("cubic", "near"))
+    # a plane stays one inside
+    wide = cells(raster.resampled(grid(spark, [[2.0 * x + y for x in range(12)] for y in range(12)]), ["v"], (0, 0, 1), (4, 4, 0.5), (0, 0, 6, 6), "cubic"))
+    assert all(abs(v - (2 * (4 + (x + 0.5) / 2 - 0.5) + 4 + (y + 0.5) / 2 - 0.5)) < 1e-9 for (x, y), v in wide.items()) and len(wide) == 36
     assert half == {(x, y): v[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].mean() for x in (0, 1) for y in (0, 1)}
     holes = df.withColumn("v", F.when(F.col("px") > 0, F.col("v")))
-    assert cells(raster.resample_bilinear(holes, ["v"], (0, 0, 1), (0, 0, 2), (0, 0, 1, 1))) == {(0, 0): 3.0}
+    assert cells(raster.resampled(holes, ["v"], (0, 0, 1), (0, 0, 2), (0, 0, 1, 1))) == {(0, 0): 3.0}
 
 
 def test_texture_by_hand(spark):

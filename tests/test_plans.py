@@ -25,6 +25,9 @@ def test_lookup_join_with_hot_and_null_keys(spark):
     side = spark.createDataFrame([(k, k * 2) for k in range(0, 2000)], "k int, v int")
     got = {r.id: r.v for r in lookup_join(df, side, ["k"], F.col("id")).collect()}
     assert got == {i: None if k is None or k >= 2000 else 2 * k for i, k in enumerate(keys)}
+    counted = df.dropna().groupBy("k").agg(F.count("id").alias("n"), F.min("id").alias("v"))
+    got = {r.id: (r.v, r.n) for r in lookup_join(df, counted, ["k"], F.col("id"), count="n").collect()}
+    assert got == {i: (None, None) if k is None else (keys.index(k), keys.count(k)) for i, k in enumerate(keys)}
     assert lookup_join(df.limit(0), side, ["k"], F.col("id")).count() == 0
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tilewright.functions.wkb import read_points, read_polygon
-from tilewright.operators.proximity import containing_regions, near_pairs, p4_found, with_rings
+from tilewright.operators.proximity import EARTH, containing_regions, near_pairs, near_pairs_on_sphere, p4_found, with_rings
 
 T = datetime(2024, 1, 1)
 
@@ -51,6 +51,21 @@ def test_near_pairs_brute_force(spark, hot):
     assert len(got) == len(want) and {(r.key_a, r.key_b) for r in got} == want
 
 
+def test_near_on_sphere_brute_force(spark):
+    rng = np.random.default_rng(3)
+    lon = np.concatenate([rng.uniform(-180, 180, 80), rng.uniform(179.9, 180.1, 60), rng.uniform(-180, 180, 60)])
+    lat = np.concatenate([rng.uniform(-90, 90, 80), rng.uniform(-0.1, 0.1, 60), rng.uniform(89.9, 90, 60)])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat, strict=True))] + [(None, 0.0, 0.0), (900, None, 1.0), (901, float("nan"), 0.0)]
+    a, b = np.radians(lon), np.radians(lat)
+    h = np.sin((b[:, None] - b) / 2) ** 2 + np.cos(b[:, None]) * np.cos(b) * np.sin((a[:, None] - a) / 2) ** 2
+    d = 2 * EARTH * np.arcsin(np.sqrt(h))
+    for radius in (5000.0, 400_000.0):
+        got = near_pairs_on_sphere(spark.createDataFrame(rows, "fid long, lon double, lat double"), radius).collect()
+        want = {(i, j) for i in range(200) for j in range(i + 1, 200) if d[i, j] <= radius}
+        assert len(got) == len(want) > 50 and {(r.key_a, r.key_b) for r in got} == want
+        assert all(abs(r.dist - d[r.key_a, r.key_b]) < 1e-3 for r in got)
+
+
 def test_containing_regions_brute_force(spark):
     rng = np.random.default_rng(2)
     polys = []

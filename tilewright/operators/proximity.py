@@ -9,6 +9,8 @@ large they are; a point looks into one cell of every width in use.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ SALTS = 16
 #: Cell numbers stay within this, so that far-away points don't overflow; the exact test decides.
 FAR_CELL = 4.0e18
 _HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
+#: Mean radius of the earth in metres.
+EARTH = 6371008.8
 
 
 def with_point_xy(df: DataFrame, geom: str, key: str) -> DataFrame:
@@ -94,6 +98,28 @@ def near_pairs(points: DataFrame, radius: float, key: str = "fid") -> DataFrame:
     return both.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), F.sqrt(d2).alias("dist"))
 
 
+def near_pairs_on_sphere(points: DataFrame, radius: float, key: str = "fid", lon: str = "lon", lat: str = "lat", earth: float = EARTH) -> DataFrame:
+    """As :func:`near_pairs` for degrees and the great-circle distance in metres.
+
+    Points become places in space; a great-circle distance is one chord length,
+    so cubes as wide as the radius's chord do for any place: poles and the date
+    line are nothing special. Null or non-finite degrees have no neighbours.
+    """
+    chord = 2 * earth * math.sin(min(radius / (2 * earth), math.pi / 2))
+    good = points.where(F.col(key).isNotNull() & (F.abs(F.col(lon)) < float("inf")) & (F.abs(F.col(lat)) < float("inf")))
+    a, b = F.radians(F.col(lon).cast("double")), F.radians(F.col(lat).cast("double"))
+    p = good.select(F.col(key).alias("k"), (F.cos(b) * F.cos(a) * earth).alias("x"), (F.cos(b) * F.sin(a) * earth).alias("y"), (F.sin(b) * earth).alias("z"))
+    p = p.withColumns({f"c{c}": _cell(F.col(c), chord) for c in "xyz"})
+    half = [o for o in itertools.product((-1, 0, 1), repeat=3) if o[::-1] >= (0, 0, 0)]
+    own = p.withColumnsRenamed({c: f"{c}1" for c in "kxyz"})
+    off = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for v, c in zip(o, "xyz", strict=True))) for o in half))).alias("o")
+    other = p.select("*", off).select(*(F.col(c).alias(f"{c}2") for c in "kxyz"), *((F.col(f"c{c}") + F.col(f"o.o{c}")).alias(f"c{c}") for c in "xyz"), (F.greatest(*(F.abs(F.col(f"o.o{c}")) for c in "xyz")) == 0).alias("same"))
+    d2 = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
+    got = _met(own, other, ["cx", "cy", "cz"], "k1").where((F.col("k1") != F.col("k2")) & (~F.col("same") | (F.col("k1") < F.col("k2"))))
+    dist = 2 * earth * F.asin(F.least(F.sqrt(d2) / (2 * earth), F.lit(1.0)))
+    return got.withColumn("dist", dist).where(F.col("dist") <= float(radius)).select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), "dist")
+
+
 def _levels(regions: DataFrame) -> tuple[DataFrame, list[int]]:
     wide = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-6))
     r = regions.withColumn("lv", F.least(F.greatest(F.ceil(F.log2(wide)).cast("int"), F.lit(-20)), F.lit(60)))

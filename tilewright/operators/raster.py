@@ -192,25 +192,43 @@ def hillshade(df: DataFrame, band: str, azimuth: float = 315.0, altitude: float
     return full.select(*CELL, F.floor(F.greatest(light, F.lit(0.0)) * 255 + F.lit(0.5)).cast("int").alias("shade"))
 
 
-def resample_bilinear(df: DataFrame, bands: Sequence[str], source: tuple[float, float, float], target: tuple[float, float, float], bounds: tuple[int, int, int, int]) -> DataFrame:
+def _tent(d: Column) -> Column:
+    return F.greatest(1 - d, F.lit(0.0))
+
+
+def _cubic(d: Column) -> Column:
+    """The published cubic convolution kernel with a = -0.5."""
+    return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+
+
+def _near(d: Column) -> Column:
+    return F.when(d <= 0.5, 1.0).otherwise(0.0)
+
+
+#: Weight by distance in source cells, and how far it reaches.
+KERNELS = {"bilinear": (_tent, 1.0), "cubic": (_cubic, 2.0), "near": (_near, 0.5)}
+
+
+def resampled(df: DataFrame, bands: Sequence[str], source: tuple[float, float, float], target: tuple[float, float, float], bounds: tuple[int, int, int, int], kernel: str = "bilinear") -> DataFrame:
     """Cells px0 <= px < px1, py0 <= py < py1 (``bounds``: px0, py0, px1, py1) of a target grid out of a source grid.
 
     A grid is (x of its corner, y of its corner, cell width). Each target cell
-    takes the four source cells around its centre by their distance; cells with
+    takes the source cells around its centre by the kernel's weights; cells with
     a missing neighbour take the weighted mean of those present, cells with none
-    are left out. The source pulls: every source cell is sent to the target
-    cells it can touch, and one aggregate adds up.
+    are left out. Every source cell is sent to the target cells it can touch,
+    and one aggregate adds up.
     """
+    weight, reach = KERNELS[kernel]
     (sx, sy, sw), (tx, ty, tw), (x0, y0, x1, y1) = source, target, bounds
     cx, cy = (F.lit(float(o)) + (F.col(c) + 0.5) * float(sw) for o, c in ((sx, "px"), (sy, "py")))
     d = df.select(cx.alias("_x"), cy.alias("_y"), *bands)
     for a, o, lo, hi in (("x", tx, x0, x1), ("y", ty, y0, y1)):
-        first = F.greatest(F.ceil((F.col(f"_{a}") - float(sw) - float(o)) / float(tw) - 0.5), F.lit(lo))
-        last = F.least(F.floor((F.col(f"_{a}") + float(sw) - float(o)) / float(tw) - 0.5), F.lit(hi - 1))
+        first = F.greatest(F.ceil((F.col(f"_{a}") - reach * float(sw) - float(o)) / float(tw) - 0.5), F.lit(lo))
+        last = F.least(F.floor((F.col(f"_{a}") + reach * float(sw) - float(o)) / float(tw) - 0.5), F.lit(hi - 1))
         d = d.where(first <= last).withColumn(f"p{a}", F.explode(F.sequence(first, last)))
     w = F.lit(1.0)
     for a, o in (("x", tx), ("y", ty)):
-        w = w * F.greatest(1 - F.abs(F.lit(float(o)) + (F.col(f"p{a}") + 0.5) * float(tw) - F.col(f"_{a}")) / float(sw), F.lit(0.0))
-    d = d.withColumn("_w", w).where("_w > 0")
+        w = w * weight(F.abs(F.lit(float(o)) + (F.col(f"p{a}") + 0.5) * float(tw) - F.col(f"_{a}")) / float(sw))
+    d = d.withColumn("_w", w).where("_w <> 0")
     agg = [F.try_divide(F.sum(_num(b) * F.col("_w")), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) for b in bands]
     return d.groupBy(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).agg(*agg)

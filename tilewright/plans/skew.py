@@ -32,7 +32,7 @@ def _all_set(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Column, share: float = HOT_SHARE, salts: int = 4096) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Column, share: float = HOT_SHARE, salts: int = 4096, count: str | None = None) -> DataFrame:
     """Left join to a lookup that holds each key once; hot and null keys don't gather in one task.
 
     The lookup's rows of hot keys (1 / share at most, so the broadcast is
@@ -40,12 +40,18 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: C
     that need no lookup any more, as their key is hot or null, are spread over
     ``salts`` by ``spread``, a column of the left side that differs from row to
     row. Keys that the lookup lacks get nulls. Column names of the two sides
-    must differ but for the keys.
+    must differ but for the keys. If the lookup's column ``count`` says how many
+    of the left rows a key has, as when it was aggregated from them, the hot
+    keys are read off it, else they are counted.
     """
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys]
-    hot = heavy_hitters(df, keys, share)
-    top = lookup.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.struct(*values).alias("_hot"))
+    if count is None:
+        top = lookup.join(F.broadcast(heavy_hitters(df, keys, share)), keys, "left_semi")
+    else:
+        # a share of what the lookup counts: 1 / share rows at most as well
+        top = lookup.where(F.col(count) > lookup.agg(F.sum(count)).scalar() * F.lit(float(share)))
+    top = top.select(*keys, F.struct(*values).alias("_hot"))
     out = df.join(F.broadcast(top), keys, "left")
     cold = _all_set(keys) & F.col("_hot").isNull()
     out = out.withColumn("_salt", F.when(cold, F.lit(-1)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))

@@ -80,7 +80,7 @@ def _status(s, d):
             raise ValueError("no data")
         return pdf[["col_no"]]
 
-    return tiles.status_summary(tiles.run_tiles(df.where(F.col("row_no") <= 18).where(F.col("col_no") <= 4), worker, "col_no int"))
+    return tiles.status_summary(tiles.run_tiles(df, worker, "col_no int"))
 
 
 def _zone_sources(s, d):
@@ -130,7 +130,8 @@ QUERIES = {
     "mosaic_tiles": lambda s, d: raster.mosaic(raster.crop(fixture(s, d, "fx_pixels"), _scheme(s), "nbuff"), ["r", "chm"]),
     "crop_buffs": lambda s, d: raster.crop(fixture(s, d, "SELECT px, py, r FROM fx_pixels"), _scheme(s), "buff"),
     "band_range": lambda s, d: raster.band_range(fixture(s, d, "fx_pixels"), ["r", "g", "b", "ir", "chm"]),
-    "to_rts": lambda s, d: _rounded(raster.resample_bilinear(fixture(s, d, "fx_pixels"), ["r", "ir"], (0, 0, 1), (0, 0, 2), (0, 0, 100, 50)), "r", "ir"),
+    "to_rts": lambda s, d: _rounded(raster.resampled(fixture(s, d, "fx_pixels"), ["r", "ir"], (0, 0, 1), (0, 0, 2), (0, 0, 100, 50)), "r", "ir"),
+    "to_rts_cubic": lambda s, d: _rounded(raster.resampled(fixture(s, d, "fx_pixels"), ["r"], (0, 0, 1), (0, 0, 2), (0, 0, 100, 50), "cubic"), "r"),
     # registry, definition and change of data
     "tile_queue": lambda s, d: tiles.tile_queue(table(s, d, "tile_reg"), fixture(s, d, "fx_registry"), "spec"),
     "tile_queue_overwrite": lambda s, d: tiles.tile_queue(table(s, d, "tile_reg"), fixture(s, d, "fx_registry"), "spec", True, ["R1C1", "R2C2"]),
@@ -338,7 +339,7 @@ SELECT px, py, round(sum(r * w) / sum(w), 6) AS r, round(sum(ir * w) / sum(w), 6
     "update_data": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CASE WHEN tile_name <> 'R1C2' THEN n_px WHEN poly_id % 3 = 0 THEN n_px * 10 END AS n_px, CASE WHEN tile_name = 'R1C2' AND poly_id % 3 = 0 THEN poly_id * 2 END AS extra FROM fx_segments",
     "append_geom": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, n_px, CASE WHEN tile_name = 'R1C1' THEN 'new' END AS note FROM fx_segments",
     "vts_row_count": "SELECT t.tile_name, count(s.tile_name) AS n FROM tile_reg t LEFT JOIN seg_vts s ON t.tile_name = s.tile_name GROUP BY t.tile_name",
-    "status_summary": "SELECT CASE WHEN row_no % 9 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN row_no % 9 = 0 THEN 'no data' END AS message, count(*) AS tiles, string_agg(tile_name, ',' ORDER BY tile_name) AS names FROM tile_reg WHERE row_no <= 18 AND col_no <= 4 GROUP BY 1, 2",
+    "status_summary": "SELECT CASE WHEN row_no % 9 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN row_no % 9 = 0 THEN 'no data' END AS message, count(*) AS tiles, string_agg(tile_name, ',' ORDER BY tile_name) AS names FROM tile_reg GROUP BY 1, 2",
     "add_field": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CAST(NULL AS INTEGER) AS note FROM fx_segments",
     "zip_chunk_plan": "WITH c AS (SELECT tile_name, CAST(ceil(row_number() OVER (ORDER BY tile_name) / 25) AS INTEGER) AS chunk, CAST(ceil(count(*) OVER () / 25) AS INTEGER) AS of FROM tile_reg) SELECT tile_name, chunk, concat('img', CAST(chunk AS VARCHAR), 'of', CAST(of AS VARCHAR), '.zip') AS archive FROM c",
     "read_from_pts": "SELECT t.tree_id, s.tile_name, s.poly_id, s.n_px FROM fx_treetops t LEFT JOIN fx_segments s ON t.x BETWEEN s.minx AND s.maxx AND t.y BETWEEN s.miny AND s.maxy QUALIFY row_number() OVER (PARTITION BY t.tree_id ORDER BY s.tile_name, s.poly_id) = 1",
