@@ -89,9 +89,9 @@ def grouped(data: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """
     rows = data.select("row_id", "fid", "type", F.when(F.col("training_fid") >= 1, F.col("training_fid")).alias("feature")).where(F.col("row_id").isNotNull())
     rows = rows.withColumn("kind", F.when(F.col("feature").isNotNull(), F.col("type"))).drop("type")
-    least = lambda by, a, n: rows.dropna(subset=by).groupBy(*by).agg(F.min("row_id").alias(a), F.count(F.lit(1)).alias(n))
-    linked = lookup_join(rows, least(["fid"], "a", "na"), ["fid"], F.col("row_id"))
-    linked = lookup_join(linked, least(["kind", "feature"], "b", "nb"), ["kind", "feature"], F.col("row_id"))
+    least = lambda by, a, n: materialize(rows.dropna(subset=by).groupBy(*by).agg(F.min("row_id").alias(a), F.count(F.lit(1)).alias(n)), f"p3-{a}")
+    linked = lookup_join(rows, least(["fid"], "a", "na"), ["fid"], F.col("row_id"), count="na")
+    linked = lookup_join(linked, least(["kind", "feature"], "b", "nb"), ["kind", "feature"], F.col("row_id"), count="nb")
     tied = (F.coalesce("na", F.lit(1)) > 1) | (F.coalesce("nb", F.lit(1)) > 1)
     linked = materialize(linked.select("row_id", F.coalesce("a", "b").alias("root"), "a", "b", tied.alias("tied")), "p3-linked")
     edges = linked.where(F.col("a") != F.col("b")).select("a", "b").distinct()
