@@ -12,11 +12,13 @@ holds more than EDGES_PER_TASK edges and the driver holds none.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.plans.skew import lookup_join
@@ -24,10 +26,10 @@ from tilewright.plans.stage import materialize, release
 
 #: Edges that one task merges in memory: about 100 bytes each.
 EDGES_PER_TASK = 1_000_000
-#: Groups above this share of all rows are assigned one by one, the largest first: 2,000 groups at most.
-LARGE = 1 / 2000
-#: Strata of class and set, hashed, that the assignment of large groups balances.
-STRATA = 128
+#: Groups are assigned in tiers by size, each down to this share of the tier's largest size: the first has 1 / TIER groups at most.
+TIER = 1 / 2000
+#: Counts of a group's rows in a stratum that one task assigns: about 100 bytes each.
+COUNTS_PER_TASK = 500_000
 
 
 def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,81 +81,140 @@ def components(edges: DataFrame, per_task: int = EDGES_PER_TASK, level: int = 0)
     return materialize(known.unionByName(rest), f"labels-{level}")
 
 
-def grouped(data: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
-    """row_id, group_id, tied of every row with a row_id.
+def grouped(data: DataFrame, per_task: int = EDGES_PER_TASK, **more: Column) -> DataFrame:
+    """row_id, group_id, tied of every row with a row_id, and the columns ``more``.
 
     Rows with the same fid, or the same type and training_fid, share a group,
     and so on from row to row; null keys and a training_fid below 1 tie
     nothing. ``group_id`` is the smallest row_id of the group; ``tied`` is
     whether the group has two rows or more. Rows without row_id are left out.
     """
-    rows = data.select("row_id", "fid", "type", F.when(F.col("training_fid") >= 1, F.col("training_fid")).alias("feature")).where(F.col("row_id").isNotNull())
+    rows = data.select("row_id", "fid", "type", F.when(F.col("training_fid") >= 1, F.col("training_fid")).alias("feature"), *(c.alias(k) for k, c in more.items())).where(F.col("row_id").isNotNull())
     rows = rows.withColumn("kind", F.when(F.col("feature").isNotNull(), F.col("type"))).drop("type")
     least = lambda by, a, n: materialize(rows.dropna(subset=by).groupBy(*by).agg(F.min("row_id").alias(a), F.count(F.lit(1)).alias(n)), f"p3-{a}")
     linked = lookup_join(rows, least(["fid"], "a", "na"), ["fid"], F.col("row_id"), count="na")
     linked = lookup_join(linked, least(["kind", "feature"], "b", "nb"), ["kind", "feature"], F.col("row_id"), count="nb")
     tied = (F.coalesce("na", F.lit(1)) > 1) | (F.coalesce("nb", F.lit(1)) > 1)
-    linked = materialize(linked.select("row_id", F.coalesce("a", "b").alias("root"), "a", "b", tied.alias("tied")), "p3-linked")
+    linked = materialize(linked.select("row_id", F.coalesce("a", "b").alias("root"), "a", "b", tied.alias("tied"), *more), "p3-linked")
     edges = linked.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     up = components(edges, per_task).select(F.col("node").alias("root"), F.col("root").alias("top"))
     out = lookup_join(linked.drop("a", "b"), up, ["root"], F.col("row_id"))
-    return out.select("row_id", F.coalesce("top", "root", "row_id").alias("group_id"), "tied")
+    return out.select("row_id", F.coalesce("top", "root", "row_id").alias("group_id"), "tied", *more)
 
 
 def assigned(sizes: np.ndarray, strata: np.ndarray, totals: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Split of each group (rows of ``sizes``, strata x groups counts), the largest first, and what each split then holds.
+    """Split of each group (rows of ``sizes``, groups x strata counts), the largest first."""
+    group, stratum = np.nonzero(strata)
+    return _dealt(group, stratum[:, None], strata[group, stratum], shares[:, None] * totals[None, :])
 
-    A group goes to the split that is furthest below its target, in parts of
-    the target, averaged over the strata of the group's rows.
+
+def _dealt(group: np.ndarray, strata: np.ndarray, n: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Split of each group 0.., the largest first.
+
+    ``n`` rows of ``group`` lie in each of the ``strata`` of the same row of
+    that array. A group goes where it adds least to the squares of the rows
+    that the splits (rows of ``target``) are off their targets, over all strata.
     """
-    target = np.maximum(shares[:, None] * totals[None, :], 1e-9)
-    held = np.zeros_like(target)
+    sizes = np.bincount(group, n)
+    by = np.argsort(group, kind="stable")
+    edge = np.append(0, np.cumsum(np.bincount(group)))
+    strata, n = strata[by], n[by].astype(float)
+    off = -target
     out = np.zeros(len(sizes), np.int64)
-    for g in np.argsort(-sizes, kind="stable"):
-        lack = (((target - held) / target) * strata[g]).sum(1) / sizes[g]
-        out[g] = int(lack.argmax())
-        held[out[g]] += strata[g]
+    for g in np.argsort(-sizes, kind="stable").tolist():
+        own = slice(edge[g], edge[g + 1])
+        s, w = strata[own].T.ravel(), np.tile(n[own], strata.shape[1])
+        out[g] = k = int((off[:, s] @ w).argmin())
+        np.add.at(off[k], s, w)
     return out
 
 
-def p3_split(data: DataFrame, proportions: Mapping[str, float] | None = None, seed: int = 0) -> DataFrame:
+def _targets(n: np.ndarray, need: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Whole rows of strata (columns) for each split, ``n`` a stratum: what it needs in proportion, rounded up or down by chance so that the mean is exact."""
+    edge = np.floor(np.cumsum(need, 0) * n + rng.random(len(n)))
+    edge[-1] = n
+    return np.diff(edge, axis=0, prepend=0)
+
+
+def _placed(counts: DataFrame, tasks: int, strata: np.ndarray, need: np.ndarray, seed: int) -> DataFrame:
+    """``counts`` with the number of their group's split, and ``first`` on one row of each group. ``need`` has the splits' parts of what is left of each of the ``strata``."""
+    shared = counts.sparkSession.sparkContext.broadcast((strata, need))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
+            return
+        t = pa.Table.from_batches(got).combine_chunks().sort_by([("group_id", "ascending"), ("stratum", "ascending")])
+        ids, first, group = np.unique(t["group_id"].to_numpy(), return_index=True, return_inverse=True)
+        n = t["n"].to_numpy()
+        keys, need = shared.value
+        pairs, pair = np.unique(t["stratum"].to_numpy(), return_inverse=True)
+        need = need[:, np.searchsorted(keys, pairs)]
+        rows = np.bincount(pair, n)
+        # sets, classes and all rows count as well, so that what pairs are off doesn't add up
+        at, target = [pair], [_targets(rows, need, np.random.default_rng([seed % 2**32, TaskContext.get().partitionId()]))]
+        for c in ("set", "class"):
+            some, k = np.unique(t[c].to_numpy(), return_inverse=True)
+            of = np.zeros((len(need), len(some)))
+            for split, x in zip(of, need[:, pair], strict=True):
+                np.add.at(split, k, x * n)
+            at.append(k + sum(x.shape[1] for x in target))
+            target.append(of)
+        at.append(np.full(len(n), sum(x.shape[1] for x in target)))
+        target.append((need * rows).sum(1, keepdims=True))
+        split = _dealt(group, np.column_stack(at), n, np.concatenate(target, axis=1))
+        flag = np.zeros(len(n), bool)
+        flag[first] = True
+        yield pa.RecordBatch.from_arrays([t["group_id"].combine_chunks(), t["stratum"].combine_chunks(), pa.array(n), t["size"].combine_chunks(), pa.array(split[group].astype(np.int32)), pa.array(flag)], names=["group_id", "stratum", "n", "size", "split", "first"])
+
+    dealt = counts.repartitionByRange(tasks, "main", "group_id") if tasks > 1 else counts.repartition(1)
+    return dealt.select("group_id", "stratum", "set", "class", "n", "size").mapInArrow(run, "group_id bigint, stratum bigint, n bigint, size bigint, split int, first boolean")
+
+
+def p3_split(data: DataFrame, proportions: Mapping[str, float] | None = None, seed: int = 0, per_task: int = COUNTS_PER_TASK) -> DataFrame:
     """row_id, group_id, split of every row with a row_id; a group is never parted.
 
-    Groups above LARGE of all rows are assigned greedily on the driver, the
-    largest first, by their counts in each stratum of class and set. The others
-    are divided by a hash of their group_id in proportion to what each split
-    then lacks: a split misses its share by chance only, no more than a few
-    groups' sizes, none of which is above LARGE.
+    Every group is assigned greedily by its counts in each stratum, a pair of
+    training_set and seg_class, the largest groups first. Groups come in tiers
+    by size, those within one stratum after the others. A tier is dealt out to tasks in ranges of the stratum that most of
+    a group's rows are in; each task divides its rows of a stratum as the splits
+    then lack rows of that stratum, so smaller groups make up for what larger
+    ones are off. The driver holds
+    what each split has of each stratum, and no groups.
     """
     proportions = dict(proportions or {"train": 0.8, "validation": 0.1, "test": 0.1})
     names, shares = list(proportions), np.array(list(proportions.values()), float)
     shares = shares / shares.sum()
-    g = materialize(grouped(data), "p3-groups")
+    kind = {"set": F.xxhash64(F.coalesce("training_set", F.lit(-1))), "class": F.xxhash64(F.upper(F.trim(F.coalesce("seg_class", F.lit("")))))}
+    g = materialize(grouped(data, **{f"_{k}": c for k, c in kind.items()}), "p3-groups")
+    counts = g.groupBy("group_id", F.col("_set").alias("set"), F.col("_class").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumns({"size": F.sum("n").over(Window.partitionBy("group_id")), "stratum": F.xxhash64("set", "class")})
+    # the stratum of most of the group's rows
+    counts = counts.withColumn("main", F.max(F.struct("n", "stratum")).over(Window.partitionBy("group_id"))["stratum"])
     total = g.count()
-    sizes = g.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    # at most 1 / LARGE rows
-    big = sizes.where(F.col("n") > F.lit(total * LARGE))
-    stratum = F.pmod(F.xxhash64(F.coalesce(F.col("training_set"), F.lit(-1)), F.upper(F.trim(F.coalesce("seg_class", F.lit(""))))), F.lit(STRATA)).cast("int").alias("stratum")
-    keyed = data.where(F.col("row_id").isNotNull()).select("row_id", stratum)
-    per = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()
-    totals = np.zeros(STRATA)
-    for r in per:
-        totals[r.stratum] = r.n
-    hist = g.join(F.broadcast(big.select("group_id")), "group_id", "left_semi").join(keyed, "row_id").groupBy("group_id", "stratum").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    ids = np.sort(hist["group_id"].unique())
-    strata = np.zeros((len(ids), STRATA))
-    np.add.at(strata, (np.searchsorted(ids, hist["group_id"]), hist["stratum"].to_numpy(np.int64)), hist["n"])
-    split = assigned(strata.sum(1), strata, totals, shares)
-    lack = shares * total - np.bincount(split, strata.sum(1), len(names))
-    lack = np.maximum(lack, 0) if (lack > 0).any() else shares
-    edge = np.cumsum(lack / lack.sum())
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col("group_id")), F.lit(1_000_000)) / F.lit(1e6)
-    hashed = F.lit(names[-1])
-    for k in range(len(names) - 2, -1, -1):
-        hashed = F.when(at < float(edge[k]), F.lit(names[k])).otherwise(hashed)
-    spark = g.sparkSession
-    placed = spark.createDataFrame(pd.DataFrame({"group_id": ids, "_split": [names[i] for i in split]}), "group_id bigint, _split string") if len(ids) else spark.createDataFrame([], "group_id bigint, _split string")
-    return g.join(F.broadcast(placed), "group_id", "left").select("row_id", "group_id", F.coalesce("_split", hashed).alias("split"))
+    floors = [total * TIER]
+    while floors[-1] >= 1:
+        floors.append(floors[-1] * TIER)
+    tier = sum((F.col("size") <= f).cast("int") for f in floors[:-1]) if len(floors) > 1 else F.lit(0)
+    # groups within one stratum come after the others of their size: they make up for these exactly
+    single = (F.count(F.lit(1)).over(Window.partitionBy("group_id")) == 1).cast("int")
+    counts = materialize(counts.withColumn("tier", 2 * tier + single), "p3-counts")
+    tasks = {r.tier: -(-r.n // per_task) for r in counts.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
+    all_rows = counts.groupBy("stratum").agg(F.sum("n").alias("n")).toPandas().sort_values("stratum")
+    strata = all_rows["stratum"].to_numpy(np.int64)
+    lack = shares[:, None] * all_rows["n"].to_numpy(float)[None, :]
+    done = []
+    for k in sorted(tasks):
+        need = np.maximum(lack, 0)
+        need = np.where(need.sum(0) > 0, need, shares[:, None])
+        done.append(materialize(_placed(counts.where(F.col("tier") == k), tasks[k], strata, need / need.sum(0), seed + k), f"p3-tier-{k}"))
+        held = done[-1].groupBy("stratum", "split").agg(F.sum("n").alias("n")).toPandas()
+        lack[held["split"].to_numpy(np.int64), np.searchsorted(strata, held["stratum"].to_numpy(np.int64))] -= held["n"].to_numpy(float)
+    rows = g.select("row_id", "group_id")
+    if not done:
+        return rows.withColumn("split", F.lit(None).cast("string"))
+    of = reduce(DataFrame.unionByName, done).where("first").select("group_id", F.element_at(F.array(*map(F.lit, names)), F.col("split") + 1).alias("split"), F.col("size").alias("_n"))
+    return lookup_join(rows, of, ["group_id"], F.col("row_id"), count="_n").select("row_id", "group_id", "split")
 
 
 def p3_found(data: DataFrame) -> DataFrame:
