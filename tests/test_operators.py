@@ -132,6 +132,21 @@ def test_tin_reproduces_a_plane(spark):
     assert got[got.tile_name == "R1C2"].dem.isna().all()
 
 
+def test_terrain_over_wide_gaps(spark):
+    # a gap of 150 cells within the tile and one of 100 at a side of it; the second tile has 3 points, which others still need
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 220, 1500), rng.uniform(0, 220, 1500)
+    keep = ~((x > 30) & (x < 180) & (y > 30) & (y < 180)) & ~((x > 190) & (y > 60) & (y < 160))
+    xyz = [(float(a), float(b), float(10 + 5 * np.sin(a / 20) + b / 30)) for a, b in zip(x[keep], y[keep], strict=True)]
+    few = [(225.0, 80.5, 3.0), (226.0, 110.5, 4.0), (224.5, 140.5, 5.0)]
+    cells = [("R1C1", i, j) for i in range(0, 220, 3) for j in range(0, 220, 3)] + [("R1C2", 222, 80)]
+    got = points.terrain(spark.createDataFrame([("R1C1", *r) for r in xyz] + [("R1C2", *r) for r in few], "tile_name string, x double, y double, z double"), spark.createDataFrame(cells, "tile_name string, px int, py int")).toPandas()
+    assert len(got) == len(cells) and got[got.tile_name == "R1C2"].dem.isna().all()
+    one = got[got.tile_name == "R1C1"]
+    want = points.tin_surface(*np.array(xyz + few).T, one.px.to_numpy() + 0.5, one.py.to_numpy() + 0.5)
+    assert np.allclose(one.dem.to_numpy(float), want, equal_nan=True)
+
+
 def test_delaunay_circles_are_empty():
     p = np.random.default_rng(1).uniform(0, 1, (60, 2))
     tri = points._triangles(p)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.raster import jitter
+from tilewright.plans.stage import materialize
 
 NOISE = 7
 #: The standard's class numbers by name.
@@ -159,8 +160,13 @@ def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
 def tin_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
     """z at the places by linear interpolation in the Delaunay triangle that holds each; NaN outside the hull."""
     xy = np.column_stack([x, y]).astype(float)
-    out = np.full(len(px), np.nan)
-    for t in _triangles(xy):
+    return _interpolated(xy, z, _triangles(xy), px, py)[0]
+
+
+def _interpolated(xy: np.ndarray, z: np.ndarray, tri: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z at the places and the number of the triangle that holds each; NaN and -1 outside all."""
+    out, holder = np.full(len(px), np.nan), np.full(len(px), -1)
+    for i, t in enumerate(tri):
         a, b, c = xy[t]
         box = (px >= min(a[0], b[0], c[0])) & (px <= max(a[0], b[0], c[0])) & (py >= min(a[1], b[1], c[1])) & (py <= max(a[1], b[1], c[1]))
         k = np.flatnonzero(box)
@@ -169,21 +175,32 @@ def tin_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, px: np.ndarray, py:
         v = ((c[1] - a[1]) * (px[k] - c[0]) + (a[0] - c[0]) * (py[k] - c[1])) / d
         hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
         out[k[hit]] = u[hit] * z[t[0]] + v[hit] * z[t[1]] + (1 - u - v)[hit] * z[t[2]]
-    return out
+        holder[k[hit]] = i
+    return out, holder
+
+
+def _within(circ: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Whether circles lie in the box: no point outside of it can be in them."""
+    r = np.sqrt(circ[:, 2])
+    return (circ[:, 0] - r >= box[0]) & (circ[:, 1] - r >= box[1]) & (circ[:, 0] + r <= box[2]) & (circ[:, 1] + r <= box[3])
 
 
 def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int = 4, block: int = 64, halo: int = 32) -> DataFrame:
     """Bare earth of ``cells`` (tile_name, px, py) out of ground ``points`` (tile_name, x, y, z): a triangulated surface.
 
     A tile with fewer than ``least`` distinct ground points is null, and so are
-    cells outside their block's hull. The surface is made in blocks of ``block``
-    cells with the points of ``halo`` more cells around, whatever tile these are
-    in, so a task holds a block's area and tiles make no seams; gaps wider than
-    the halo may be bridged differently than by one triangulation of all. Of
-    points at one place the lowest counts.
+    cells outside the hull. Points of all tiles count, so tiles make no
+    seams; of points at one place the lowest, those of a null tile last. The surface is made in blocks of
+    ``block`` cells with the points of ``halo`` more cells around. A cell is
+    settled if the circle of its triangle lies in that window, as it then is a
+    triangle of all points. The other cells, at gaps and edges, are made again
+    tile by tile, with the points as far around the tile as its longer side, or
+    ``block`` + ``halo`` cells if that is more. There only points at gaps and
+    edges are needed: a point whose triangles all have circles of half the halo
+    at most is in none that an unsettled cell could need.
     """
     enough = points.select("tile_name", "x", "y").distinct().groupBy("tile_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("tile_name")
-    p = points.join(enough, "tile_name", "left_semi").groupBy("x", "y").agg(F.min("z").cast("double").alias("z"))
+    p = points.join(enough.withColumn("_ok", F.lit(True)), "tile_name", "left").groupBy("x", "y").agg(F.coalesce(F.min(F.when(F.col("_ok"), F.col("z"))), F.min("z")).cast("double").alias("z"))
     for a in "xy":
         at = F.floor(F.col(a) / float(width))
         p = p.withColumn(f"b{a}", F.explode(F.sequence(F.floor((at - halo) / block), F.floor((at + halo) / block))))
@@ -191,10 +208,55 @@ def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int
     c = c.withColumns({f"b{a}": F.floor(F.col(f"p{a}") / block) for a in "xy"})
 
     def one(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        dem, settled = np.full(len(c), np.nan), c["_ok"].isna().to_numpy(bool)
+        some = np.flatnonzero(~settled)
+        keep = np.ones(len(p), bool)
+        xy, z = p[["x", "y"]].to_numpy(float), p["z"].to_numpy(float)
+        corner = np.array(key if len(p) == 0 else (p["bx"].iloc[0], p["by"].iloc[0]), float) * block
+        if len(p) >= least and len(c):
+            tri = _triangles(xy)
+            circ = _circles(xy, tri)
+            sure = _within(circ, (*((corner - halo) * width), *((corner + block + halo) * width)))
+            dem[some], holder = _interpolated(xy, z, tri, (c["px"].to_numpy()[some] + 0.5) * width, (c["py"].to_numpy()[some] + 0.5) * width)
+            settled[some] = (holder >= 0) & sure[holder] if len(tri) else False
+            # a vertex with as many edges as triangles is inside the hull
+            small = sure & (circ[:, 2] <= (halo * width / 2) ** 2)
+            edges = np.unique(np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]]), axis=1), axis=0)
+            inside = np.bincount(tri.ravel(), minlength=len(xy)) == np.bincount(edges.ravel(), minlength=len(xy))
+            keep = ~inside | (np.bincount(tri[~small].ravel(), minlength=len(xy)) > 0)
+        keep &= (np.floor(xy / width) // block * block == corner).all(1)
+        n, k = len(c), int(keep.sum())
+        pad = lambda v, m, first: np.concatenate([v, np.full(m, np.nan)] if first else [np.full(m, np.nan), v])
+        got = {"tile_name": np.concatenate([c["tile_name"].to_numpy(object), np.full(k, None, object)]), "settled": np.concatenate([settled, np.ones(k, bool)])}
+        for a in ("px", "py"):
+            got[a] = np.concatenate([c[a].to_numpy(np.int32), np.zeros(k, np.int32)])
+        got["dem"] = pad(dem, k, True)
+        got |= {a: pad(v[keep], n, False) for a, v in (("x", xy[:, 0]), ("y", xy[:, 1]), ("z", z))}
+        got["point"] = np.arange(n + k) >= n
+        return pd.DataFrame(got)
+
+    columns = "tile_name string, settled boolean, px int, py int, dem double, x double, y double, z double, point boolean"
+    first = materialize(p.groupBy("bx", "by").cogroup(c.groupBy("bx", "by")).applyInPandas(one, columns), "terrain")
+    made = first.where(~F.col("point"))
+    null = lambda d: F.when(~F.isnan(d), d).alias("dem")
+    done = made.where("settled").select("tile_name", "px", "py", null(F.col("dem")))
+    rest = made.where(~F.col("settled")).select("tile_name", "px", "py")
+    # a row for each tile with unsettled cells and each block around it
+    box = cells.groupBy("tile_name").agg(*(f(c).alias(f"{n}_{c}") for c in ("px", "py") for n, f in (("min", F.min), ("max", F.max)))).join(rest.select("tile_name").distinct(), "tile_name", "left_semi")
+    box = box.withColumn("_m", F.greatest(F.col("max_px") - F.col("min_px") + 1, F.col("max_py") - F.col("min_py") + 1, F.lit(block + halo)))
+    near = box
+    for a in "xy":
+        near = near.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(f"min_p{a}") - F.col("_m")) / block), F.floor((F.col(f"max_p{a}") + F.col("_m")) / block))))
+    cell_of = {a: F.floor(F.col(a) / float(width)) for a in "xy"}
+    q = first.where("point").select("x", "y", "z", *(F.floor(cell_of[a] / block).alias(f"b{a}") for a in "xy")).join(near, ["bx", "by"])
+    for a in "xy":
+        q = q.where(cell_of[a].between(F.col(f"min_p{a}") - F.col("_m"), F.col(f"max_p{a}") + F.col("_m")))
+
+    def whole(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         dem = np.full(len(c), np.nan)
-        some = np.flatnonzero(c["_ok"].notna())
-        if len(p) >= least and len(some):
-            dem[some] = tin_surface(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(float), (c["px"].to_numpy()[some] + 0.5) * width, (c["py"].to_numpy()[some] + 0.5) * width)
-        return pd.DataFrame({"tile_name": c["tile_name"].to_numpy(object), "px": c["px"].to_numpy(np.int32), "py": c["py"].to_numpy(np.int32), "dem": pd.array(np.where(np.isnan(dem), None, dem), dtype="Float64")})
+        if len(p) >= 3 and len(c):
+            dem = tin_surface(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(float), (c["px"].to_numpy() + 0.5) * width, (c["py"].to_numpy() + 0.5) * width)
+        return pd.DataFrame({"tile_name": c["tile_name"].to_numpy(object), "px": c["px"].to_numpy(np.int32), "py": c["py"].to_numpy(np.int32), "dem": dem})
 
-    return p.groupBy("bx", "by").cogroup(c.groupBy("bx", "by")).applyInPandas(one, "tile_name string, px int, py int, dem double")
+    again = q.select("tile_name", "x", "y", "z").groupBy("tile_name").cogroup(rest.groupBy("tile_name")).applyInPandas(whole, "tile_name string, px int, py int, dem double")
+    return done.unionByName(again.select("tile_name", "px", "py", null(F.col("dem"))))
