@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import canopy, classify, metrics, pca, points, raster, report, segment, spatial
+from tilewright.operators import canopy, classify, metrics, pca, points, raster, report, segment, spatial, tiles
 
 
 def grid(spark, values, name="v", tile=lambda x, y: "R1C1"):
@@ -175,6 +175,16 @@ def test_watershed(spark):
     assert segment.crowns(grid(spark, h, "chm"), tops.limit(0), 0.5).count() == 0
 
 
+def test_crowns_cross_tile_borders(spark):
+    # tiles of 10 cells with 6 of buffer: the tree at 8 reaches to 11, that at 14 down to 12
+    h = [1, 1, 1, 1, 1, 5, 6, 7, 9, 7, 6, 2, 6, 7, 8, 7, 6, 5, 4, 3]
+    chm = spark.createDataFrame([(x, 0, float(v)) for x, v in enumerate(h)], "px int, py int, chm double")
+    tops = spark.createDataFrame([(8, 0, 1, 9.0), (14, 0, 2, 8.0)], "px int, py int, tree_id long, height double")
+    got = segment.tile_crowns(chm, tops, tiles.scheme(spark, 1, 2, 10.0, 6.0), least=1.5).collect()
+    assert sorted((r.tile_name, r.tree_id, r.height, r.crown_area) for r in got) == [("R1C1", 1, 9.0, 7.0), ("R1C2", 2, 8.0, 8.0)]
+    assert {r.tree_id for r in segment.tile_crowns(chm, tops, tiles.scheme(spark, 1, 2, 10.0, 6.0)).collect()} == {1, 2}
+
+
 def test_mean_shift_finds_two_fields(spark):
     v = np.array([[10.0] * 5 + [200.0] * 5] * 6)
     v[2, 2] = 60

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.raster import neighbours
+from tilewright.operators.raster import crop, neighbours
 
 
 def treetops(chm: DataFrame, radius: Callable[[Column], Column], most: float, least: float, band: str = "chm") -> DataFrame:
@@ -84,6 +84,15 @@ def crown_table(cells: DataFrame, tops: DataFrame, width: float = 1.0) -> DataFr
     return area.join(tops.select("tile_name", F.col("tree_id").cast("bigint").alias("tree_id"), "height"), ["tile_name", "tree_id"])
 
 
+def tile_crowns(chm: DataFrame, tops: DataFrame, tiles: DataFrame, least: float = 0.3, width: float = 1.0, band: str = "chm") -> DataFrame:
+    """The crown table of each tile of a scheme: crowns of its buffered area, where the buffer's tops compete, then those whose top lies in its nbuff.
+
+    ``chm`` and ``tops`` (px, py, tree_id, height) hold each cell and top once.
+    """
+    cells = crowns(crop(chm.select("px", "py", band), tiles, "buff", width), crop(tops.select("px", "py", "tree_id"), tiles, "buff", width), least, width, band)
+    return crown_table(cells, crop(tops, tiles, "nbuff", width), width)
+
+
 def mean_shift(values: np.ndarray, there: np.ndarray, spatial: float, spectral: float, smallest: int, rounds: int = 20) -> np.ndarray:
     """Segment numbers 1.. of a (rows, columns, bands) image, 0 where there is nothing.
 

@@ -35,11 +35,6 @@ def _trees(s, d):
     return segment.treetops(fixture(s, d, "fx_pixels"), lambda h: 1 + h * 0.04, 3, 10)
 
 
-def _tiled_trees(s, d):
-    t = _trees(s, d).join(_pixels(s, d).select("px", "py", "tile_name"), ["px", "py"])
-    return t.withColumn("tree_id", (F.col("py") * 1000 + F.col("px")).cast("bigint"))
-
-
 def _seg_fid(s, d):
     return fixture(s, d, "SELECT CAST(minx / 5 + 1000 * (miny / 5) AS INT) AS fid, minx, miny, maxx, maxy, n_px AS spec_n, tile_name, poly_id FROM fx_segments")
 
@@ -197,7 +192,7 @@ QUERIES = {
     "nice_args": lambda s, d: table(s, d, "events").select("event_id", text.nice_int(F.regexp_extract("props", r"(\d+)", 1)).alias("k"), text.nice_float(F.col("value").cast("string")).alias("v"), text.nice_bool(F.when(F.col("event_type") == "click", F.lit("Yes")).when(F.col("event_type") == "view", F.lit("n")).otherwise(F.col("event_type"))).alias("b"), text.nice_str(F.when(F.col("event_type") == "error", F.lit("NaN")).otherwise(F.col("event_type"))).alias("t")),
     "latest_project": lambda s, d: report.latest_project(table(s, d, "events").groupBy(F.col("event_type").alias("project")).agg(F.min("ts").alias("created"))).select("project"),
     # algorithms by tile
-    "segment_watershed": lambda s, d: segment.crown_table(segment.crowns(_pixels(s, d), _tiled_trees(s, d), 8.0), _tiled_trees(s, d)),
+    "segment_watershed": lambda s, d: segment.tile_crowns(fixture(s, d, "fx_pixels"), _trees(s, d).withColumn("tree_id", (F.col("py") * 1000 + F.col("px")).cast("bigint")), _scheme(s)),
     "segment_mss": lambda s, d: segment.mean_shift_segments(_pixels(s, d), ["r", "g", "b"], 3, 40, 6),
     # points near points, and in regions
     "p4_found": lambda s, d: proximity.p4_found(table(s, d, "training_points"), table(s, d, "seg_vts"), table(s, d, "tile_reg")),
