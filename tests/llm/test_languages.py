@@ -91,3 +91,16 @@ def test_empty_and_unlabelled(spark):
 def test_test_tables_agree_with_most_labels(spark):
     got = lg.identified(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("lang IS NOT NULL AND stated IS NOT NULL").toPandas()
     assert (got.lang == got.stated).mean() > 0.85
+
+
+def test_language_with_long_texts_only(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n\n".join(say(rng, lang) for _ in range(150 if lang == "de" else 3)), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    assert all(len(t) > lg.SAMPLE_CHARS for _, t, lang in rows if lang == "de")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert lg.fitted(df).langs == ["de", "en", "fr"]
+    assert lg.p8_found(df).collect() == []
+    got = df.select(lg.sample_text("text", 1000).alias("t"), "text").collect()
+    assert all(len(r.t) <= 1000 and set(lg.paragraphs(r.t)) <= set(lg.paragraphs(r.text)) for r in got)
+    one = spark.createDataFrame([("x" * 50, "x" * 20), ("a\n\n" + "b" * 50, "a")], "text string, want string")
+    assert all(r.t == r.want for r in one.select(lg.sample_text("text", 20).alias("t"), "want").collect())

@@ -25,7 +25,7 @@ from tilewright.plans.skew import spread
 MIN_LETTERS = 80
 #: n-grams of these sizes are hashed into 2**BITS buckets.
 SIZES, BITS = (1, 2, 3, 4), 16
-#: The training sample: so many documents a label at most, the ones with the smallest hashes of doc_id, each of so many characters at most.
+#: The training sample: so many documents a label at most, the ones with the smallest hashes of doc_id, of each the first paragraphs up to so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
 #: Refits on the model's own labels of the sample's paragraphs, and the count added to every bucket.
 ROUNDS, SMOOTHING = 4, 0.02
@@ -171,15 +171,22 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     return model
 
 
+def sample_text(text: str, chars: int) -> Column:
+    """The text's whole paragraphs up to ``chars`` characters; the start of its first one if that is longer."""
+    head = F.substring(F.regexp_replace(text, r"^\s+", ""), 1, chars + 1)
+    whole = F.regexp_extract(head, r"(?s)^(.*)\r?\n[^\S\n]*\r?\n", 1)
+    return F.when(F.length(text) <= chars, F.col(text)).when(F.length(whole) > 0, whole).otherwise(F.substring(head, 1, chars))
+
+
 def fitted(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model of at most ``docs`` documents of each language that documents.lang names, each of ``chars`` characters at most."""
-    named = documents.select("doc_id", named_language(F.col("lang")).alias("lang"))
-    n = {r.lang: r.n for r in named.dropna().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30))
+    """A model of at most ``docs`` documents of each language that documents.lang names, whole paragraphs of each up to ``chars`` characters."""
+    text = F.col("text").cast("string")
+    some = documents.where(F.length(text) >= MIN_LETTERS).select("doc_id", text.alias("text"), named_language(F.col("lang")).alias("_lang"), F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)).alias("_h"))
+    n = {r._lang: r.n for r in some.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect() if r._lang is not None}
     # so few rows reach the ranking that it's small however many a label has
     limit = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, 3 * docs / v) * (1 << 30))))), F.col("_lang")) if n else F.lit(0)
-    some = documents.select("doc_id", F.col("text").cast("string").alias("text"), named_language(F.col("lang")).alias("_lang"), h.alias("_h"))
-    some = some.where(F.col("_lang").isNotNull() & (F.col("_h") < limit) & (F.length("text") <= chars))
+    # of long texts, whole paragraphs up to the budget, else the start of the first one
+    some = some.where(F.col("_lang").isNotNull() & (F.col("_h") < limit)).withColumn("text", sample_text("text", chars))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "doc_id"))
     rows = some.withColumn("_r", rank).where(F.col("_r") <= docs).select("doc_id", "_lang", "text").collect()
     rows.sort(key=lambda r: (r._lang, r.doc_id))
