@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tilewright.llm import groups as g
@@ -39,6 +40,27 @@ def test_components_over_levels(spark, shape):
     assert got == {a: b for a, b in brute(e.tolist()).items() if a != b}
 
 
+@pytest.mark.parametrize("shape", ["path", "permuted", "star", "comb", "cycle"])
+def test_components_converge(spark, shape):
+    n = 20_000
+    path = np.column_stack([np.arange(n - 1), np.arange(1, n)])
+    ids = np.random.default_rng(3).permutation(n)
+    teeth = np.arange(0, n - 2, 2)
+    e = {"path": path, "permuted": ids[path], "star": np.column_stack([np.full(n - 1, ids[0]), ids[1:]]), "comb": np.vstack([np.column_stack([teeth, teeth + 2]), path[::2]]), "cycle": np.vstack([path, [[n - 1, 0]]])}[shape]
+    levels = []
+    got = g.components(spark.createDataFrame(pd.DataFrame(e, columns=["u", "v"])), 1000, levels).toPandas()
+    assert sorted(got.node) == list(range(1, n)) and (got.root == 0).all()
+    # a level leaves half of the edges at most, so the number of levels is the logarithm's
+    assert levels[-1] <= 1000 and all(b <= a / 2 for a, b in zip(levels, levels[1:], strict=False)) and len(levels) <= 6
+
+
+def test_components_edge_cases(spark):
+    e = spark.createDataFrame([(5, 5), (None, 3), (9, 7), (7, 9), (2**62, -(2**62))], "u long, v long")
+    for per_task in (1, 100):
+        assert {(r.node, r.root) for r in g.components(e, per_task).collect()} == {(9, 7), (2**62, -(2**62))}
+    assert g.components(e.limit(0)).collect() == []
+
+
 def rows_of(spark, rows):
     return spark.createDataFrame([(*r, 5, "x", 1) for r in rows], DATA)
 

@@ -3,10 +3,14 @@
 Union-find over local forests that are merged level by level. Each key's rows
 are first tied to the key's smallest row, so the graph has one edge a row at
 most and its nodes are row ids. At a level every task makes a forest of its own
-share of the edges, whatever share that is; a leaf that hangs under one root is
-settled and leaves the graph, so only roots that tasks disagree on go up to the
-next level, on fewer tasks. The last level is a single forest. No task ever
-holds more than EDGES_PER_TASK edges and the driver holds none.
+share of the edges, whatever share that is, with roots by a random order that
+changes by level. Every node that is no root in all of its tasks hangs under
+one of its roots and leaves the graph; only what tasks disagree on goes up,
+with both ends moved to the tops of their trees. A node stays only if it comes
+first among all it is tied to, so at least half of the nodes leave at a level
+on average, whatever the shape of the graph, and the forests of several tasks
+become one until one task holds the rest. No task ever holds more than
+EDGES_PER_TASK edges and the driver holds none.
 """
 
 from __future__ import annotations
@@ -32,10 +36,21 @@ TIER = 1 / 2000
 COUNTS_PER_TASK = 500_000
 
 
-def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of each node that isn't the smallest of its component."""
+def _order(nodes: np.ndarray, level: int) -> np.ndarray:
+    """A random number for each node, another one at each level; 0, the nodes' own order, is for the last level."""
+    x = nodes.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def local_forest(u: np.ndarray, v: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node that isn't the first of its component: the smallest, or at a level above 0 the first in that level's random order."""
     nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inv[: len(u)], inv[len(u) :]
+    by = np.lexsort((nodes, _order(nodes, level))) if level else np.arange(len(nodes))
+    rank = np.empty(len(nodes), np.int64)
+    rank[by] = np.arange(len(nodes))
+    a, b = rank[inv[: len(u)]], rank[inv[len(u) :]]
     parent = np.arange(len(nodes))
     while len(a):
         x, y = parent[a], parent[b]
@@ -44,41 +59,88 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = up
         apart = parent[a] != parent[b]
         a, b = a[apart], b[apart]
-    child = parent != np.arange(len(nodes))
-    return nodes[child], nodes[parent[child]]
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[by[child]], nodes[by[parent[child]]]
 
 
-def _forests(edges: DataFrame) -> DataFrame:
+def _forests(edges: DataFrame, level: int = 0) -> DataFrame:
     """One forest a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if got:
-            node, root = local_forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            node, root = local_forest(*(np.concatenate(x) for x in zip(*got, strict=True)), level)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
 
     return edges.mapInArrow(run, "node bigint, root bigint")
 
 
-def components(edges: DataFrame, per_task: int = EDGES_PER_TASK, level: int = 0) -> DataFrame:
-    """(node, root) of every node but each component's smallest, its root. ``edges`` has two bigint columns."""
-    edges = materialize(edges.toDF("u", "v"), f"edges-{level}")
-    tasks = -(-edges.count() // per_task)
-    if tasks <= 1:
-        return materialize(_forests(edges.repartition(1)), f"forest-{level}")
-    # any share of the edges will do, so rows are dealt out by both ends: no hot node fills a task
-    forest = materialize(_forests(edges.repartition(tasks, "u", "v")), f"forest-{level}")
-    release(edges)
-    settled = materialize(forest.groupBy("node").agg(F.min("root").alias("root"), F.count_distinct("root").alias("roots")), f"settled-{level}")
-    torn = settled.where(F.col("roots") > 1).select("node", F.col("root").alias("first"))
-    clash = forest.join(torn, "node").where(F.col("root") != F.col("first")).select(F.col("root").alias("u"), F.col("first").alias("v"))
-    roots = forest.select(F.col("root").alias("node")).distinct()
-    chain = settled.join(roots, "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    up = components(clash.unionByName(chain).distinct(), per_task, level + 1)
-    top = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
-    known = lookup_join(settled.select("node", "root"), top, ["root"], F.col("node")).select("node", F.coalesce("over", "root").alias("root"))
-    rest = up.join(settled, "node", "left_anti")
-    return materialize(known.unionByName(rest), f"labels-{level}")
+def _followed(pairs: DataFrame, tops: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` replaced by the root that ``tops`` (node, root) has for it, if any; ``_moved`` tells."""
+    top = tops.select(F.col("node").alias(column), F.col("root").alias("_over"))
+    other = next(c for c in pairs.columns if c != column)
+    got = lookup_join(pairs, top, [column], F.col(other))
+    return got.select(*(F.coalesce("_over", c).alias(c) if c == column else F.col(c) for c in pairs.columns), F.col("_over").isNotNull().alias("_moved"))
+
+
+def _contracted(edges: DataFrame, tasks: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the nodes that leave the graph at a level, and the edges (u, v) among those that stay."""
+    # any share of the edges will do, so they are dealt out by both ends and the level: no hot node fills a task
+    forest = materialize(_forests(edges.repartition(tasks, F.xxhash64("u", "v", F.lit(level))), level), f"forest-{level}")
+    # a root comes before its nodes in the level's order, so pointers to any of them make no circle
+    first = materialize(forest.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("_last")), f"first-{level}")
+    torn = first.where(F.col("root") != F.col("_last")).select("node", F.col("root").alias("v"))
+    # a node is in the forest once a task at most, so this join has no hot keys
+    clash = materialize(forest.join(torn, "node").where(F.col("root") != F.col("v")).select(F.col("root").alias("u"), "v").distinct(), f"clash-{level}")
+    release(forest)
+    tops = first.select("node", "root")
+    while True:
+        # each pass doubles the distance; chains in a random order are short
+        nxt = materialize(_followed(tops, tops, "root"), f"tops-{level}")
+        release(first)
+        first, tops = nxt, nxt.select("node", "root")
+        if nxt.where("_moved").limit(1).count() == 0:
+            break
+    up = _followed(_followed(clash, tops, "u").select("u", "v"), tops, "v").where(F.col("u") != F.col("v"))
+    up = materialize(up.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"edges-{level}")
+    release(clash)
+    return nxt, up
+
+
+def components(edges: DataFrame, per_task: int = EDGES_PER_TASK, trace: list[int] | None = None) -> DataFrame:
+    """(node, root) of every node but each component's smallest, its root.
+
+    ``edges`` has two bigint columns; loops tie nothing, null ends are left
+    out. ``trace`` takes the number of edges of each level.
+    """
+    e = edges.toDF("u", "v").dropna()
+    e = materialize(e.where(F.col("u") != F.col("v")), "edges-0")
+    trace = [] if trace is None else trace
+    left: list[DataFrame] = []
+    trace.append(e.count())
+    while trace[-1] > per_task:
+        gone, up = _contracted(e, -(-trace[-1] // per_task), len(trace))
+        release(e)
+        left.append(gone)
+        e = up
+        trace.append(e.count())
+    labels = materialize(_forests(e.repartition(1)), "labels")
+    release(e)
+    if not left:
+        return labels
+    for gone in reversed(left):
+        below = materialize(_followed(gone.select("node", "root"), labels, "root").select("node", "root").unionByName(labels), "labels")
+        release(gone)
+        release(labels)
+        labels = below
+    # from the random root of each component to its smallest node
+    least = labels.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    least = materialize(least, "least")
+    out = lookup_join(labels, least, ["root"], F.col("node"), count="_n").select("node", F.col("_least").alias("root"))
+    out = materialize(out.unionByName(least.select(F.col("root").alias("node"), F.col("_least").alias("root"))).where(F.col("node") != F.col("root")), "components")
+    release(labels)
+    release(least)
+    return out
 
 
 def grouped(data: DataFrame, per_task: int = EDGES_PER_TASK, **more: Column) -> DataFrame:
