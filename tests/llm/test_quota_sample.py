@@ -41,16 +41,32 @@ def test_found_report_and_sample(spark):
     data, targets, classes = frames(spark, rows, [(1, "D", 0.7, 0, 100), (1, "C", 0.2, 5, 100), (1, "E", 0.1, 3, 100), (2, "C", 0.0, 1, 10), (2, "D", 0.0, 0, 10)])
     report = {(r.training_set, r.seg_class): r for r in qs.p2_report(data, targets, classes).collect()}
     assert {k: (r.available, r.wanted, r.quota, r.shortfall) for k, r in report.items()} == {(1, "D"): (400, 70, 77, 0), (1, "C"): (29, 20, 22, 0), (1, "E"): (1, 10, 1, 9), (2, "C"): (0, 1, 0, 1), (2, "D"): (0, 0, 0, 0)}
+    assert {k: r.reason for k, r in report.items() if r.reason} == {(1, "E"): "availability", (2, "C"): "availability"}
     assert {tuple(r) for r in qs.p2_found(data, targets, classes).collect()} == {(1, "E"), (2, "C")}
     got = [tuple(r) for r in qs.p2_sample(data, targets, classes).collect()]
     assert Counter(k for _, k, _ in got) == {"D": 77, "C": 22, "E": 1} and len(set(got)) == 100
     assert sorted(got) == sorted(tuple(r) for r in qs.p2_sample(data.repartition(7), targets, classes).collect())
 
 
-def test_smallest_keys_are_the_smallest(spark):
+def test_report_names_what_quotas_lack(spark):
+    rows = [(i, i, s, "CDE"[i % 3], T1) for i in range(3000) for s in (1 + i % 4,)]
+    shares = {1: ((0.9, 0), (0.05, 30), (0.05, 30)), 2: ((0.9, 0), (0.9, 0), (0.2, 0)), 3: ((1 / 3, 0), (1 / 3, 0), (1 / 3, 0)), 4: ((0.5, 0), (0.3, 0), (0.2, 0))}
+    targets = [(k, c, float(a), f, 100) for k, v in shares.items() for c, (a, f) in zip("CDE", v, strict=True)]
+    data, targets, classes = frames(spark, rows, targets)
+    got = {(r.training_set, r.seg_class): (r.quota, r.wanted, r.shortfall, r.reason) for r in qs.p2_report(data, targets, classes).collect()}
+    assert got[1, "C"] == (40, 90, 50, "floors") and got[1, "D"] == got[1, "E"] == (30, 30, 0, None)
+    assert got[2, "C"] == (45, 90, 45, "size") and got[2, "E"] == (10, 20, 10, "size")
+    assert sorted(got[3, c] for c in "CDE") == [(33, 34, 1, "rounding"), (33, 34, 1, "rounding"), (34, 34, 0, None)]
+    assert [got[4, c][3] for c in "CDE"] == [None] * 3 and qs.p2_found(data, targets, classes).collect() == []
+
+
+def test_smallest_keys_are_the_smallest(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id AS fid", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS g")
     quota = spark.createDataFrame([("a", 17), ("b", 1999)], "g string, quota long")
     got = {(r.g, r.fid) for r in qs.smallest_keys(rows, quota, ["g"], "fid").collect()}
+    monkeypatch.setattr(qs, "broadcast_if_small", lambda df: df)
+    assert {(r.g, r.fid) for r in qs.smallest_keys(rows, quota, ["g"], "fid").collect()} == got
+    assert qs.smallest_keys(rows, quota.selectExpr("g", "2 * quota AS quota"), ["g"], "fid").where("g = 'b'").count() == 2000
     keys = [(r.g, r.h, r.fid) for r in rows.selectExpr("g", "xxhash64(0, fid) AS h", "fid").collect()]
     want = {(g, f) for g, n in (("a", 17), ("b", 1999)) for _, _, f in sorted(x for x in keys if x[0] == g)[:n]}
     assert got == want

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.plans.latest import latest_rows
+from tilewright.plans.skew import broadcast_if_small, lookup_join
 from tilewright.plans.stage import materialize
 
 #: Random keys fall into 2**BUCKET_BITS ranges; only the range that a quota ends in is ranked.
@@ -77,26 +78,33 @@ def eligible(data: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def quota_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row for each target: training_set, seg_class, available, wanted, quota, shortfall.
+    """A row for each target: training_set, seg_class, available, wanted, quota, shortfall, reason.
 
     ``counts`` is (training_set, seg_class, available). ``wanted`` is the
-    greater of min_rows and target_share x sample_rows, ``shortfall`` what is
-    missing of it. A set's targets, as many as classes, meet in one task. Null
-    shares, floors and sizes count as 0; targets without set or class are left
-    out; of repeated targets the largest is taken.
+    greater of min_rows and target_share x sample_rows, ``shortfall`` what the
+    quota lacks of it. ``reason`` says why, null where nothing lacks:
+    'availability' if there are too few rows, 'rounding' if a fraction of a
+    row lacks, 'floors' if floors above the shares of other classes took the
+    rows, 'size' if the set's targets together exceed its size. A set's targets,
+    as many as classes, meet in one task. Null shares, floors and sizes count as
+    0; targets without set or class are left out; of repeated targets the
+    largest is taken.
     """
     t = targets.groupBy("training_set", "seg_class").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("target_share", "min_rows", "sample_rows"))).where(F.col("training_set").isNotNull() & F.col("seg_class").isNotNull())
     t = t.join(counts, ["training_set", "seg_class"], "left").fillna(0, ["available"])
-    wanted = F.greatest(F.col("min_rows").cast("double"), F.round(F.col("target_share") * F.col("sample_rows"), 6))
-    t = t.select("training_set", "seg_class", "target_share", "min_rows", "sample_rows", "available", F.ceil(wanted).cast("bigint").alias("wanted"))
+    share = F.round(F.col("target_share") * F.col("sample_rows"), 6)
+    t = t.select("training_set", "seg_class", "target_share", "min_rows", "sample_rows", "available", share.alias("ideal"), F.ceil(F.greatest(F.col("min_rows").cast("double"), share)).cast("bigint").alias("wanted"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_class", kind="stable")
         q = quotas(pdf["target_share"].to_numpy(float), pdf["min_rows"].to_numpy(), pdf["available"].to_numpy(), int(pdf["sample_rows"].max()))
-        return pdf[["training_set", "seg_class", "available", "wanted"]].assign(quota=q, shortfall=(pdf["wanted"] - pdf["available"]).clip(lower=0))
+        wanted, there, ideal = (pdf[c].to_numpy() for c in ("wanted", "available", "ideal"))
+        raised = (np.minimum(pdf["min_rows"].to_numpy(), there) > ideal).any()
+        why = np.select([q >= wanted, there < wanted, q > wanted - 1, q >= np.floor(ideal), raised], [None, "availability", "rounding", "rounding", "floors"], "size")
+        return pdf[["training_set", "seg_class", "available", "wanted"]].assign(quota=q, shortfall=np.maximum(wanted - q, 0), reason=why)
 
     kind = t.schema["training_set"].dataType.simpleString()
-    return t.groupBy("training_set").applyInPandas(one, f"training_set {kind}, seg_class string, available bigint, wanted bigint, quota bigint, shortfall bigint")
+    return t.groupBy("training_set").applyInPandas(one, f"training_set {kind}, seg_class string, available bigint, wanted bigint, quota bigint, shortfall bigint, reason string")
 
 
 def smallest_keys(rows: DataFrame, quota: DataFrame, by: list[str], key: str, seed: int = 0) -> DataFrame:
@@ -109,15 +117,18 @@ def smallest_keys(rows: DataFrame, quota: DataFrame, by: list[str], key: str, se
     h = F.xxhash64(F.lit(seed), F.col(key))
     rows = rows.select("*", h.alias("_h")).withColumn("_b", (F.shiftright("_h", 64 - BUCKET_BITS) + F.lit(2 ** (BUCKET_BITS - 1))).cast("int"))
     quota = quota.select(*by, "quota").where("quota > 0")
-    sizes = rows.join(quota, by).groupBy(*by, "quota", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 2**BUCKET_BITS rows a category
+    # counted before any join: at most 2**BUCKET_BITS rows a category
+    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).join(quota, by)
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b"))
-    cut = sizes.withColumn("_to", upto).where(F.col("_to") - F.col("_n") < F.col("quota")).select(*by, "_b", F.when(F.col("_to") > F.col("quota"), F.col("quota") - F.col("_to") + F.col("_n")).alias("_rest"))
-    got = rows.join(cut, [*by, "_b"])
-    whole = got.where(F.col("_rest").isNull())
+    # the bucket that the quota ends in, and what it gives; past the last bucket where all rows are taken
+    cut = sizes.withColumn("_to", upto).groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_to") > F.col("quota"), F.col("_b"))), F.lit(2**BUCKET_BITS)).alias("_at"), F.max(F.when(F.col("_to") <= F.col("quota"), F.col("_to"))).alias("_whole"), F.max("quota").alias("_quota"))
+    cut = materialize(cut.select(*by, "_at", (F.col("_quota") - F.coalesce("_whole", F.lit(0))).alias("_rest")), "cuts")
+    small = broadcast_if_small(cut)
+    got = rows.join(small, by) if small is not cut else lookup_join(rows, cut, by, F.col(key))
+    whole = got.where(F.col("_b") < F.col("_at"))
     rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
-    part = got.where(F.col("_rest").isNotNull()).withColumn("_r", rank).where(F.col("_r") <= F.col("_rest")).drop("_r")
-    return whole.unionByName(part).drop("_h", "_b", "_rest")
+    part = got.where(F.col("_b") == F.col("_at")).withColumn("_r", rank).where(F.col("_r") <= F.col("_rest")).drop("_r")
+    return whole.unionByName(part).drop("_h", "_b", "_at", "_rest")
 
 
 def _counts(e: DataFrame) -> DataFrame:
@@ -131,10 +142,10 @@ def p2_sample(data: DataFrame, targets: DataFrame, classes: DataFrame, seed: int
 
 
 def p2_report(data: DataFrame, targets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every target with what is available, its quota and its shortfall."""
+    """Every target with what is available, its quota, its shortfall and the reason of that."""
     return quota_plan(_counts(eligible(data, classes)), targets)
 
 
 def p2_found(data: DataFrame, targets: DataFrame, classes: DataFrame) -> DataFrame:
-    """training_set, seg_class of the targets that can't be filled."""
-    return p2_report(data, targets, classes).where(F.col("shortfall") > 0).select("training_set", "seg_class")
+    """training_set, seg_class of the targets that the rows there are can't fill."""
+    return p2_report(data, targets, classes).where(F.col("reason") == "availability").select("training_set", "seg_class")
