@@ -47,6 +47,44 @@ def test_own_merging_matches(vocab, reference):
         assert vocab.merge(w.encode()) == reference(w)
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_with_one_hash(vocab, reference, n):
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    for _ in range(2):
+        # in one batch, and against what earlier batches kept
+        for batch in ([a, b], [b], [a], [f"{b} {a} x {b}"], ["x", b, a]):
+            ids, size = vocab.encode(batch)
+            assert [g.tolist() for g in np.split(ids, np.cumsum(size)[:-1])] == [reference(t) for t in batch]
+        vocab._forget()
+
+
+def test_any_shared_hash(vocab, reference, monkeypatch):
+    # as if words shared their hashes by length: whatever the hash, ids are the word's own
+    monkeypatch.setattr(vocab, "_hashes", lambda chars, start, stop: ((stop - start) // 3).astype(np.uint64))
+    vocab._forget()
+    some = texts()[:300]
+    for part in (some, some[::-1]):
+        ids, n = vocab.encode(part)
+        assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == [reference(t) for t in part]
+    vocab._forget()
+
+
+def test_both_exact_mergers_agree(vocab):
+    rng = random.Random(5)
+    words = [thue_morse(512), "aaaa" * 300, "ÿ" * 200, *("".join(rng.choice("abcdexyz\xe9漢") for _ in range(rng.randint(1, 60))) for _ in range(1500))]
+    for w in words:
+        raw = w.encode()
+        assert list(vocab.exact(raw)) == vocab.merge(raw), w
+
+
 def test_safe_pieces_keep_words(vocab, reference):
     for text in ("word " * 300 + "12ab" * 50, "a" * 500, " \n" * 300, "it's  x1y2 " * 100):
         parts = list(tk.safe_pieces(text, 37))

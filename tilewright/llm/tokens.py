@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tilewright.plans.skew import spread
 
-#: Words with their ids and tested pairs kept in each Python worker, and characters of text encoded at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 300_000, 1_000_000, 1_000_000
+#: Words with their ids, characters of these, and tested pairs kept in each Python worker, and characters of text encoded at a time.
+KEPT_WORDS, KEPT_CHARS, KEPT_PAIRS, CHUNK_CHARS = 300_000, 10_000_000, 1_000_000, 1_000_000
 _NEVER = np.int64(2**40)
 
 
@@ -43,6 +43,12 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``n`` numbers each, one range after another."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary; tokens are numbered by the order in which merges make them.
 
@@ -223,9 +229,8 @@ class Vocabulary:
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and the number of each.
 
-        Words are found by their 64-bit hashes, made of random values of their
-        characters; at ten million different words two of the same length share
-        one with a chance below 1e-5.
+        Words are found by a hash and then compared character by character with
+        the kept word; one that only shares its hash is encoded by itself.
         """
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         whole = "".join(pieces)
@@ -239,25 +244,47 @@ class Vocabulary:
         at = np.searchsorted(self.keys, keys)
         miss = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(miss):
-            if len(self.keys) > KEPT_WORDS:
+            if len(self.keys) > KEPT_WORDS or len(self.text) > KEPT_CHARS:
                 self._forget()
                 at, miss = np.zeros(len(keys), np.int64), np.arange(len(keys))
             f = first[miss]
-            ids, n = self.learn([whole[i:j] for i, j in zip(start[f].tolist(), stop[f].tolist(), strict=True)])
+            ids, n = self._learned(whole, start[f], stop[f])
+            chars_of = stop[f] - start[f]
             self.keys = np.insert(self.keys, at[miss], keys[miss])
             self.at = np.insert(self.at, at[miss], len(self.flat) + np.cumsum(n) - n)
             self.len = np.insert(self.len, at[miss], n)
+            self.word = np.insert(self.word, at[miss], len(self.text) + np.cumsum(chars_of) - chars_of)
+            self.chars = np.insert(self.chars, at[miss], chars_of)
             self.flat = np.concatenate([self.flat, ids])
+            self.text = np.concatenate([self.text, chars[_ranges(start[f], chars_of)]])
             at = np.searchsorted(self.keys, keys)
-        n = self.len[at][inv]
-        total = np.cumsum(n)
-        # the places of each word's ids
-        place = np.arange(total[-1]) + np.repeat(self.at[at][inv] - (total - n), n)
-        upto = np.concatenate(([0], total))[np.searchsorted(start, ends)]
-        return self.flat[place], np.diff(upto, prepend=0)
+        flat, where, n = self.flat, self.at[at][inv], self.len[at][inv]
+        other = self._unlike(chars, start, stop, self.word[at][inv], self.chars[at][inv])
+        if len(other):
+            ids, m = self._learned(whole, start[other], stop[other])
+            where[other], n[other] = len(flat) + np.cumsum(m) - m, m
+            flat = np.concatenate([flat, ids])
+        upto = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, ends)]
+        return flat[_ranges(where, n)], np.diff(upto, prepend=0)
+
+    def _learned(self, whole: str, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.learn([whole[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)])
+
+    def _unlike(self, chars: np.ndarray, start: np.ndarray, stop: np.ndarray, kept: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the words, which cover ``chars`` one after another, that aren't the kept word at ``kept``."""
+        n = stop - start
+        longer = n != size
+        some = np.flatnonzero(longer)
+        if len(some):
+            # words of another length are unlike; any kept word's place will do for them
+            kept = np.where(longer, 0, kept)
+        at = np.arange(len(chars), dtype=np.int32) + np.repeat((kept - start).astype(np.int32), n)
+        unlike = np.flatnonzero(self.text.take(at, mode="clip") != chars)
+        return np.union1d(some, np.searchsorted(start, unlike, "right") - 1) if len(unlike) or len(some) else some
 
     def _forget(self) -> None:
-        self.keys, self.at, self.len, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.at = self.len = self.word = self.chars = np.zeros(0, np.int64)
 
     def _hashes(self, chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         n = len(chars) + 1
