@@ -66,6 +66,37 @@ def test_tiling_takes_the_longest_first():
     assert leaks.tiles(doc, item, np.array([3]), np.array([0]), 2) == []
 
 
+def test_repetitive_texts_give_the_same_tiles():
+    rng = np.random.default_rng(7)
+    for trial in range(300):
+        kinds, size = int(rng.integers(1, 4)), int(rng.integers(1, 5))
+        item = rng.integers(0, kinds, int(rng.integers(size, 40)))
+        doc = rng.integers(-1, kinds, int(rng.integers(1, 60)))
+        ix = leaks.Index([(5, " ".join("abc"[x] for x in item))], size)
+        item, doc = ix.words[0], ix.numbers({x: 0 for x in "abc"})[doc] if trial % 2 else np.where(doc < len(ix.vocab), doc, -1)
+        seeds = [(i, j) for i in range(len(doc) - size + 1) for j in range(len(item) - size + 1) if (doc[i : i + size] >= 0).all() and (doc[i : i + size] == item[j : j + size]).all()]
+        want = leaks.tiles(doc, item, *(np.array(x) for x in zip(*seeds, strict=True)), size) if seeds else []
+        assert leaks.repeated_tiles(ix, doc, item, size) == want
+
+
+def test_hashes_that_lie(monkeypatch):
+    # windows alike by hash only make no tiles and hide none
+    rng = np.random.default_rng(8)
+    item, doc = rng.integers(0, 2, 60), rng.integers(0, 2, 90)
+    ix = leaks.Index([(5, " ".join("ab"[x] for x in item))], 6)
+    item = ix.words[0]
+    want = leaks.repeated_tiles(ix, doc, item, 6)
+    assert want
+    monkeypatch.setattr(leaks.Index, "rolled", lambda self, w: lambda size: np.zeros(max(len(w) + 1 - size, 0), np.uint64))
+    assert leaks.repeated_tiles(ix, doc, item, 6) == want
+
+
+def test_one_word_over_and_over(spark):
+    d, it = frames(spark, [(1, "so " * 100_000), (2, "so so " * 7 + "it goes " * 20_000)], [(5, "so " * 10_000), (6, "so it goes " * 400 + "it goes " * 300)])
+    got = {(r.doc_id, r.item_id): (r.tiles, r.words, r.longest) for r in leaks.p7_tiles(d, it).collect()}
+    assert got == {(1, 5): (1, 10_000, 10_000), (2, 5): (1, 14, 14), (2, 6): (1, 603, 603)}
+
+
 def test_empty_and_long(spark):
     d, it = frames(spark, [], [])
     assert leaks.p7_found(d, it).collect() == []
