@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.plans import broadcast_if_small, heavy_hitters, latest_rows, lookup_join, materialize, ranked, release
+from tilewright.plans import broadcast_if_small, heavy_hitters, latest_rows, lookup_join, materialize, ranked, release, skew, split_join, stage, stages
 
 
 def test_latest_rows(spark):
@@ -48,3 +48,39 @@ def test_stages_and_checked_broadcast(spark):
     release(df)
     assert "broadcast" in broadcast_if_small(spark.range(5))._jdf.queryExecution().toString().lower()
     assert "broadcast" not in broadcast_if_small(spark.range(5), 4)._jdf.queryExecution().toString().lower()
+
+
+def test_split_join_cuts_hot_keys_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rng = np.random.default_rng(2)
+    pick = lambda n, hot: [None if rng.random() < 0.05 else hot if rng.random() < 0.4 else int(rng.integers(0, 200)) for _ in range(n)]
+    a, b = pick(500, 7), pick(400, 7) + [9] * 90
+    left, right = spark.createDataFrame(list(enumerate(a)), "i int, k int"), spark.createDataFrame(list(enumerate(b)), "j int, k int")
+    hot = {r.k: r._parts for r in skew.hot_counts(left, ["k"]).collect()}
+    assert set(hot) >= {7} and hot[7] > 20
+    want = sorted((i, j, k) for i, k in enumerate(a) for j, m in enumerate(b) if k is not None and k == m)
+    assert sorted((r.i, r.j, r.k) for r in split_join(left, right, ["k"], ["i"], ["j"]).collect()) == want
+    # too few hot keys, or none, change the tasks only
+    assert sorted((r.i, r.j, r.k) for r in split_join(left, right, ["k"], ["i"], ["j"], skew.hot_counts(left, ["k"]), skew.hot_counts(left.limit(0), ["k"])).collect()) == want
+    assert split_join(left.limit(0), right, ["k"], ["i"], ["j"]).count() == 0
+
+
+def test_stages_end_with_their_scope(spark):
+    import os
+
+    with stages():
+        df = materialize(spark.range(3))
+        assert df.count() == 3 and os.path.exists(df._stage_path)
+    assert not os.path.exists(df._stage_path)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        stage.shared_dir(Elsewhere)

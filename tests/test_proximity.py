@@ -6,6 +6,7 @@ import pytest
 
 from tilewright.functions.wkb import read_points, read_polygon
 from tilewright.operators.proximity import EARTH, containing_regions, near_pairs, near_pairs_on_sphere, p4_found, with_rings
+from tilewright.plans import skew
 
 T = datetime(2024, 1, 1)
 
@@ -40,7 +41,9 @@ def test_wkb_encodings():
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_near_pairs_brute_force(spark, hot):
+def test_near_pairs_brute_force(spark, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(skew, "HOT_ROWS", 3)
     rng = np.random.default_rng(1)
     xy = rng.uniform(-20, 20, (300, 2))
     if hot:

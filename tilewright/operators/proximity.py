@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.wkb import read_points, read_polygon
 from tilewright.plans.latest import latest_rows
-from tilewright.plans.skew import heavy_hitters
+from tilewright.plans.skew import hot_counts, split_join
 from tilewright.plans.stage import materialize
 
-#: Hot cells are cut into so many parts.
-SALTS = 16
 #: Cell numbers stay within this, so that far-away points don't overflow; the exact test decides.
 FAR_CELL = 4.0e18
 _HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
@@ -71,12 +69,11 @@ def _cell(v: Column, width: Column | float) -> Column:
     return F.least(F.greatest(F.floor(v / width).cast("double"), F.lit(-FAR_CELL)), F.lit(FAR_CELL)).cast("bigint")
 
 
-def _met(left: DataFrame, right: DataFrame, cells: list[str], spread: str) -> DataFrame:
-    """Inner join on the cells; the left rows of hot cells are cut into parts, the right ones repeated for each."""
-    hot = heavy_hitters(left, cells).withColumn("_hot", F.lit(True))
-    a = left.join(F.broadcast(hot), cells, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
-    b = right.join(F.broadcast(hot), cells, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return a.join(b, [*cells, "_part"]).drop("_part")
+def _beside(hot: DataFrame, cells: Sequence[str], offsets: Sequence[tuple[int, ...]]) -> DataFrame:
+    """Hot cells of rows that are sent to neighbouring cells: those that the rows of hot cells go to."""
+    off = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for v, c in zip(o, cells, strict=True))) for o in offsets))).alias("o")
+    to = hot.select(*cells, "_parts", off).select(*((F.col(c) + F.col(f"o.o{c}")).alias(c) for c in cells), "_parts")
+    return to.groupBy(*cells).agg(F.sum("_parts").cast("int").alias("_parts"))
 
 
 def near_pairs(points: DataFrame, radius: float, key: str = "fid") -> DataFrame:
@@ -94,7 +91,8 @@ def near_pairs(points: DataFrame, radius: float, key: str = "fid") -> DataFrame:
     other = other.select("k2", "x2", "y2", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same"))
     dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
     d2 = dx * dx + dy * dy
-    both = _met(own, other, ["cx", "cy"], "k1").where((d2 <= F.lit(float(radius) ** 2)) & (F.col("k1") != F.col("k2")) & (~F.col("same") | (F.col("k1") < F.col("k2"))))
+    hot = materialize(hot_counts(p, ["cx", "cy"]), "hot")
+    both = split_join(own, other, ["cx", "cy"], ["k1", "x1", "y1"], ["k2", "x2", "y2"], hot, _beside(hot, ["cx", "cy"], _HALF)).where((d2 <= F.lit(float(radius) ** 2)) & (F.col("k1") != F.col("k2")) & (~F.col("same") | (F.col("k1") < F.col("k2"))))
     return both.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), F.sqrt(d2).alias("dist"))
 
 
@@ -115,7 +113,9 @@ def near_pairs_on_sphere(points: DataFrame, radius: float, key: str = "fid", lon
     off = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for v, c in zip(o, "xyz", strict=True))) for o in half))).alias("o")
     other = p.select("*", off).select(*(F.col(c).alias(f"{c}2") for c in "kxyz"), *((F.col(f"c{c}") + F.col(f"o.o{c}")).alias(f"c{c}") for c in "xyz"), (F.greatest(*(F.abs(F.col(f"o.o{c}")) for c in "xyz")) == 0).alias("same"))
     d2 = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
-    got = _met(own, other, ["cx", "cy", "cz"], "k1").where((F.col("k1") != F.col("k2")) & (~F.col("same") | (F.col("k1") < F.col("k2"))))
+    cells = ["cx", "cy", "cz"]
+    hot = materialize(hot_counts(p, cells), "hot")
+    got = split_join(own, other, cells, ["k1", "x1", "y1", "z1"], ["k2", "x2", "y2", "z2"], hot, _beside(hot, cells, half)).where((F.col("k1") != F.col("k2")) & (~F.col("same") | (F.col("k1") < F.col("k2"))))
     dist = 2 * earth * F.asin(F.least(F.sqrt(d2) / (2 * earth), F.lit(1.0)))
     return got.withColumn("dist", dist).where(F.col("dist") <= float(radius)).select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), "dist")
 
@@ -135,7 +135,7 @@ def region_candidates(points: DataFrame, regions: DataFrame, spread: str = "fid"
     r = r.select("*", box[0]).select("*", box[1])
     p = points.withColumn("lv", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
     p = p.withColumns({f"c{a}": _cell(F.col(a), w) for a in "xy"})
-    got = _met(p, r, ["lv", "cx", "cy"], spread).drop("lv", "cx", "cy")
+    got = split_join(p, r, ["lv", "cx", "cy"], [spread, "x", "y"], ["minx", "miny", "maxx", "maxy"]).drop("lv", "cx", "cy")
     return got.where(F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
 
 

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.proximity import _cell, _levels, _met, containing_regions, region_candidates
+from tilewright.operators.proximity import _cell, _levels, containing_regions, region_candidates
 from tilewright.plans.rank import ranked
+from tilewright.plans.skew import split_join
 from tilewright.plans.stage import materialize
 
 _BOX = ("minx", "miny", "maxx", "maxy")
@@ -37,7 +38,7 @@ def boxes_meet(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
     right = spans(r.withColumn("at", F.explode(F.array_distinct(F.transform(among(of_a), lambda k: F.greatest(k, F.col("lv")))))))
     right = right.withColumnsRenamed({c: f"{c}_b" for c in _BOX})
     left = left.withColumnRenamed("lv", "_own").withColumn("lv", F.explode(among(of_b))).withColumn("at", F.greatest("_own", "lv")).drop("_own")
-    got = _met(spans(left), right, ["lv", "at", "cx", "cy"], "minx")
+    got = split_join(spans(left), right, ["lv", "at", "cx", "cy"], _BOX, [f"{c}_b" for c in _BOX])
     lo = lambda c: F.greatest(F.col(f"min{c}"), F.col(f"min{c}_b"))
     hi = lambda c: F.least(F.col(f"max{c}"), F.col(f"max{c}_b"))
     meet = (lo("x") < hi("x")) & (lo("y") < hi("y")) if strict else (lo("x") <= hi("x")) & (lo("y") <= hi("y"))

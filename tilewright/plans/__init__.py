@@ -2,7 +2,7 @@
 
 from tilewright.plans.latest import latest_rows
 from tilewright.plans.rank import ranked
-from tilewright.plans.skew import broadcast_if_small, heavy_hitters, lookup_join, spread
-from tilewright.plans.stage import materialize, release
+from tilewright.plans.skew import broadcast_if_small, heavy_hitters, lookup_join, split_join, spread
+from tilewright.plans.stage import materialize, release, stages
 
-__all__ = ["broadcast_if_small", "heavy_hitters", "latest_rows", "lookup_join", "materialize", "ranked", "release", "spread"]
+__all__ = ["broadcast_if_small", "heavy_hitters", "latest_rows", "lookup_join", "materialize", "ranked", "release", "split_join", "spread", "stages"]

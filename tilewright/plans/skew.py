@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this share of the rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 128
+#: A key with no more rows isn't worth cutting.
+HOT_ROWS = 1000
 
 
 def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -23,6 +25,36 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE)
     return counts.where(F.col("_n") > total * F.lit(float(share))).select(*keys)
 
 
+def hot_counts(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+    """The heavy hitters of more than HOT_ROWS rows with ``_parts``: how many times ``share`` of the rows each of them holds, rounded up."""
+    counts = df.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = F.greatest(df.agg(F.count(F.lit(1)).alias("_all")).scalar() * F.lit(float(share)), F.lit(float(HOT_ROWS)))
+    return counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str], hot_left: DataFrame | None = None, hot_right: DataFrame | None = None, share: float = HOT_SHARE) -> DataFrame:
+    """Inner join in which a hot key of either side is cut: m parts of the left rows meet n parts of the right rows in m x n tasks.
+
+    Parts follow the counts, so none holds much more than ``share`` of a side.
+    ``left_by`` and ``right_by`` are columns that differ from row to row;
+    ``hot_left`` and ``hot_right`` are :func:`hot_counts` of the sides where
+    the caller knows them, and have 1 / share rows at most. Null keys meet none.
+    """
+    keys = list(keys)
+    a = (hot_counts(left, keys, share) if hot_left is None else hot_left).select(*keys, F.col("_parts").alias("_m"), F.lit(1).alias("_n"))
+    b = (hot_counts(right, keys, share) if hot_right is None else hot_right).select(*keys, F.lit(1).alias("_m"), F.col("_parts").alias("_n"))
+    # a row for each hot key of a side, so a bounded broadcast
+    hot = F.broadcast(a.unionByName(b).groupBy(*keys).agg(F.max("_m").alias("_m"), F.max("_n").alias("_n")))
+
+    def cut(df: DataFrame, by: Sequence[str], own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*by), F.coalesce(f"_{own}", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}", F.lit(1)) - 1))
+        return df.join(hot, keys, "left").select(*df.columns, part.alias(f"_at_{own}"), every.alias(f"_at_{other}"))
+
+    on = [*keys, "_at_m", "_at_n"]
+    return cut(left, left_by, "m", "n").join(cut(right, right_by, "n", "m"), on).drop("_at_m", "_at_n")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marked for broadcast if it has no more than ``rows`` rows, which a small job counts; else as it is, and the planner joins it by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

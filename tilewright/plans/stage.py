@@ -6,16 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset, as in tests, a folder of our own is set."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, as in tests, a folder of our own is set, if all executors are on this machine; else that is an error."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="tilewright-")
@@ -23,6 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def stages() -> Iterator[None]:
+    """Deletes at its end all stages that were written inside: read or write results inside as well."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for df in mine:
+            release(df)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -34,6 +54,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
