@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.wkb import read_points, read_polygon
+from tilewright.functions.geometry import Rings
+from tilewright.functions.wkb import read_points, read_polygons
 from tilewright.plans.latest import latest_rows
 from tilewright.plans.skew import hot_counts, split_join
 from tilewright.plans.stage import materialize
@@ -45,24 +46,22 @@ def with_point_xy(df: DataFrame, geom: str, key: str) -> DataFrame:
 
 
 def with_rings(df: DataFrame, geom: str, key: str) -> DataFrame:
-    """``key``, bounds, vertices ``xs``, ``ys`` and the ring ends ``ends`` of the rows with a readable, non-empty polygon."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, minx double, miny double, maxx double, maxy double, xs array<double>, ys array<double>, ends array<int>"
+    """``key`` and the other columns but ``geom``, bounds, vertices ``xs``, ``ys`` and the ring ends ``ends`` of the rows with a readable, non-empty polygon."""
+    made = ("minx", "miny", "maxx", "maxy", "xs", "ys", "ends")
+    rest = [c for c in df.columns if c != geom and c not in made]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} double" for c in made[:4]), "xs array<double>", "ys array<double>", "ends array<int>"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [read_polygon(g) for g in b.column(geom).to_pylist()]
-            rows = [i for i, g in enumerate(got) if g is not None]
-            if not rows:
+            rows, xs, ys, n, ends = read_polygons(b.column(geom).to_pylist())
+            if not len(rows):
                 continue
-            at = pa.array(np.cumsum([0, *(len(got[i][0]) for i in rows)]), pa.int32())
-            xs, ys = np.concatenate([got[i][0] for i in rows]), np.concatenate([got[i][1] for i in rows])
-            cut = at.to_numpy()[:-1]
-            box = [pa.array(f.reduceat(v, cut)) for f, v in ((np.minimum, xs), (np.minimum, ys), (np.maximum, xs), (np.maximum, ys))]
-            rings = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (xs, ys)]
-            ends = pa.array([got[i][2] for i in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), *box, *rings, ends], names=[key, "minx", "miny", "maxx", "maxy", "xs", "ys", "ends"])
+            at = np.concatenate(([0], np.cumsum(n)))
+            box = [pa.array(f.reduceat(v, at[:-1])) for f, v in ((np.minimum, xs), (np.minimum, ys), (np.maximum, xs), (np.maximum, ys))]
+            rings = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for v in (xs, ys)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in rest), *box, *rings, pa.array(ends, pa.list_(pa.int32()))], names=[*rest, *made])
 
-    return df.select(key, geom).where(F.col(geom).isNotNull()).mapInArrow(read, schema)
+    return df.select(*rest, geom).where(F.col(geom).isNotNull()).mapInArrow(read, schema)
 
 
 def _cell(v: Column, width: Column | float) -> Column:
@@ -159,30 +158,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_key: str = "
 
 def points_in_rings(b: pa.RecordBatch, closed: bool = False) -> np.ndarray:
     """For each row whether (x, y) is inside the rings xs, ys that end at ends, or, if ``closed``, within a billionth of their lines."""
-    xs, ys, ends = b.column("xs"), b.column("ys"), b.column("ends")
-    n = np.diff(xs.offsets.to_numpy())
-    vx, vy = xs.flatten().to_numpy(), ys.flatten().to_numpy()
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    # the vertex after each; at a ring's end its first
-    nxt = np.arange(1, len(vx) + 1)
-    m = np.diff(ends.offsets.to_numpy())
-    stop = ends.flatten().to_numpy() + np.repeat(first, m)
-    start = np.concatenate(([0], stop[:-1]))
-    nxt[stop - 1] = start
-    row = np.repeat(np.arange(b.num_rows), n)
-    px, py = b.column("x").to_numpy()[row], b.column("y").to_numpy()[row]
-    x2, y2 = vx[nxt], vy[nxt]
-    cross = (vy > py) != (y2 > py)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = px < (x2 - vx) * (py - vy) / (y2 - vy) + vx
-    inside = np.bincount(row[cross & left], minlength=b.num_rows) % 2 == 1
-    if closed:
-        dx, dy = x2 - vx, y2 - vy
-        size = np.maximum(np.abs(dx), np.abs(dy))
-        far = np.abs(dx * (py - vy) - dy * (px - vx)) > 1e-9 * size * np.maximum(size, 1)
-        along = (np.minimum(vx, x2) <= px) & (px <= np.maximum(vx, x2)) & (np.minimum(vy, y2) <= py) & (py <= np.maximum(vy, y2))
-        inside |= np.bincount(row[along & ~far], minlength=b.num_rows) > 0
-    return inside
+    return Rings.of(b).holds(np.arange(b.num_rows), b.column("x").to_numpy(), b.column("y").to_numpy(), closed)
 
 
 def p4_found(points: DataFrame, segments: DataFrame, tiles: DataFrame, radius: float = 2.0) -> DataFrame:
