@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.raster import mosaic, opening, reclass_binary, zero_to_null
-from tilewright.operators.spatial import semi_boxes
+from tilewright.operators.spatial import semi_shapes
 from tilewright.plans.skew import broadcast_if_small
 
 
@@ -38,7 +38,7 @@ def final_canopy(classes: DataFrame, class_table: DataFrame, boundary: tuple[flo
 
 
 def final_trees(segments: DataFrame, class_column: str, class_table: DataFrame, boundary: DataFrame, keys: Sequence[str] = ("tile_name", "poly_id")) -> DataFrame:
-    """Keys, height, crown_area and class (label) of the labelled segments that meet the boundary's rectangles, each once."""
+    """Keys, height, crown_area and class (label) of the labelled segments that meet the boundary's shapes, each once."""
     label = class_table.select(F.col("id").alias(class_column), F.col("label").alias("class"))
-    inside = semi_boxes(segments.where(F.col(class_column).isNotNull()), boundary, keys)
+    inside = semi_shapes(segments.where(F.col(class_column).isNotNull()), boundary, keys)
     return inside.join(broadcast_if_small(label), class_column).where(F.col("class").isNotNull()).select(*keys, "height", "crown_area", "class")

@@ -11,8 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators.proximity import region_candidates
-from tilewright.operators.spatial import boxes_meet
+from tilewright.operators.spatial import points_in_shapes, shapes_meet
 from tilewright.plans.skew import broadcast_if_small
 
 #: Schemas of the empty layers that the constructors make.
@@ -43,14 +42,15 @@ def extracted(points: DataFrame, polygons: DataFrame, segments: DataFrame, field
     training_fid: the first keeps the segment. A point takes the first segment
     by fid at its place, a polygon all it meets; both closed. Training
     features in ``done`` (type, training_fid) are skipped. Segments and
-    polygons are rectangles.
+    polygons are rectangles, or polygons if they have vertices.
     """
     skip = lambda df, t: df.join(done.where(F.col("type") == t).select(F.col("training_fid").alias("fid")), "fid", "left_anti") if done is not None else df
     named = [F.col("fid").alias("training_fid"), "training_set", "seg_class"]
-    seg = segments.select(F.col("fid").alias("_seg"), "minx", "miny", "maxx", "maxy", *fields)
-    pts = region_candidates(skip(points, 1).select(*named, "x", "y"), seg, "training_fid")
+    shape = lambda df: [c for c in ("minx", "miny", "maxx", "maxy", "xs", "ys", "ends") if c in df.columns]
+    seg = segments.select(F.col("fid").alias("_seg"), *shape(segments), *fields)
+    pts = points_in_shapes(skip(points, 1).select(*named, "x", "y"), seg, "training_fid")
     pts = pts.groupBy("training_fid", "training_set", "seg_class").agg(F.min_by(F.struct("_seg", *fields), "_seg").alias("s")).select("training_fid", "training_set", "seg_class", "s.*", F.lit(1).alias("type"))
-    pol = boxes_meet(skip(polygons, 2).select(*named, "minx", "miny", "maxx", "maxy"), seg)
+    pol = shapes_meet(skip(polygons, 2).select(*named, *shape(polygons)), seg)
     pol = pol.select("training_fid", "training_set", "seg_class", F.col("_seg_b").alias("_seg"), *(F.col(f"{f}_b").alias(f) for f in fields), F.lit(2).alias("type"))
     both = pol.unionByName(pts)
     cols = ["type", "training_set", "training_fid", "seg_class", *fields]
@@ -111,8 +111,8 @@ def edited(segments: DataFrame, hits: DataFrame, key: Sequence[str], column: str
 
 
 def edit_hits(edits: DataFrame, segments: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, seq, from_class, to_class) of edits and segments, both rectangles, that meet."""
-    return boxes_meet(segments.select(*key, "minx", "miny", "maxx", "maxy"), edits).select(*key, *(F.col(f"{c}_b").alias(c) for c in ("seq", "from_class", "to_class")))
+    """(key, seq, from_class, to_class) of edits and segments, rectangles or polygons, that meet."""
+    return shapes_meet(segments.select(*key, *(c for c in ("minx", "miny", "maxx", "maxy", "xs", "ys", "ends") if c in segments.columns)), edits).select(*key, *(F.col(f"{c}_b").alias(c) for c in ("seq", "from_class", "to_class")))
 
 
 def class_ids(df: DataFrame, classes: DataFrame, code: str = "seg_class", out: str = "class_id") -> DataFrame:

@@ -1,23 +1,28 @@
-"""Spatial selection on points and rectangles with equi-joins on grid cells.
+"""Spatial selection on points, rectangles and polygons with equi-joins on grid cells.
 
-Rectangles are ``minx``, ``miny``, ``maxx``, ``maxy``. Predicates are closed:
-touching counts, unless said otherwise. Polygons other than rectangles are in
-:mod:`tilewright.operators.proximity`.
+Rectangles are ``minx``, ``miny``, ``maxx``, ``maxy``; a table that also has the
+columns ``xs``, ``ys``, ``ends`` of :func:`proximity.with_rings` holds polygons
+with these bounds. Candidates meet by their bounds, then polygons are tested
+exactly in numpy. Predicates are closed: touching counts, unless said otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.proximity import _cell, _levels, containing_regions, region_candidates
+from tilewright.functions.geometry import Rings, clip, meet, parts
+from tilewright.operators.proximity import _cell, _levels, points_in_rings, region_candidates
 from tilewright.plans.rank import ranked
 from tilewright.plans.skew import split_join
 from tilewright.plans.stage import materialize
 
 _BOX = ("minx", "miny", "maxx", "maxy")
+_RINGS = ("xs", "ys", "ends")
 
 
 def boxes_meet(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
@@ -45,32 +50,70 @@ def boxes_meet(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
     return got.where(meet & (_cell(lo("x"), w) == F.col("cx")) & (_cell(lo("y"), w) == F.col("cy"))).drop("lv", "at", "cx", "cy")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, spread: str) -> DataFrame:
-    """Pairs of points (x, y) and rectangles that hold them, closed. Column names must differ."""
-    return region_candidates(points, boxes, spread)
+def is_polygons(df: DataFrame) -> bool:
+    return "xs" in df.columns
+
+
+def with_box_rings(df: DataFrame) -> DataFrame:
+    """Rectangles as polygons; polygons stay."""
+    if is_polygons(df):
+        return df
+    list_of = lambda *c: F.array(*map(F.col, c))
+    return df.withColumns({"xs": list_of("minx", "maxx", "maxx", "minx"), "ys": list_of("miny", "miny", "maxy", "maxy"), "ends": F.array(F.lit(4))})
+
+
+def _kept(df: DataFrame, test, drop: Sequence[str]) -> DataFrame:
+    """Rows whose batch passes ``test`` (a mask of them), without some columns."""
+    names = [c for c in df.columns if c not in drop]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.select(names).filter(pa.array(test(b)))
+
+    return df.mapInArrow(run, schema)
+
+
+def shapes_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of shapes that have a point in common, as :func:`boxes_meet`; vertices are left out."""
+    if not is_polygons(a) and not is_polygons(b):
+        return boxes_meet(a, b)
+    near = boxes_meet(with_box_rings(a), with_box_rings(b))
+    return _kept(near, lambda t: meet(Rings.of(t), Rings.of(t, "_b")), [*_RINGS, *(f"{c}_b" for c in _RINGS)])
+
+
+def points_in_shapes(points: DataFrame, shapes: DataFrame, spread: str) -> DataFrame:
+    """Pairs of points (x, y) and the shapes that hold them, closed; vertices are left out. Column names must differ."""
+    near = region_candidates(points, shapes, spread)
+    return _kept(near, lambda t: points_in_rings(t, True), _RINGS) if is_polygons(shapes) else near
+
+
+def _shape(df: DataFrame) -> list[str]:
+    return [*_BOX, *(_RINGS if is_polygons(df) else ())]
 
 
 def read_from_points(points: DataFrame, features: DataFrame, key: str, fields: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first feature by ``order`` at every point, nulls where there is none: ``key`` and ``fields``."""
-    hit = points_in_boxes(points.select(key, "x", "y"), features, key)
+    hit = points_in_shapes(points.select(key, "x", "y"), features, key)
     best = hit.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("f")).select(key, "f.*")
     return points.select(key).join(best, key, "left")
 
 
-def read_from_boxes(areas: DataFrame, features: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def read_from_areas(areas: DataFrame, features: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """All features that meet each area: ``key`` of the area and ``fields`` of the features, closed."""
-    return boxes_meet(areas.select(key, *_BOX), features).select(key, *(F.col(f"{f}_b").alias(f) for f in fields))
+    return shapes_meet(areas.select(key, *_shape(areas)), features).select(key, *(F.col(f"{f}_b").alias(f) for f in fields))
 
 
-def semi_points(points: DataFrame, boxes: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    """Points inside any, or outside all, of the rectangles."""
-    hit = points_in_boxes(points.select(key, "x", "y"), boxes.select(*_BOX), key).select(key).distinct()
+def semi_points(points: DataFrame, shapes: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Points inside any, or outside all, of the shapes; closed."""
+    hit = points_in_shapes(points.select(key, "x", "y"), shapes.select(*_shape(shapes)), key).select(key).distinct()
     return points.join(hit, key, "left_semi" if inside else "left_anti")
 
 
-def semi_boxes(df: DataFrame, boxes: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:
-    """Rectangles that meet any, or none, of the others."""
-    hit = boxes_meet(df.select(*keys, *_BOX), boxes.select(*_BOX)).select(*keys).distinct()
+def semi_shapes(df: DataFrame, others: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:
+    """Shapes that meet any, or none, of the others."""
+    hit = shapes_meet(df.select(*keys, *_shape(df)), others.select(*_shape(others))).select(*keys).distinct()
     return df.join(hit, list(keys), "left_semi" if inside else "left_anti")
 
 
@@ -106,38 +149,92 @@ def tile_rectangles(polys: DataFrame, tiles: DataFrame, key: str) -> DataFrame:
     return renumbered(at, [key, *_BOX])
 
 
-def rasterized(features: DataFrame, width: float = 1.0) -> DataFrame:
-    """tile_name, px, py, poly_id of the cells whose centre a rectangle holds, half-open; the smallest poly_id wins. Cells without one are missing."""
-    first = lambda c: F.ceil(F.col(c) / width - 0.5)
-    e = features.select("tile_name", "poly_id", "miny", "maxy", F.explode(F.when(first("minx") < first("maxx"), F.sequence(first("minx"), first("maxx") - 1))).alias("px"))
-    e = e.select("tile_name", "poly_id", "px", F.explode(F.when(first("miny") < first("maxy"), F.sequence(first("miny"), first("maxy") - 1))).alias("py"))
-    return e.groupBy("tile_name", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).agg(F.min("poly_id").alias("poly_id"))
+def tile_polygons(polys: DataFrame, tiles: DataFrame, key: str, least: float = 1e-9) -> DataFrame:
+    """Polygons cut into tiles: tile_name, ``key``, poly_id, bounds, vertices, area.
 
+    Those within a tile's ``buff`` stay whole; others are clipped to the
+    ``nbuff`` of each tile they meet. Several parts become several polygons,
+    those of an area up to ``least`` are dropped. A polygon belongs to the tile
+    whose ``nbuff`` holds its centroid, half-open, and ids are renumbered by
+    tile. ``key`` is unique in ``polys``.
+    """
+    t = lambda b: tiles.select("tile_name", f"{b}.*")
+    p = materialize(polys.select(key, *_BOX, *_RINGS), "tile-polygons")
+    near = boxes_meet(p.select(key, *_BOX), t("buff"))
+    within = (F.col("minx") >= F.col("minx_b")) & (F.col("miny") >= F.col("miny_b")) & (F.col("maxx") <= F.col("maxx_b")) & (F.col("maxy") <= F.col("maxy_b"))
+    whole = materialize(near.where(within).select(key).distinct(), "tile-whole")
+    cross = boxes_meet(p.join(whole, key, "left_anti"), t("nbuff"), strict=True).select(key, *_RINGS, *(f"{c}_b" for c in _BOX))
+    # a whole polygon is clipped by nothing
+    wide = [F.lit(v).alias(f"{c}_b") for c, v in zip(_BOX, (float("-inf"),) * 2 + (float("inf"),) * 2, strict=True)]
+    both = p.join(whole, key, "left_semi").select(key, *_RINGS, *wide).unionByName(cross)
+    names = [*_BOX, *_RINGS, "area", "x", "y"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = Rings.of(b)
+            box = np.column_stack([b.column(f"{c}_b").to_numpy() for c in _BOX])
+            whole = np.isinf(box).all(1)
+            rows, made = [], []
+            for i in range(b.num_rows):
+                rings = r.rings(i)
+                for part in parts(rings if whole[i] else clip(rings, tuple(box[i])), least):
+                    rows.append(i)
+                    made.append(part)
+            if not made:
+                continue
+            flat = [np.concatenate(m) for m in made]
+            at = np.concatenate(([0], np.cumsum([len(f) for f in flat])))
+            xy = np.concatenate(flat)
+            xs, ys = (pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(xy[:, k]))) for k in (0, 1))
+            ends = pa.array([np.cumsum([len(q) for q in m]).tolist() for m in made], pa.list_(pa.int32()))
+            area, cx, cy = Rings(xs, ys, ends).moments()
+            bounds = [f.reduceat(xy[:, k], at[:-1]) for f in (np.minimum, np.maximum) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), *map(pa.array, bounds), xs, ys, ends, *map(pa.array, (area, cx, cy))], names=[key, *names])
+
+    kind = polys.schema[key].dataType.simpleString()
+    pieces = both.mapInArrow(cut, f"`{key}` {kind}, minx double, miny double, maxx double, maxy double, xs array<double>, ys array<double>, ends array<int>, area double, x double, y double")
+    home = t("nbuff").withColumnsRenamed({c: f"_{c}" for c in _BOX})
+    at = region_candidates(pieces.withColumnsRenamed({c: f"p_{c}" for c in (*_BOX, *_RINGS)}), home.withColumnsRenamed({f"_{c}": c for c in _BOX}), key)
+    at = at.where((F.col("x") < F.col("maxx")) & (F.col("y") < F.col("maxy"))).select("tile_name", key, *(F.col(f"p_{c}").alias(c) for c in (*_BOX, *_RINGS)), "area")
+    return renumbered(at, [key, *_BOX, "area"])
 
-def semi_polygons(points: DataFrame, rings: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    """Points inside any, or outside all, of the polygons of :func:`proximity.with_rings`; closed."""
-    r = rings.select(F.monotonically_increasing_id().alias("_zone_id"), *_BOX, "xs", "ys", "ends")
-    hit = containing_regions(points.select(key, "x", "y"), r, key, "_zone_id", closed=True).select(key).distinct()
-    return points.join(hit, key, "left_semi" if inside else "left_anti")
+
+def rasterized(features: DataFrame, width: float = 1.0) -> DataFrame:
+    """tile_name, px, py, poly_id of the cells whose centre a shape holds, half-open; the smallest poly_id wins. Cells without one are missing."""
+    if is_polygons(features):
+        keys = ["tile_name", "poly_id"]
+        kinds = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, py, first, last = Rings.of(b).spans(width)
+                own = [b.column(k).take(pa.array(row)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(py), pa.array(first), pa.array(last)], names=[*keys, "py", "_from", "_to"])
+
+        e = features.select(*keys, *_RINGS).mapInArrow(run, f"{kinds}, py bigint, _from bigint, _to bigint")
+        e = e.select(*keys, "py", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("px"))
+    else:
+        first = lambda c: F.ceil(F.col(c) / width - 0.5)
+        e = features.select("tile_name", "poly_id", "miny", "maxy", F.explode(F.when(first("minx") < first("maxx"), F.sequence(first("minx"), first("maxx") - 1))).alias("px"))
+        e = e.select("tile_name", "poly_id", "px", F.explode(F.when(first("miny") < first("maxy"), F.sequence(first("miny"), first("maxy") - 1))).alias("py"))
+    return e.groupBy("tile_name", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).agg(F.min("poly_id").alias("poly_id"))
 
 
 def merged_by_zone(sources: dict[str, DataFrame], zones: DataFrame, zone_field: str, key: str = "fid", outside: str = "<none>") -> DataFrame:
     """Point features of each zone from the zone's own source, and from ``sources[outside]`` what lies in no zone; ids 1..n by tile.
 
     A source is named after its zone. Columns that a source lacks are null.
-    Zones are rectangles, or polygons if they have the columns of
-    :func:`proximity.with_rings`; both are closed.
+    Zones are rectangles or polygons, closed.
     """
-    semi = semi_polygons if "xs" in zones.columns else semi_points
     parts = None
     for name, df in sources.items():
-        one = semi(df, zones, key, inside=False) if name == outside else semi(df, zones.where(F.col(zone_field) == name), key)
+        one = semi_points(df, zones, key, inside=False) if name == outside else semi_points(df, zones.where(F.col(zone_field) == name), key)
         one = one.withColumn("_zone", F.lit(name))
         parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
     return renumbered(parts, ["_zone", key]).withColumnRenamed("_zone", zone_field)
 
 
-def uncovered_area(boxes: DataFrame, boundary: DataFrame, width: float) -> DataFrame:
-    """Area of the boundary's cells whose centre no rectangle holds: one row, area. Cells of ``width`` stand in for an exact overlay."""
+def uncovered_area(shapes: DataFrame, boundary: DataFrame, width: float) -> DataFrame:
+    """Area of the boundary's cells whose centre no shape holds: one row, area. Cells of ``width`` stand in for an exact overlay."""
     cells = lambda df: rasterized(df.withColumns({"tile_name": F.lit(""), "poly_id": F.lit(0)}), width).select("px", "py")
-    return cells(boundary).join(cells(boxes), ["px", "py"], "left_anti").agg((F.count(F.lit(1)) * F.lit(float(width) ** 2)).alias("area"))
+    return cells(boundary).join(cells(shapes), ["px", "py"], "left_anti").agg((F.count(F.lit(1)) * F.lit(float(width) ** 2)).alias("area"))

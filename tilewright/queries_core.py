@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright import queries_polygons
 from tilewright.fixtures import expanded, fixture
 from tilewright.functions import text
-from tilewright.operators import canopy, classify, metrics, pca, points, proximity, raster, report, segment, spatial, tiles
+from tilewright.operators import canopy, classify, metrics, pca, points, raster, report, segment, spatial, tiles
 from tilewright.sources.tables import table
 
 SEG = ["tile_name", "poly_id"]
@@ -144,7 +145,7 @@ QUERIES = {
     "zip_chunk_plan": lambda s, d: tiles.chunk_plan(table(s, d, "tile_reg"), 25, "img"),
     # spatial selection
     "read_from_pts": lambda s, d: spatial.read_from_points(fixture(s, d, "fx_treetops"), fixture(s, d, "fx_segments"), "tree_id", ["tile_name", "poly_id", "n_px"], ["tile_name", "poly_id"]),
-    "read_from_polys": lambda s, d: spatial.read_from_boxes(fixture(s, d, "fx_training_polys"), fixture(s, d, "fx_segments"), "fid", [*SEG, "n_px"]),
+    "read_from_polys": lambda s, d: spatial.read_from_areas(fixture(s, d, "fx_training_polys"), fixture(s, d, "fx_segments"), "fid", [*SEG, "n_px"]),
     "tile_poly": lambda s, d: spatial.tile_rectangles(fixture(s, d, "fx_training_polys"), _scheme(s), "fid"),
     "poly_to_ras": lambda s, d: spatial.rasterized(fixture(s, d, "fx_segments")),
     "merge_vts": lambda s, d: spatial.merged_by_zone(_zone_sources(s, d), fixture(s, d, "fx_zones"), "zone_name"),
@@ -194,9 +195,8 @@ QUERIES = {
     # algorithms by tile
     "segment_watershed": lambda s, d: segment.tile_crowns(fixture(s, d, "fx_pixels"), _trees(s, d).withColumn("tree_id", (F.col("py") * 1000 + F.col("px")).cast("bigint")), _scheme(s)),
     "segment_mss": lambda s, d: segment.mean_shift_segments(_pixels(s, d), ["r", "g", "b"], 3, 40, 6),
-    # points near points, and in regions
-    "p4_found": lambda s, d: proximity.p4_found(table(s, d, "training_points"), table(s, d, "seg_vts"), table(s, d, "tile_reg")),
 }
+QUERIES |= queries_polygons.QUERIES
 
 
 def _stored(x: str) -> str:
@@ -399,4 +399,4 @@ SELECT event_type, kind, freq, of_pie, round(start1, 6) AS start1, round(end1, 6
     "latest_project": "SELECT event_type AS project FROM events GROUP BY event_type ORDER BY min(ts) DESC, event_type DESC LIMIT 1",
 }
 
-ORACLE = {k: expanded(v) for k, v in _SQL.items()}
+ORACLE = {k: expanded(v) for k, v in _SQL.items()} | queries_polygons.ORACLE
