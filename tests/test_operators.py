@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import canopy, classify, metrics, pca, points, raster, report, segment, spatial, tiles
+from tilewright.plans import blocks
 
 
 def grid(spark, values, name="v", tile=lambda x, y: "R1C1"):
@@ -166,6 +167,34 @@ def test_treetops(spark):
     assert {(r.px, r.py) for r in segment.treetops(grid(spark, h, "chm", lambda x, y: f"{x // 10}"), rad, 3, 5).collect()} == want
 
 
+def test_windows_in_blocks_make_no_seams(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 9, (70, 90)).astype(float)
+    v[rng.random(v.shape) < 0.1] = np.nan
+    df = grid(spark, v).where("px % 17 <> 3 OR py % 5 <> 2").withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    there = {(r.px, r.py): r.v for r in df.collect()}
+    around = lambda at, x, y, rad: [at[x + i, y + j] for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= rad * rad and at.get((x + i, y + j)) is not None]
+    for side in (16, 256):
+        monkeypatch.setattr(raster, "over_blocks", lambda *a, side=side: blocks.over_blocks(*a, side=side))
+        for rad in (1, 2.3, 3):
+            low = {k: min(around(there, *k, rad), default=None) for k in there}
+            want = {k: max(around(low, *k, rad), default=None) for k in there}
+            assert cells(raster.opening(df, "v", rad)) == want
+    assert raster.opening(df.limit(0), "v", 1).count() == 0 and raster.hillshade(df.limit(0), "v").count() == 0
+    ints = spark.createDataFrame([(0, 0, 1), (1, 0, None), (2**30, -(2**30), 5)], "px int, py int, v int")
+    assert {(r.px, r.v) for r in raster.focal(ints, "v", 1, ["max"]).collect()} == {(0, 1), (1, 1), (2**30, 5)}
+
+
+def test_tops_of_tiles(spark):
+    h = np.zeros((10, 40))
+    h[5, [4, 19, 20, 33]] = [9, 8, 7, 6]
+    df = grid(spark, h, "chm")
+    got = segment.treetops(df, lambda v: v * 0 + 3, 3, 1, tiles=tiles.scheme(spark, 1, 2, 20.0, 2.0)).collect()
+    # 20 is overruled across the border; the tile without heights has none
+    assert {(r.tile_name, r.px) for r in got} == {("R1C1", 4), ("R1C1", 19), ("R1C2", 33)}
+    assert segment.treetops(df.withColumn("chm", F.lit(None).cast("double")), lambda v: v, 3, 1).count() == 0
+
+
 def test_watershed(spark):
     h = [[1, 3, 1, 0, 1, 4, 1]] * 2
     tops = spark.createDataFrame([("R1C1", 1, 0, 11, 3.0), ("R1C1", 5, 0, 22, 4.0)], "tile_name string, px int, py int, tree_id long, height double")

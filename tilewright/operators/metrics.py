@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.raster import nan_div
+from tilewright.plans.blocks import Block, over_blocks
 
 SEGMENT = ("tile_name", "poly_id")
 #: Aggregates by name, for zonal statistics.
@@ -45,16 +49,37 @@ def texture(pixels: DataFrame, segments: DataFrame, band: str, limits: tuple[flo
 
     The band is clamped to ``limits`` and cut into ``n_grey`` equal levels 0 ..
     n_grey - 1. Pairs lie within a segment, are counted both ways over all
-    shifts and made shares. Each pixel is sent to its partners' cells, so pairs
-    meet by equality; n_grey squared counts a segment are shuffled.
+    shifts and made shares. Pairs are counted in blocks of cells that have the
+    partners as a halo; up to n_grey squared counts a segment and block are
+    shuffled. Null and NaN pixels pair with none.
     """
     low, high = map(float, limits)
     v = F.least(F.greatest(F.col(band).cast("double"), F.lit(low)), F.lit(high))
     level = F.least(F.floor((v - low) / (high - low) * n_grey), F.lit(n_grey - 1)).cast("int")
-    p = pixels.where(F.col(band).isNotNull()).select(*SEGMENT, "px", "py", level.alias("g"))
-    off = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in shifts))).alias("o")
-    q = p.select(*SEGMENT, "px", "py", F.col("g").alias("h"), off).select(*SEGMENT, (F.col("px") + F.col("o.i")).alias("px"), (F.col("py") + F.col("o.j")).alias("py"), "h")
-    one = p.join(q, [*SEGMENT, "px", "py"]).groupBy(*SEGMENT, "g", "h").agg(F.count(F.lit(1)).alias("n"))
+    p = pixels.where(F.col(band).isNotNull() & ~F.isnan(F.col(band).cast("double"))).select(*SEGMENT, "px", "py", level.alias("g"))
+    halo = max(max(abs(i), abs(j)) for i, j in shifts)
+
+    def work(b: Block) -> pa.Table:
+        first = pd.DataFrame({c: b.table[c].to_pandas() for c in SEGMENT})
+        code = first.groupby(list(SEGMENT), sort=False, dropna=True).ngroup().to_numpy()
+        seg, g = np.full(b.shape, -1), np.zeros(b.shape, np.int64)
+        seg[b.i, b.j], g[b.i, b.j] = code, b.table["g"].to_numpy()
+        i, j = b.i[b.own], b.j[b.own]
+        found = [np.zeros(0, np.int64)]
+        for dx, dy in shifts:
+            same = (seg[i, j] >= 0) & (seg[i + dy, j + dx] == seg[i, j])
+            y, x = i[same], j[same]
+            found.append((seg[y, x] * n_grey + g[y + dy, x + dx]) * n_grey + g[y, x])
+        key, n = np.unique(np.concatenate(found), return_counts=True)
+        at = np.zeros(code.max(initial=-1) + 1, np.int64)
+        at[code[code >= 0]] = np.flatnonzero(code >= 0)
+        own = b.table.select(list(SEGMENT)).take(pa.array(at[key // n_grey**2]))
+        for name, x in (("g", key // n_grey % n_grey), ("h", key % n_grey)):
+            own = own.append_column(name, pa.array(x.astype(np.int32)))
+        return own.append_column("n", pa.array(n))
+
+    kinds = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in SEGMENT)
+    one = over_blocks(p, [*SEGMENT, "g"], halo, work, f"{kinds}, g int, h int, n bigint")
     both = one.select(*SEGMENT, F.explode(F.array(F.struct("g", "h", "n"), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), "n"))).alias("e")).select(*SEGMENT, "e.*")
     pairs = both.groupBy(*SEGMENT, "g", "h").agg(F.sum("n").cast("double").alias("n"))
     d = F.abs(F.col("g") - F.col("h")).cast("double")

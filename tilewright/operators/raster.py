@@ -7,11 +7,15 @@ null is skipped by them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.blocks import Block, extreme, over_blocks, shifted
 from tilewright.plans.skew import broadcast_if_small
 
 CELL = ("px", "py")
@@ -144,13 +148,6 @@ def mosaic(df: DataFrame, bands: Sequence[str]) -> DataFrame:
     return df.groupBy(*CELL).agg(*(F.min_by(b, "tile_name").alias(b) for b in bands))
 
 
-def neighbours(df: DataFrame, band: str, offsets: Sequence[tuple[int, int]], name: str = "v") -> DataFrame:
-    """Each cell's values around every cell, as a map-side explode and one shuffle: (px, py, dx, dy, v) for the cell at (px, py)."""
-    off = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in offsets))).alias("o")
-    e = df.select(*CELL, F.col(band).alias(name), off)
-    return e.select((F.col("px") - F.col("o.dx")).alias("px"), (F.col("py") - F.col("o.dy")).alias("py"), F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"), name)
-
-
 def circle(radius: float) -> list[tuple[int, int]]:
     """Offsets within the radius; an error if that is the cell alone."""
     n = int(radius)
@@ -160,36 +157,55 @@ def circle(radius: float) -> list[tuple[int, int]]:
     return got
 
 
-def focal(df: DataFrame, band: str, offsets: Sequence[tuple[int, int]], how: str) -> DataFrame:
-    """Least ("min") or greatest ("max") value in the window of each cell of ``df``; nulls don't count."""
-    f = {"min": F.min, "max": F.max}[how]
-    around = neighbours(df, band, offsets).groupBy(*CELL).agg(f("v").alias(band), F.max((F.col("dx") == 0) & (F.col("dy") == 0)).alias("_own"))
-    return around.where("_own").drop("_own")
+def _as_double(df: DataFrame, band: str) -> DataFrame:
+    return df.select(*CELL, _num(band).alias("_v"))
+
+
+def _back(grid: np.ndarray) -> pa.Array:
+    """Values with nulls for NaN."""
+    return pa.array(grid, mask=np.isnan(grid))
+
+
+def focal(df: DataFrame, band: str, radius: float, how: Sequence[str]) -> DataFrame:
+    """``band`` of each cell after least ("min") and greatest ("max") values within a circle, one step after the other; nulls and NaN don't count.
+
+    All steps are done in blocks, with a halo as wide as all of them reach.
+    Only cells of ``df`` have values, also between steps.
+    """
+    circle(radius)
+
+    def work(b: Block) -> pa.Table:
+        v, there = b.grid("_v"), b.there()
+        for step in how:
+            v = np.where(there, extreme(v, radius, step), np.nan)
+        return b.rows(CELL, {"v": _back(b.at_own(v))})
+
+    kind = df.schema[band].dataType
+    out = over_blocks(_as_double(df, band), ["_v"], int(radius) * len(how), work, "px int, py int, v double")
+    return out.select(*CELL, F.col("v").cast(kind).alias(band))
 
 
 def opening(df: DataFrame, band: str, radius: float, times: int = 1) -> DataFrame:
     """Morphological opening: erosion, then dilation by a circle, so often. ``df`` is the dense grid; cells beyond it don't count."""
-    off = circle(radius)
-    out = df.select(*CELL, band)
-    for _ in range(times):
-        out = focal(focal(out, band, off, "min"), band, off, "max")
-    return out
+    return focal(df, band, radius, ["min", "max"] * times) if times else df.select(*CELL, band)
 
 
 def hillshade(df: DataFrame, band: str, azimuth: float = 315.0, altitude: float = 45.0, width: float = 1.0) -> DataFrame:
-    """Horn's 3x3 shade 0 .. 255 of cells with all eight neighbours; y grows north."""
-    off = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    n = neighbours(df, band, off).groupBy(*CELL).agg(*(F.max(F.when((F.col("dx") == i) & (F.col("dy") == j), F.col("v"))).alias(f"z{i + 1}{j + 1}") for i, j in off))
-    z = lambda i, j: F.col(f"z{i + 1}{j + 1}")
-    full = n.dropna()
-    gx = ((z(1, 1) + 2 * z(1, 0) + z(1, -1)) - (z(-1, 1) + 2 * z(-1, 0) + z(-1, -1))) / F.lit(8.0 * width)
-    gy = ((z(-1, 1) + 2 * z(0, 1) + z(1, 1)) - (z(-1, -1) + 2 * z(0, -1) + z(1, -1))) / F.lit(8.0 * width)
-    import math
-
+    """Horn's 3x3 shade 0 .. 255 of cells with all eight neighbours, none of them null or NaN; y grows north."""
     zenith, az = math.radians(90 - altitude), math.radians(azimuth)
-    # the light's direction against the surface's normal (-gx, -gy, 1)
-    light = (F.lit(math.cos(zenith)) - gx * F.lit(math.sin(zenith) * math.sin(az)) - gy * F.lit(math.sin(zenith) * math.cos(az))) / F.sqrt(1 + gx * gx + gy * gy)
-    return full.select(*CELL, F.floor(F.greatest(light, F.lit(0.0)) * 255 + F.lit(0.5)).cast("int").alias("shade"))
+
+    def work(b: Block) -> pa.Table:
+        v = b.grid("_v")
+        z = {(i, j): b.at_own(shifted(v, i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+        gx = ((z[1, 1] + 2 * z[1, 0] + z[1, -1]) - (z[-1, 1] + 2 * z[-1, 0] + z[-1, -1])) / (8.0 * width)
+        gy = ((z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])) / (8.0 * width)
+        # the light's direction against the surface's normal (-gx, -gy, 1)
+        light = (math.cos(zenith) - gx * (math.sin(zenith) * math.sin(az)) - gy * (math.sin(zenith) * math.cos(az))) / np.sqrt(1 + gx * gx + gy * gy)
+        full = np.isfinite(light) & ~np.isnan(z[0, 0])
+        shade = np.floor(np.maximum(np.where(full, light, 0), 0) * 255 + 0.5).astype(np.int32)
+        return b.rows(CELL, {"shade": pa.array(shade)}, full)
+
+    return over_blocks(_as_double(df, band), ["_v"], 1, work, "px int, py int, shade int")
 
 
 def _tent(d: Column) -> Column:

@@ -8,33 +8,47 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.raster import crop, neighbours
+from tilewright.operators.raster import crop
+from tilewright.plans.blocks import Block, over_blocks
 
 
-def treetops(chm: DataFrame, radius: Callable[[Column], Column], most: float, least: float, band: str = "chm") -> DataFrame:
+def treetops(chm: DataFrame, radius: Callable[[Column], Column], most: float, least: float, band: str = "chm", tiles: DataFrame | None = None, width: float = 1.0) -> DataFrame:
     """Cells of height ``least`` or more with no higher cell within ``radius(height)`` cells: px, py, height.
 
-    Each cell sends its height to the cells within ``most``, which is the
-    greatest radius; one aggregate finds whether any of them overrules the
-    cell. The number of rows is fixed by the window, not by the data. Equal
-    neighbours are both tops unless the band is jittered. Null heights are no
-    tops and overrule none.
+    ``most`` is the greatest radius, and the halo of the blocks that cells are
+    searched in, the nearest neighbours first: few cells need many. Equal
+    neighbours are both tops unless the band is jittered. Null and NaN heights
+    are no tops and overrule none. With a scheme of ``tiles``, tops in the
+    ``nbuff`` of one, with its tile_name; tiles without a finite height have
+    none, as there is nothing to search.
     """
     n = int(math.floor(most))
-    off = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if (i or j) and i * i + j * j <= most * most]
-    d = chm.where(F.col(band).isNotNull() & ~F.isnan(F.col(band).cast("double"))).select("px", "py", F.col(band).alias("h"))
-    # the greatest height at each squared distance, and so within each possible radius
-    by = sorted({i * i + j * j for i, j in off})
-    around = neighbours(d, "h", off).withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    own = d.where(F.col("h") >= least).withColumn("r", F.least(radius(F.col("h")), F.lit(float(most))))
-    # partial aggregation by cell: one row of maxima for each
-    tops = around.groupBy("px", "py").agg(*(F.max(F.when(F.col("d2") == k, F.col("v"))).alias(f"m{k}") for k in by))
-    j = own.join(tops, ["px", "py"], "left")
-    over = F.greatest(F.lit(float("-inf")), *(F.when(F.col("r") * F.col("r") >= k, F.col(f"m{k}").cast("double")) for k in by)) if by else F.lit(float("-inf"))
-    return j.where(F.coalesce(over, F.lit(float("-inf"))) <= F.col("h")).select("px", "py", F.col("h").alias("height"))
+    off = sorted((i * i + j * j, i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if (i or j) and i * i + j * j <= most * most)
+    kind = chm.schema[band].dataType
+    h = F.col(band).cast("double")
+    d = chm.where(F.col(band).isNotNull() & ~F.isnan(h)).select("px", "py", h.alias("h"), F.when(h >= least, F.least(radius(F.col(band)), F.lit(float(most)))).cast("double").alias("r"))
+
+    def work(b: Block) -> pa.Table:
+        h, r = b.grid("h"), b.grid("r")
+        i, j = b.i[b.own], b.j[b.own]
+        left = np.flatnonzero(~np.isnan(r[i, j]))
+        i, j = i[left], j[left]
+        own, reach = h[i, j], r[i, j] ** 2
+        for d2, dx, dy in off:
+            top = (reach < d2) | ~(h[i + dy, j + dx] > own)
+            left, i, j, own, reach = left[top], i[top], j[top], own[top], reach[top]
+        keep = np.zeros(len(b.own), bool)
+        keep[left] = True
+        return b.rows(["px", "py"], {"height": pa.array(b.at_own(h))}, keep)
+
+    tops = over_blocks(d, ["h", "r"], n, work, "px int, py int, height double").withColumn("height", F.col("height").cast(kind))
+    if tiles is None:
+        return tops
+    return crop(tops, tiles, "nbuff", width).select("tile_name", "px", "py", "height")
 
 
 def watershed(height: np.ndarray, markers: np.ndarray, least: float) -> np.ndarray:
