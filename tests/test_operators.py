@@ -221,6 +221,25 @@ def test_mean_shift_finds_two_fields(spark):
     assert len(got) == 60 and got.poly_id.nunique() == 2 and got[got.px < 5].poly_id.nunique() == 1
 
 
+def test_mean_shift_moves_in_space():
+    # a smooth ramp: windows climb to the ends of the range they see, and all settle
+    v = np.add.outer(np.zeros(12), np.arange(40) * 3.0)[..., None]
+    got, unsettled = segment.mean_shift(v, np.ones(v.shape[:2], bool), 4, 12, 10)
+    assert unsettled == 0 and got.min() == 1 and all(np.bincount(got.ravel())[1:] >= 10)
+    # a cell moves towards like ones in reach, not through a gap that is wider
+    w = np.array([[1.0, 1, 1, 0, 0, 0, 0, 1, 1, 1]])
+    got, _ = segment.mean_shift(w[..., None], w > 0, 2, 5, 1)
+    assert got.tolist() == [[1, 1, 1, 0, 0, 0, 0, 2, 2, 2]]
+
+
+def test_small_segments_join_the_nearest():
+    label = np.array([0, 0, 0, 1, 2, 2, 2, 3])
+    pairs = np.array([[i, i + 1] for i in range(6)])
+    got = segment.merged_small(label, pairs, np.array([[1.0], [1], [1], [4], [9], [9], [9], [9]]), 3)
+    assert len({*got[:4]}) == 1 and len({*got[4:7]}) == 1 and len({*got}) == 3
+    assert segment.merged_small(label, pairs[:0], np.ones((8, 1)), 9).tolist() == [0, 0, 0, 1, 2, 2, 2, 3]
+
+
 def test_edits_are_a_fold(spark):
     seg = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, None)], "fid int, seg_class string")
     hits = [(f, 2, "B", "D") for f in (1, 2, 3)] + [(f, 1, "A  C\t", "B") for f in (1, 3)] + [(f, 3, " ", "Z") for f in (3, 4)] + [(2, 4, None, "Y")]

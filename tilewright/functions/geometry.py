@@ -62,7 +62,7 @@ class Rings:
     def holds(self, row: np.ndarray, px: np.ndarray, py: np.ndarray, closed: bool = False) -> np.ndarray:
         """Whether each place is inside the polygon of its row, or, if ``closed``, within a billionth of its lines."""
         out = np.zeros(len(row), bool)
-        for a, z in _chunks(self.n[row]):
+        for a, z in chunks(self.n[row]):
             r, qx, qy = row[a:z], px[a:z], py[a:z]
             who, e = np.repeat(np.arange(z - a), self.n[r]), ranges(self.first[r], self.n[r])
             vx, vy, x2, y2 = self.x[e], self.y[e], self.x[self.next[e]], self.y[self.next[e]]
@@ -93,7 +93,7 @@ class Rings:
         return row[some], py[some], px[::2][some], px[1::2][some]
 
 
-def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+def chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about CHUNK."""
     if not len(sizes):
         return []
@@ -106,7 +106,7 @@ def meet(a: Rings, b: Rings) -> np.ndarray:
     """Whether the polygons of each row have a point in common: edges that cross or touch, or one within the other."""
     out = np.zeros(len(a.n), bool)
     pairs = a.n * b.n
-    for lo, hi in _chunks(pairs):
+    for lo, hi in chunks(pairs):
         n = pairs[lo:hi]
         row, k = np.repeat(np.arange(lo, hi), n), ranges(np.zeros(hi - lo, np.int64), n)
         i, j = a.first[row] + k // b.n[row], b.first[row] + k % b.n[row]

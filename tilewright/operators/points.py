@@ -6,6 +6,7 @@ half-open: floor(x / width).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.geometry import chunks, ranges
 from tilewright.operators.raster import jitter
 from tilewright.plans.stage import materialize
 
@@ -126,24 +128,100 @@ def ground_points(points: DataFrame, classes: Sequence[int] = (2, 9)) -> DataFra
     return distinct_points(points.where(F.col("classification").isin(list(classes))))
 
 
+def _curve(xy: np.ndarray) -> np.ndarray:
+    """Order of the points along a curve that keeps neighbours near one another: bits of x and y in turn, rows back and forth."""
+    low, span = xy.min(0), max(np.ptp(xy, axis=0).max(), 1e-300)
+    k = max(1, int(math.sqrt(len(xy) / 4)))
+    cell = np.minimum(((xy - low) / span * k).astype(np.int64), k - 1)
+    back = np.where(cell[:, 1] % 2 == 0, xy[:, 0], -xy[:, 0])
+    return np.lexsort((back, cell[:, 1]))
+
+
 def _triangles(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of distinct points by insertion, each point's cavity found among the triangles whose circle holds it."""
+    """Delaunay triangles of distinct points.
+
+    Points are inserted along a curve; each is found by a walk from the last
+    one's triangle, and the triangles whose circle holds it give way to new
+    ones. So a point costs a few steps, however many there are.
+    """
     n = len(xy)
-    mid, size = xy.mean(0), max(np.ptp(xy, axis=0).max(), 1e-9) * 1000
-    p = np.vstack([xy, mid + [-size, -size], mid + [size, -size], mid + [0, size]])
-    tri = np.array([[n, n + 1, n + 2]])
-    circ = _circles(p, tri)
-    for i in range(n):
-        d = ((circ[:, :2] - p[i]) ** 2).sum(1) - circ[:, 2]
-        bad = d < 1e-9 * np.maximum(circ[:, 2], 1e-12)
-        t = tri[bad]
-        edge = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1)
-        edge, times = np.unique(edge, axis=0, return_counts=True)
-        new = np.column_stack([edge[times == 1], np.full((times == 1).sum(), i)])
-        a, b, c = p[new[:, 0]], p[new[:, 1]], p[new[:, 2]]
-        new = new[np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) > 1e-12]
-        tri, circ = np.concatenate([tri[~bad], new]), np.concatenate([circ[~bad], _circles(p, new)])
-    return tri[(tri < n).all(1)]
+    if n < 3:
+        return np.zeros((0, 3), np.int64)
+    mid, size = (xy.min(0) + xy.max(0)) / 2, max(np.ptp(xy, axis=0).max(), 1e-9) * 1000
+    x, y = ((xy[:, k] - mid[k]).tolist() + v for k, v in ((0, [-size, size, 0.0]), (1, [-size, -size, size])))
+    # vertices counter-clockwise and the triangle across from each, three numbers a triangle; -1 is none
+    tri, nbr, dead = [n, n + 1, n + 2], [-1, -1, -1], []
+    at = 0
+    for p in _curve(xy).tolist():
+        qx, qy = x[p], y[p]
+        came, steps = -1, 0
+        while True:
+            base = 3 * at
+            for i in (0, 1, 2):
+                to = nbr[base + i]
+                if to == came or to < 0:
+                    continue
+                a, b = tri[base + (i + 1) % 3], tri[base + (i + 2) % 3]
+                if (x[b] - x[a]) * (qy - y[a]) - (y[b] - y[a]) * (qx - x[a]) < 0:
+                    break
+            else:
+                break
+            came, at, steps = at, to, steps + 1
+            if steps > 3 * len(tri):
+                break
+        # the cavity, and its border in turn: vertices and the triangle outside
+        cavity, stack, border = {at}, [at], []
+        while stack:
+            t = stack.pop()
+            for i in (0, 1, 2):
+                o = nbr[3 * t + i]
+                if o in cavity:
+                    continue
+                if o >= 0:
+                    a, b, c = tri[3 * o], tri[3 * o + 1], tri[3 * o + 2]
+                    ax, ay, bx, by, cx, cy = x[a] - qx, y[a] - qy, x[b] - qx, y[b] - qy, x[c] - qx, y[c] - qy
+                    aa, bb, cc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+                    u, v, w = aa * (bx * cy - cx * by), bb * (ax * cy - cx * ay), cc * (ax * by - bx * ay)
+                    if u - v + w > 1e-13 * (abs(u) + abs(v) + abs(w)):
+                        cavity.add(o)
+                        stack.append(o)
+                        continue
+                border.append((tri[3 * t + (i + 1) % 3], tri[3 * t + (i + 2) % 3], o, t))
+        # a triangle may have joined the cavity after its neighbour met it as the outside
+        border = [e for e in border if e[2] not in cavity]
+        if len({e[0] for e in border}) < len(border):
+            # rounding left a border that isn't one ring: the triangle that holds the point will do
+            cavity = {at}
+            border = [(tri[3 * at + (i + 1) % 3], tri[3 * at + (i + 2) % 3], nbr[3 * at + i], at) for i in (0, 1, 2)]
+        dead += cavity
+        by_start = {}
+        for a, b, o, t in border:
+            if dead:
+                k = dead.pop()
+            else:
+                k = len(tri) // 3
+                tri += (0, 0, 0)
+                nbr += (-1, -1, -1)
+            tri[3 * k], tri[3 * k + 1], tri[3 * k + 2] = p, a, b
+            nbr[3 * k] = o
+            if o >= 0:
+                # the side of the outer triangle that is across from its third vertex
+                for i in (0, 1, 2):
+                    if tri[3 * o + i] != a and tri[3 * o + i] != b:
+                        nbr[3 * o + i] = k
+            by_start[a] = k
+        for k in by_start.values():
+            # the next one around p starts where this one ends
+            m = by_start[tri[3 * k + 2]]
+            nbr[3 * k + 1], nbr[3 * m + 2] = m, k
+        at = k
+    got = np.array(tri, np.int64).reshape(-1, 3)
+    keep = (got < n).all(1)
+    keep[dead] = False
+    got = got[keep]
+    a, b, c = xy[got[:, 0]], xy[got[:, 1]], xy[got[:, 2]]
+    # three points in a line make no triangle
+    return got[np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) > 1e-12]
 
 
 def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
@@ -164,18 +242,39 @@ def tin_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, px: np.ndarray, py:
 
 
 def _interpolated(xy: np.ndarray, z: np.ndarray, tri: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """z at the places and the number of the triangle that holds each; NaN and -1 outside all."""
+    """z at the places and the number of the triangle that holds each; NaN and -1 outside all.
+
+    Places lie in a grid of about one each, and each triangle is tried for those in its bounds.
+    """
     out, holder = np.full(len(px), np.nan), np.full(len(px), -1)
-    for i, t in enumerate(tri):
-        a, b, c = xy[t]
-        box = (px >= min(a[0], b[0], c[0])) & (px <= max(a[0], b[0], c[0])) & (py >= min(a[1], b[1], c[1])) & (py <= max(a[1], b[1], c[1]))
-        k = np.flatnonzero(box)
-        d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-        u = ((b[1] - c[1]) * (px[k] - c[0]) + (c[0] - b[0]) * (py[k] - c[1])) / d
-        v = ((c[1] - a[1]) * (px[k] - c[0]) + (a[0] - c[0]) * (py[k] - c[1])) / d
-        hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
-        out[k[hit]] = u[hit] * z[t[0]] + v[hit] * z[t[1]] + (1 - u - v)[hit] * z[t[2]]
-        holder[k[hit]] = i
+    if not len(px) or not len(tri):
+        return out, holder
+    x0, y0 = px.min(), py.min()
+    w = max(math.sqrt(max(np.ptp(px) * np.ptp(py), 1e-18) / len(px)), np.ptp(px) / len(px), np.ptp(py) / len(px), 1e-9)
+    nx, ny = int(np.ptp(px) / w) + 1, int(np.ptp(py) / w) + 1
+    place = ((py - y0) / w).astype(np.int64) * nx + ((px - x0) / w).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[order], np.arange(nx * ny + 1))
+    corner = xy[tri]
+    low, high = ((f(corner, 1) - [x0, y0]) / w for f in (np.min, np.max))
+    i0, i1 = (np.clip(np.floor(v), -1, [nx, ny]).astype(np.int64) for v in (low, high))
+    i0, i1 = np.maximum(i0, 0), np.minimum(i1, [nx - 1, ny - 1])
+    rows = np.maximum(i1[:, 1] - i0[:, 1] + 1, 0) * (i1[:, 0] >= i0[:, 0])
+    # a row of the grid is one stretch of places
+    t = np.repeat(np.arange(len(tri)), rows)
+    line = ranges(i0[:, 1], rows) * nx
+    first, last = edge[line + i0[t, 0]], edge[line + i1[t, 0] + 1]
+    for lo, hi in chunks(last - first):
+        n = last[lo:hi] - first[lo:hi]
+        of, k = np.repeat(t[lo:hi], n), order[ranges(first[lo:hi], n)]
+        a, b, c = (corner[of, j] for j in (0, 1, 2))
+        d = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+        u = ((b[:, 1] - c[:, 1]) * (px[k] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (py[k] - c[:, 1])) / d
+        v = ((c[:, 1] - a[:, 1]) * (px[k] - c[:, 0]) + (a[:, 0] - c[:, 0]) * (py[k] - c[:, 1])) / d
+        hit = np.flatnonzero((u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9))
+        zt = z[tri[of[hit]]]
+        out[k[hit]] = u[hit] * zt[:, 0] + v[hit] * zt[:, 1] + (1 - u - v)[hit] * zt[:, 2]
+        holder[k[hit]] = of[hit]
     return out, holder
 
 

@@ -107,81 +107,126 @@ def tile_crowns(chm: DataFrame, tops: DataFrame, tiles: DataFrame, least: float
     return crown_table(cells, crop(tops, tiles, "nbuff", width), width)
 
 
-def mean_shift(values: np.ndarray, there: np.ndarray, spatial: float, spectral: float, smallest: int, rounds: int = 20) -> np.ndarray:
-    """Segment numbers 1.. of a (rows, columns, bands) image, 0 where there is nothing.
-
-    Each cell's colour moves to the mean of the cells within ``spatial`` whose
-    colour is within ``spectral`` until it stays. Four-neighbours whose modes
-    are within ``spectral`` / 2 join; segments below ``smallest`` join the
-    neighbour with the nearest mean colour.
+def mean_shift(values: np.ndarray, there: np.ndarray, spatial: float, spectral: float, smallest: int, rounds: int = 100, tolerance: float = 0.1) -> tuple[np.ndarray, int]:
+    """Segment numbers 1.. of a (rows, columns, bands) image, 0 where there is nothing, and how many cells had not settled after ``rounds``.
+
+    Each cell starts a window at its place and colour, which moves to the mean
+    place and colour of the cells within ``spatial`` of the one and
+    ``spectral`` of the other, until it moves by less than ``tolerance``, by the
+    sum of both distances. Four-neighbours whose windows end within both distances
+    of one another join; segments below ``smallest`` join the neighbour with the
+    nearest mean colour, the smallest first.
     """
     rows, cols, bands = values.shape
-    mode = np.where(there[..., None], values, np.nan)
-    n = int(spatial)
-    off = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j <= spatial * spatial]
-    pad = np.full((rows + 2 * n, cols + 2 * n, bands), np.nan)
-    pad[n : n + rows, n : n + cols] = mode
+    n = int(math.ceil(spatial))
+    off = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1)]
+    # place and colour of every cell, with a rim of nothing around the image
+    wide = cols + 2 * (n + 1)
+    pad = np.full((rows + 2 * (n + 1), wide, 2 + bands), np.nan)
+    y, x = np.mgrid[:rows, :cols]
+    inner = pad[n + 1 : n + 1 + rows, n + 1 : n + 1 + cols]
+    inner[...] = np.where(there[..., None], np.concatenate([np.stack([y, x], -1), values], -1), np.nan)
+    flat = pad.reshape(-1, 2 + bands)
+    cells = np.flatnonzero(there.ravel())
+    mode = inner.reshape(-1, 2 + bands)[cells]
+    live = np.arange(len(cells))
     for _ in range(rounds):
-        total, count = np.zeros_like(mode), np.zeros((rows, cols, 1))
+        if not len(live):
+            break
+        at = mode[live]
+        middle = (np.floor(at[:, 0] + 0.5).astype(np.int64) + n + 1) * wide + np.floor(at[:, 1] + 0.5).astype(np.int64) + n + 1
+        total, count = np.zeros_like(at), np.zeros(len(at))
         for i, j in off:
-            v = pad[n + i : n + i + rows, n + j : n + j + cols]
+            v = flat[middle + i * wide + j]
+            d = (v - at) ** 2
             with np.errstate(invalid="ignore"):
-                ok = ((v - mode) ** 2).sum(-1, keepdims=True) <= spectral * spectral
-            total += np.where(ok, v, 0)
+                ok = (d[:, 0] + d[:, 1] <= spatial * spatial) & (d[:, 2:].sum(1) <= spectral * spectral)
+            total[ok] += v[ok]
             count += ok
-        new = np.where(count > 0, total / np.maximum(count, 1), mode)
-        moved = np.nanmax(np.abs(new - mode)) if there.any() else 0
-        mode = new
-        if moved < 1e-3:
-            break
-    parent = np.arange(rows * cols)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    flat, idx = mode.reshape(-1, bands), np.arange(rows * cols).reshape(rows, cols)
+        new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], at)
+        mode[live] = new
+        live = live[np.sqrt(((new - at)[:, :2] ** 2).sum(1)) + np.sqrt(((new - at)[:, 2:] ** 2).sum(1)) >= tolerance]
+    idx = np.full(rows * cols, -1)
+    idx[cells] = np.arange(len(cells))
+    idx = idx.reshape(rows, cols)
     pairs = np.concatenate([np.column_stack([idx[:, :-1].ravel(), idx[:, 1:].ravel()]), np.column_stack([idx[:-1].ravel(), idx[1:].ravel()])])
-    pairs = pairs[there.ravel()[pairs].all(1)]
-    for a, b in pairs[((flat[pairs[:, 0]] - flat[pairs[:, 1]]) ** 2).sum(1) <= spectral * spectral / 4].tolist():
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    label = np.array([root(i) for i in range(rows * cols)])
-    raw = values.reshape(-1, bands)
-    while True:
-        ids, size = np.unique(label[there.ravel()], return_counts=True)
-        small = ids[size < smallest]
-        if len(small) == 0 or len(ids) == 1:
-            break
-        s = small[np.argmin(size[size < smallest])]
-        la, lb = label[pairs[:, 0]], label[pairs[:, 1]]
-        near = np.unique(np.concatenate([lb[(la == s) & (lb != s)], la[(lb == s) & (la != s)]]))
-        if not len(near):
-            # an island: it stays as it is
-            smallest_there = size[ids == s][0]
-            if (size[size < smallest] == smallest_there).all():
-                break
-            smallest = int(smallest_there)
-            continue
-        mean = raw[label == s].mean(0)
-        label[label == s] = min(near, key=lambda k: (((raw[label == k].mean(0) - mean) ** 2).sum(), k))
+    pairs = pairs[(pairs >= 0).all(1)]
+    d = (mode[pairs[:, 0]] - mode[pairs[:, 1]]) ** 2
+    near = (d[:, :2].sum(1) <= spatial * spatial) & (d[:, 2:].sum(1) <= spectral * spectral)
+    label = joined(len(cells), pairs[near])
+    label = merged_small(label, pairs, values.reshape(-1, bands)[cells], smallest)
     out = np.zeros(rows * cols, np.int64)
-    ids = np.unique(label[there.ravel()])
-    out[there.ravel()] = np.searchsorted(ids, label[there.ravel()]) + 1
-    return out.reshape(rows, cols)
+    out[cells] = np.unique(label, return_inverse=True)[1] + 1
+    return out.reshape(rows, cols), len(live)
+
 
+def joined(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest of each cell's component under the pairs."""
+    parent = np.arange(n)
+    a, b = pairs[:, 0], pairs[:, 1]
+    while len(a):
+        x, y = parent[a], parent[b]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+    return parent
 
-def mean_shift_segments(pixels: DataFrame, bands: Sequence[str], spatial: float = 19.5, spectral: float = 17.0, smallest: int = 40) -> DataFrame:
-    """tile_name, px, py, poly_id: mean-shift segments by tile. A cell with a null band belongs to none. A tile must fit in a task."""
+
+def merged_small(label: np.ndarray, pairs: np.ndarray, values: np.ndarray, smallest: int) -> np.ndarray:
+    """Labels after segments below ``smallest`` have joined the neighbour with the nearest mean, the smallest first.
+
+    Sizes, sums and neighbours are kept by segment, so a merge costs what its
+    neighbours number. A segment without neighbours stays.
+    """
+    ids, of = np.unique(label, return_inverse=True)
+    size = np.bincount(of, minlength=len(ids)).astype(float)
+    total = np.column_stack([np.bincount(of, v, len(ids)) for v in values.T])
+    ab = of[pairs]
+    ab = np.unique(np.sort(ab[ab[:, 0] != ab[:, 1]], axis=1), axis=0)
+    beside: dict[int, set[int]] = {}
+    for a, b in ab.tolist():
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    into = np.arange(len(ids))
+    heap = [(size[k], k) for k in np.flatnonzero(size < smallest).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        n, s = heapq.heappop(heap)
+        if into[s] != s or n != size[s] or not beside.get(s):
+            continue
+        around = sorted(beside[s])
+        means = total[around] / size[around][:, None]
+        k = around[int(((means - total[s] / size[s]) ** 2).sum(1).argmin())]
+        into[s] = k
+        size[k] += size[s]
+        total[k] += total[s]
+        for o in beside.pop(s):
+            beside[o].discard(s)
+            if o != k:
+                beside[o].add(k)
+                beside[k].add(o)
+        if size[k] < smallest:
+            heapq.heappush(heap, (size[k], k))
+    while not np.array_equal(up := into[into], into):
+        into = up
+    return into[of]
+
+
+def mean_shift_segments(pixels: DataFrame, bands: Sequence[str], spatial: float = 19.5, spectral: float = 17.0, smallest: int = 40, rounds: int = 100) -> DataFrame:
+    """tile_name, px, py, poly_id, unsettled: mean-shift segments by tile. A cell with a null band belongs to none. A tile must fit in a task.
+
+    ``unsettled`` is how many of the tile's windows still moved after ``rounds``, normally none.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = pdf["px"].min(), pdf["py"].min()
         v = np.full((pdf["py"].max() - y0 + 1, pdf["px"].max() - x0 + 1, len(bands)), np.nan)
         v[pdf["py"] - y0, pdf["px"] - x0] = pdf[list(bands)]
         there = ~np.isnan(v).any(-1)
-        got = mean_shift(np.nan_to_num(v), there, spatial, spectral, smallest)
+        got, unsettled = mean_shift(np.nan_to_num(v), there, spatial, spectral, smallest, rounds)
         i, j = np.nonzero(got)
-        return pd.DataFrame({"tile_name": pdf["tile_name"].iloc[0], "px": (j + x0).astype(np.int32), "py": (i + y0).astype(np.int32), "poly_id": got[i, j].astype(np.int32)})
+        return pd.DataFrame({"tile_name": pdf["tile_name"].iloc[0], "px": (j + x0).astype(np.int32), "py": (i + y0).astype(np.int32), "poly_id": got[i, j].astype(np.int32), "unsettled": np.int32(unsettled)})
 
-    return pixels.select("tile_name", "px", "py", *(F.col(b).cast("double").alias(b) for b in bands)).groupBy("tile_name").applyInPandas(one, "tile_name string, px int, py int, poly_id int")
+    return pixels.select("tile_name", "px", "py", *(F.col(b).cast("double").alias(b) for b in bands)).groupBy("tile_name").applyInPandas(one, "tile_name string, px int, py int, poly_id int, unsettled int")
