@@ -56,11 +56,24 @@ def test_update_by_id_within_a_tile(spark):
     assert again["R1C1", 1] is None and again["R1C1", 2] == 7
 
 
-def test_append_rejects_repeated_ids(spark):
+def test_append_and_its_errors(spark):
     f = spark.createDataFrame([("R1C1", 1)], "tile_name string, poly_id int")
+    reg = spark.createDataFrame([("R1C1", "geom", True), ("R1C2", "geom", False), ("R1C3", "geom", False)], "tile_name string, attribute string, done boolean")
+    more = spark.createDataFrame([(1, "A")], "poly_id int, poly_name string")
     with pytest.raises(ValueError, match="Duplicate 'poly_id'"):
-        tiles.appended(f, spark.createDataFrame([(1,), (1,)], "poly_id int"), "R1C2")
-    assert tiles.appended(f, spark.createDataFrame([(1, "A")], "poly_id int, poly_name string"), "R1C2").count() == 2
+        tiles.appended(f, reg, more.union(more), "R1C2")
+    with pytest.raises(ValueError, match="'R1C1' is there already"):
+        tiles.appended(f, reg, more, "R1C1")
+    with pytest.raises(ValueError, match="lack the id column 'poly_id'"):
+        tiles.appended(f, reg, more.drop("poly_id"), "R1C2")
+    g, r = tiles.appended(f, reg, more, "R1C2")
+    assert {(x.tile_name, x.poly_id, x.poly_name) for x in g.collect()} == {("R1C1", 1, None), ("R1C2", 1, "A")}
+    # an empty tile is done as well
+    g, r = tiles.appended(g, r, more.limit(0), "R1C3")
+    assert g.count() == 2 and {(x.tile_name, x.done) for x in r.collect()} == {("R1C1", True), ("R1C2", True), ("R1C3", True)}
+    for bad in (more.drop("poly_id"), more.withColumn("tile_name", F.lit("R1C1"))):
+        with pytest.raises(ValueError, match="Update data"):
+            tiles.updated(f, bad, "R1C1")
 
 
 def test_fields(spark):
@@ -86,6 +99,34 @@ def test_vector_tileset(spark, tmp_path):
     v.backup(str(tmp_path), "a", overwrite=True)
 
 
+def test_tileset_tiles_one_by_one(spark, tmp_path):
+    ts = tiles.scheme(spark, 1, 3, 1.0)
+    v = tiles.VectorTileset(spark, str(tmp_path / "segs"), "poly_id int, tile_name string").create(ts)
+    three = spark.createDataFrame([(3,), (1,), (2,)], "poly_id int")
+    v.append(three, "R1C1")
+    v.append(three, "R1C2")
+    v.append(three.limit(0), "R1C3")
+    assert v.features().count() == 6 and v.registry().where("done").count() == 3
+    with pytest.raises(ValueError, match="already"):
+        v.append(three.limit(0), "R1C3")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "segs/features/tile_name=R1C2").glob("*.parquet")}
+    v.update(spark.createDataFrame([(1, 10), (3, 30)], "poly_id int, n int"), "R1C1", "count")
+    got = {(r.tile_name, r.poly_id): r.n for r in v.features().collect()}
+    assert got == {("R1C1", 1): 10, ("R1C1", 2): None, ("R1C1", 3): 30, **{("R1C2", i): None for i in (1, 2, 3)}}
+    # the other tile's files weren't touched
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "segs/features/tile_name=R1C2").glob("*.parquet")} == before
+    with pytest.raises(ValueError, match="'count' already"):
+        v.update(spark.createDataFrame([(1, 11)], "poly_id int, n int"), "R1C1", "count")
+    v.update(spark.createDataFrame([(1, 11)], "poly_id int, n int"), "R1C1", "count", overwrite=True)
+    assert sorted((r.poly_id, r.n) for r in v.read_tile("R1C1").collect()) == [(1, 11), (2, None), (3, None)]
+    # a result that reads the tileset itself, and a tile that turns out empty
+    v.write(v.features().where("tile_name = 'R1C2'").withColumn("n", F.lit(5)), "count", ts.where("tile_name <> 'R1C1'"))
+    assert {r.n for r in v.read_tile("R1C2").collect()} == {5} and v.registry().where("attribute = 'count' AND done").count() == 3
+    v.write(v.features().where("poly_id > 9"), "count", ts.where("tile_name = 'R1C2'"))
+    assert v.read_tile("R1C2").count() == 0 and v.read_tile("R1C1").count() == 3
+    assert v.index("poly_id") and not v.index("poly_id") and v.read_tile("R1C1").count() == 3
+
+
 def test_run_tiles_keeps_errors(spark):
     df = tiles.scheme(spark, 3, 3, 1.0).select("tile_name", "row", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("poly_id"))
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.plans.stage import materialize, release
+
 BOX = "struct<minx:double,miny:double,maxx:double,maxy:double>"
 
 
@@ -118,26 +120,46 @@ def row_counts(tiles: DataFrame, features: DataFrame) -> DataFrame:
     return tiles.select("tile_name").join(n, "tile_name", "left").select("tile_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _require_update(data: DataFrame, key: str) -> None:
+    if key not in data.columns:
+        raise ValueError(f"Update data lack the id column '{key}'")
+    if "tile_name" in data.columns:
+        raise ValueError("Update data must not have a column 'tile_name'")
+
+
 def updated(features: DataFrame, data: DataFrame, tile_name: str, key: str = "poly_id") -> DataFrame:
     """The tile's features with the columns of ``data`` in place of theirs by ``key``; those without a match get nulls, other tiles stay.
 
-    New columns are null elsewhere. One broadcastable join of one tile's rows.
+    New columns are null elsewhere. Only the tile's rows are joined; the others
+    are passed on. Data without ``key`` or with a tile_name are an error.
     """
-    new = [c for c in data.columns if c not in (key, "tile_name")]
+    _require_update(data, key)
+    new = [c for c in data.columns if c != key]
+    own = features.where(F.col("tile_name") == tile_name)
+    kept = [c for c in features.columns if c not in new]
+    own = own.select(*kept).join(data, key, "left").select(*features.columns, *(c for c in new if c not in features.columns))
+    rest = features.where(~F.col("tile_name").eqNullSafe(F.lit(tile_name)))
     kinds = {c: data.schema[c].dataType for c in new}
-    side = data.select(F.col(key), F.lit(tile_name).alias("tile_name"), *(F.col(c).alias(f"_new_{c}") for c in new))
-    j = features.join(side, ["tile_name", key], "left")
-    old = lambda c: F.col(c) if c in features.columns else F.lit(None).cast(kinds[c])
-    cols = {c: F.when(F.col("tile_name") == tile_name, F.col(f"_new_{c}")).otherwise(old(c)) for c in new}
-    return j.withColumns(cols).select(*features.columns, *(c for c in new if c not in features.columns))
+    return own.unionByName(rest.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in features.columns)), allowMissingColumns=True)
 
 
-def appended(features: DataFrame, data: DataFrame, tile_name: str, key: str = "poly_id") -> DataFrame:
-    """With one more tile; its repeated keys are an error, and so is a tile that is there already."""
+def require_appendable(registry: DataFrame, data: DataFrame, tile_name: str, key: str, attribute: str = "geom") -> None:
+    """Errors of an append: the tile is there already, data lack the id column, ids are repeated."""
+    if registry.where((F.col("tile_name") == tile_name) & (F.col("attribute") == attribute) & F.col("done")).limit(1).count():
+        raise ValueError(f"Tile '{tile_name}' is there already")
+    if key not in data.columns:
+        raise ValueError(f"Appended data lack the id column '{key}'")
     twice = data.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"Duplicate '{key}' values: {twice[0][0]}")
-    return features.unionByName(data.withColumn("tile_name", F.lit(tile_name)), allowMissingColumns=True)
+
+
+def appended(features: DataFrame, registry: DataFrame, data: DataFrame, tile_name: str, key: str = "poly_id", attribute: str = "geom") -> tuple[DataFrame, DataFrame]:
+    """Features and registry with one more tile, also an empty one; columns that either side lacks are null. See :func:`require_appendable` for errors."""
+    require_appendable(registry, data, tile_name, key, attribute)
+    names = data.sparkSession.createDataFrame([(tile_name,)], "tile_name string")
+    undone = registry.where(~((F.col("tile_name") == tile_name) & (F.col("attribute") == attribute)))
+    return features.unionByName(data.withColumn("tile_name", F.lit(tile_name)), allowMissingColumns=True), register(undone, names, attribute)
 
 
 def add_field(df: DataFrame, name: str, kind: str) -> DataFrame:
@@ -185,12 +207,59 @@ class VectorTileset:
         """One tile's partition, and only these fields of it."""
         return read_tile(self.features(), tile_name, fields)
 
-    def write(self, df: DataFrame, attribute: str = "geom") -> None:
-        """Replace the partitions of the tiles in ``df``, all in parallel, then register them."""
-        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    def write(self, df: DataFrame, attribute: str = "geom", tiles: DataFrame | None = None) -> None:
+        """Replace the partitions of the tiles in ``df``, all in parallel, then register them and those of ``tiles``, the ones that were worked on and may be empty.
+
+        ``df`` is computed once, before anything is replaced, so it may read this tileset.
+        """
+        df = materialize(df, "tileset")
+        names = df.select("tile_name") if tiles is None else df.select("tile_name").unionByName(tiles.select("tile_name"))
+        names = materialize(names.distinct(), "tiles")
+        self._put(df)
+        if tiles is not None:
+            self._clear(names.join(df.select("tile_name").distinct(), "tile_name", "left_anti"))
+        names.withColumns({"attribute": F.lit(attribute), "done": F.lit(True)}).coalesce(1).write.mode("append").parquet(f"{self.path}/registry")
+        release(df)
+        release(names)
+
+    def _put(self, df: DataFrame) -> None:
+        kinds = {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(self.schema).fields} | {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        self.schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_name").parquet(f"{self.path}/features")
-        done = df.select("tile_name").distinct().withColumns({"attribute": F.lit(attribute), "done": F.lit(True)})
-        done.coalesce(1).write.mode("append").parquet(f"{self.path}/registry")
+
+    def _clear(self, names: DataFrame) -> None:
+        """Delete the partitions of tiles that turned out empty, where they had rows before."""
+        for r in self.features().join(names, "tile_name", "left_semi").select("tile_name").distinct().toLocalIterator():
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/features/tile_name={r.tile_name}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def append(self, data: DataFrame, tile_name: str, key: str = "poly_id") -> None:
+        """One more tile, also an empty one. See :func:`require_appendable` for errors."""
+        require_appendable(self.registry(), data, tile_name, key)
+        names = self.spark.createDataFrame([(tile_name,)], "tile_name string")
+        self.write(data.withColumn("tile_name", F.lit(tile_name)), tiles=names)
+
+    def update(self, data: DataFrame, tile_name: str, attribute: str, key: str = "poly_id", overwrite: bool = False) -> None:
+        """As :func:`updated`, where only the tile's partition is read and replaced; a tile done for the attribute is an error unless ``overwrite``."""
+        if not overwrite and self.registry().where((F.col("tile_name") == tile_name) & (F.col("attribute") == attribute) & F.col("done")).limit(1).count():
+            raise ValueError(f"Tile '{tile_name}' is done for '{attribute}' already")
+        names = self.spark.createDataFrame([(tile_name,)], "tile_name string")
+        own = updated(self.read_tile(tile_name), data, tile_name, key)
+        self.write(own, attribute, names)
+
+    def index(self, field: str) -> bool:
+        """Sort every tile's rows by a field, once, so that row-group statistics prune reads; whether it was done now."""
+        where = f"{self.path}/indexes"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{field}")
+        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(hadoop):
+            return False
+        df = materialize(self.features(), "indexed")
+        # ranges of tile and field: a tile of any size is cut into files with narrow ranges
+        self._put(df.repartitionByRange("tile_name", field).sortWithinPartitions("tile_name", field))
+        release(df)
+        files.mkdirs(hadoop)
+        return True
 
     def backup(self, folder: str, tag: str, overwrite: bool = False) -> str:
         """A copy <folder>/<name>_<tag>; an existing one is an error unless ``overwrite``."""

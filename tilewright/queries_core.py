@@ -32,6 +32,11 @@ def _training(s, d):
     return fixture(s, d, "fx_training")
 
 
+def _seg_registry(s, d):
+    """Tiles of the fixture's segments, all done but the first."""
+    return fixture(s, d, "SELECT DISTINCT tile_name, 'geom' AS attribute, tile_name <> 'R1C1' AS done FROM fx_segments")
+
+
 def _trees(s, d):
     return segment.treetops(fixture(s, d, "fx_pixels"), lambda h: 1 + h * 0.04, 3, 10)
 
@@ -138,7 +143,8 @@ QUERIES = {
     "tile_neibs_queen": lambda s, d: tiles.neighbour_pairs(*2 * [table(s, d, "tile_reg").withColumnsRenamed({"row_no": "row", "col_no": "col"})]),
     "tile_neibs_rook": lambda s, d: tiles.tile_neighbours(table(s, d, "tile_reg").withColumnsRenamed({"row_no": "row", "col_no": "col"}), ["R3C3", "R1C1"], "rook"),
     "update_data": lambda s, d: tiles.updated(fixture(s, d, "fx_segments"), fixture(s, d, "SELECT poly_id, CAST(n_px * 10 AS BIGINT) AS n_px, poly_id * 2 AS extra FROM fx_segments WHERE tile_name = 'R1C2' AND poly_id % 3 = 0"), "R1C2"),
-    "append_geom": lambda s, d: tiles.appended(fixture(s, d, "fx_segments").where("tile_name <> 'R1C1'"), fixture(s, d, "SELECT poly_id, minx, miny, maxx, maxy, n_px, 'new' AS note FROM fx_segments WHERE tile_name = 'R1C1'"), "R1C1"),
+    "append_geom": lambda s, d: tiles.appended(fixture(s, d, "fx_segments").where("tile_name <> 'R1C1'"), _seg_registry(s, d), fixture(s, d, "SELECT poly_id, minx, miny, maxx, maxy, n_px, 'new' AS note FROM fx_segments WHERE tile_name = 'R1C1'"), "R1C1")[0],
+    "append_geom_registry": lambda s, d: tiles.appended(fixture(s, d, "fx_segments").where("tile_name <> 'R1C1'"), _seg_registry(s, d), fixture(s, d, "SELECT poly_id, n_px FROM fx_segments WHERE tile_name = 'none'"), "R1C1")[1],
     "vts_row_count": lambda s, d: tiles.row_counts(table(s, d, "tile_reg"), table(s, d, "seg_vts")),
     "status_summary": _status,
     "add_field": lambda s, d: tiles.add_field(tiles.delete_field(fixture(s, d, "fx_segments"), "n_px"), "note", "int"),
@@ -333,6 +339,7 @@ SELECT px, py, round(sum(r * w) / sum(w), 6) AS r, round(sum(ir * w) / sum(w), 6
     "tile_neibs_rook": "SELECT DISTINCT n.tile_name FROM tile_reg t JOIN tile_reg n ON abs(t.row_no - n.row_no) + abs(t.col_no - n.col_no) <= 1 WHERE t.tile_name IN ('R3C3', 'R1C1')",
     "update_data": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CASE WHEN tile_name <> 'R1C2' THEN n_px WHEN poly_id % 3 = 0 THEN n_px * 10 END AS n_px, CASE WHEN tile_name = 'R1C2' AND poly_id % 3 = 0 THEN poly_id * 2 END AS extra FROM fx_segments",
     "append_geom": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, n_px, CASE WHEN tile_name = 'R1C1' THEN 'new' END AS note FROM fx_segments",
+    "append_geom_registry": "SELECT DISTINCT tile_name, 'geom' AS attribute, true AS done FROM fx_segments",
     "vts_row_count": "SELECT t.tile_name, count(s.tile_name) AS n FROM tile_reg t LEFT JOIN seg_vts s ON t.tile_name = s.tile_name GROUP BY t.tile_name",
     "status_summary": "SELECT CASE WHEN row_no % 9 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN row_no % 9 = 0 THEN 'no data' END AS message, count(*) AS tiles, string_agg(tile_name, ',' ORDER BY tile_name) AS names FROM tile_reg GROUP BY 1, 2",
     "add_field": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CAST(NULL AS INTEGER) AS note FROM fx_segments",
