@@ -286,7 +286,7 @@ def test_accuracy_by_hand(spark):
 
 
 def test_empty_layers(spark):
-    assert all(classify.empty_layer(spark, n, 26917).count() == 0 for n in classify.LAYERS)
+    assert all(classify.empty_layer(spark, n, 32633).count() == 0 for n in classify.LAYERS)
     with pytest.raises(ValueError, match="Invalid CRS"):
         classify.empty_layer(spark, "points", "nowhere")
 

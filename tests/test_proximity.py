@@ -28,7 +28,7 @@ def square(x, y, w):
 
 
 def test_wkb_encodings():
-    good = [wkb_point(1, 2), wkb_point(1, 2, e=">"), wkb_point(1, 2, z=9), wkb_point(1, 2, z=9, iso=True, e=">"), wkb_point(1, 2, srid=26917), wkb_point(1, 2, z=3, srid=26917, e=">")]
+    good = [wkb_point(1, 2), wkb_point(1, 2, e=">"), wkb_point(1, 2, z=9), wkb_point(1, 2, z=9, iso=True, e=">"), wkb_point(1, 2, srid=32633), wkb_point(1, 2, z=3, srid=32633, e=">")]
     good.append(struct.pack("<BII", 1, 4, 1) + wkb_point(1, 2, e=">"))
     bad = [None, b"", wkb_point(1, 2)[:14], wkb_point(1, 2, z=9)[:-1], wkb_point(float("nan"), float("nan")), b"\x07" * 21, struct.pack("<BII", 1, 4, 2) + 2 * wkb_point(1, 2), wkb_polygon(square(0, 0, 1))]
     x, y = read_points(good + bad)

@@ -53,7 +53,7 @@ FROM nation r CROSS JOIN nation c WHERE r.n_nationkey < 5 AND c.n_nationkey < 10
   CAST((n_nationkey * 13) % 180 + 40 AS DOUBLE) AS maxx, CAST((n_nationkey * 29) % 80 + 30 AS DOUBLE) AS maxy,
   CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'C D' WHEN 2 THEN 'E' ELSE 'B H C' END AS from_class,
   CASE n_nationkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'D' WHEN 2 THEN 'E' WHEN 3 THEN 'B' ELSE 'H' END AS to_class
-FROM nation WHERE n_nationkey < 4""",
+FROM nation""",
     "fx_seg_class": "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CASE poly_id % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'D' WHEN 2 THEN 'E' WHEN 3 THEN 'B' ELSE 'H' END AS seg_class FROM fx_segments",
 }
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.spatial import points_in_shapes, shapes_meet
 from tilewright.plans.skew import broadcast_if_small
+from tilewright.plans.stage import materialize
 
 #: Schemas of the empty layers that the constructors make.
 LAYERS = {
@@ -80,6 +81,38 @@ def forest(data: DataFrame, predictors: Sequence[str], label: str = "seg_class",
     ).fit(data.na.drop("any", subset=[label, *predictors]))
 
 
+def training_rows(data: DataFrame, sets: Sequence[int], drop: Sequence[str] = ("type", "fid", "training_set", "training_fid")) -> DataFrame:
+    """Class and attributes of the rows of the chosen training sets, without those that have a null."""
+    rest = [c for c in data.columns if c not in drop]
+    return data.where(F.col("training_set").isin(list(sets))).select(*rest).na.drop("any")
+
+
+def created(data: DataFrame, sets: Sequence[int], predictors: Sequence[str] | None = None, label: str = "seg_class", trees: int = 1000, seed: int = 1, depth: int = 10, held_out: float = 0.1) -> tuple[PipelineModel, float | None]:
+    """A forest of the chosen training sets on all attributes or the chosen ones, and the error of one that a part of the rows was held out from.
+
+    The library's forests have no out-of-bag error, so a second forest is
+    fitted without the ``held_out`` part of the rows; the error is None if no
+    row was. Unknown predictors, 'auto', and no row at all are errors.
+    """
+    if predictors is not None and "auto" in predictors:
+        raise ValueError("Predictors aren't chosen automatically; name them or take all")
+    rows = training_rows(data, sets)
+    lost = [p for p in predictors or () if p not in rows.columns]
+    if lost:
+        raise ValueError("Predictors that the training data lack: " + ", ".join(lost))
+    use = list(predictors) if predictors is not None else [c for c in rows.columns if c != label]
+    rows = materialize(rows.select(label, *use), "training")
+    if rows.limit(1).count() == 0:
+        raise ValueError(f"No training rows in the sets {list(sets)}")
+    # equal rows are held out together, so none of them is known to the forest
+    out = F.pmod(F.xxhash64(F.lit(seed), label, *use), F.lit(1_000_000)) < int(held_out * 1_000_000)
+    error = None
+    if held_out > 0 and rows.where(out).limit(1).count() and rows.where(~out).limit(1).count():
+        seen = predicted(rows.where(out).withColumnRenamed(label, "_seen"), forest(rows.where(~out), use, label, trees, seed, depth), "_elected")
+        error = seen.agg(F.avg(F.when(F.col("_seen") == F.col("_elected"), 0.0).otherwise(1.0))).first()[0]
+    return forest(rows, use, label, trees, seed, depth), error
+
+
 def predictors_of(model: PipelineModel) -> list[str]:
     return model.stages[1].getInputCols()
 
@@ -163,7 +196,7 @@ def _margins(k: DataFrame, classes: Sequence[str]) -> DataFrame:
     return c.join(F.broadcast(s), "seg_class", "left").fillna(0.0).withColumn("total", F.coalesce(flat.agg(F.sum("n")).scalar(), F.lit(0.0)))
 
 
-def monte_carlo_accuracy(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], iterations: int = 100, held_out: float = 0.1, trees: int = 1000, seed: int = 1) -> DataFrame:
+def monte_carlo_accuracy(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], iterations: int = 100, held_out: float = 0.1, trees: int = 1000, seed: int = 1, depth: int = 10) -> DataFrame:
     """(iteration, pcc, kappa, sensitivity, specificity) of refits on random parts of the rows without nulls; average over iterations for the estimate.
 
     Rows are held out by a hash of ``row_id`` and the iteration.
@@ -173,7 +206,7 @@ def monte_carlo_accuracy(data: DataFrame, predictors: Sequence[str], reclass: Ma
     out = None
     for i in range(iterations):
         at = F.pmod(F.xxhash64(F.lit(seed * 100_003 + i), F.col("row_id")), F.lit(1_000_000)) < int(held_out * 1_000_000)
-        m = forest(d.where(~at), predictors, trees=trees, seed=seed + i)
+        m = forest(d.where(~at), predictors, trees=trees, seed=seed + i, depth=depth)
         v = predicted(d.where(at).withColumnRenamed("seg_class", "_seen"), m)
         a = accuracy(v.select(regrouped("_seen", reclass).alias("observed"), regrouped("seg_class", reclass).alias("elected")), list(reclass)).withColumn("iteration", F.lit(i))
         out = a if out is None else out.unionByName(a)

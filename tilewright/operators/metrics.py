@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.points import presence
 from tilewright.operators.raster import nan_div
 from tilewright.plans.blocks import Block, over_blocks
 
@@ -113,47 +114,82 @@ def usable(points: DataFrame, least: int = 5) -> DataFrame:
     return have.join(few, "tile_name", "left_semi")
 
 
-def height_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
-    """Quadratic mean, mean, sd, interquartile range, exact percentiles and shares above 1, 2, 3 of Z."""
-    p = usable(points)
+def _heights() -> dict[str, Column]:
     z = F.col("z").cast("double")
     q = F.percentile(z, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    a = p.groupBy(*SEGMENT).agg(F.sqrt(F.avg(z * z)).alias("Z_qmn"), F.avg(z).alias("Z_mn"), F.stddev_samp(z).alias("Z_sd"), q.alias("q"), *(F.avg(F.when(z > t, 1.0).otherwise(0.0)).alias(f"Z_over{t}") for t in (1, 2, 3)))
-    a = a.withColumns({"Z_iq": F.col("q")[2] - F.col("q")[0], "Z_p50": F.col("q")[1], "Z_p75": F.col("q")[2], "Z_p90": F.col("q")[3]})
-    names = ["Z_qmn", "Z_mn", "Z_sd", "Z_iq", "Z_p50", "Z_p75", "Z_p90", "Z_over1", "Z_over2", "Z_over3"]
-    return attach(segments, a.select(*SEGMENT, *(stored(F.col(n)).alias(f"{prefix}_{n}") for n in names)), [f"{prefix}_{n}" for n in names])
+    return {"Z_qmn": F.sqrt(F.avg(z * z)), "Z_mn": F.avg(z), "Z_sd": F.stddev_samp(z), "_q": q, **{f"Z_over{t}": F.avg(F.when(z > t, 1.0).otherwise(0.0)) for t in (1, 2, 3)}}
+
+
+def _of_percentiles() -> dict[str, Column]:
+    q = F.col("_q")
+    return {"Z_qmn": F.col("Z_qmn"), "Z_mn": F.col("Z_mn"), "Z_sd": F.col("Z_sd"), "Z_iq": q[2] - q[0], "Z_p50": q[1], "Z_p75": q[2], "Z_p90": q[3], **{f"Z_over{t}": F.col(f"Z_over{t}") for t in (1, 2, 3)}}
 
 
 COLOURS = ("R", "G", "B", "NGI", "NGB", "NRB", "VAg", "GLI")
 
 
-def colour_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
-    """Mean and greatest value of the colours and indices, over all points and over those at or above the percentiles 50, 75 and 90 of Z: 64 columns. A null among them makes the metric 0."""
-    p = point_indices(usable(points))
-    z = F.col("z").cast("double")
-    cut = p.groupBy(*SEGMENT).agg(F.percentile(z, F.array(*map(F.lit, (0.5, 0.75, 0.9)))).alias("_q"))
-    p = p.join(cut, list(SEGMENT))
+def _colours() -> dict[str, Column]:
+    """Of points with their segment's ``_q``."""
     out: dict[str, Column] = {}
     for i, at in enumerate(("", "_p50", "_p75", "_p90")):
-        inside = F.lit(True) if i == 0 else z >= F.col("_q")[i - 1]
+        inside = F.lit(True) if i == 0 else F.col("z").cast("double") >= F.col("_q")[i]
         for c in COLOURS:
             v = F.when(inside, F.col(c).cast("double"))
             whole = F.max(F.when(inside & F.col(c).isNull(), 1).otherwise(0)) == 0
-            out[f"{prefix}_{c}{at}_mn"] = F.when(whole, F.avg(v))
-            out[f"{prefix}_{c}{at}_mx"] = F.when(whole, F.max(v))
-    a = p.groupBy(*SEGMENT).agg(*(v.alias(k) for k, v in out.items()))
-    return attach(segments, a.select(*SEGMENT, *(stored(F.col(k)).alias(k) for k in out)), list(out))
+            out[f"{c}{at}_mn"] = F.when(whole, F.avg(v))
+            out[f"{c}{at}_mx"] = F.when(whole, F.max(v))
+    return out
 
 
-def class_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
-    """Shares of ground (2), and of low (3) and high (4, 5) vegetation and buildings (6) among all points and among those above 1, 2, 3; 0 where there are none."""
-    p = usable(points)
+def _classes(ground: bool = True, full: bool = True) -> dict[str, Column]:
     z, k = F.col("z").cast("double"), F.col("classification")
-    out = {"grnd": F.avg(F.when(k == 2, 1.0).otherwise(0.0))}
-    for t in (0, 1, 2, 3):
+    out = {"grnd": F.avg(F.when(k == 2, 1.0).otherwise(0.0))} if ground else {}
+    for t in (0, 1, 2, 3) if full else ():
         inside = F.lit(True) if t == 0 else z > t
         n = F.sum(F.when(inside, 1.0).otherwise(0.0))
         for name, codes in (("lvg", [3]), ("hvg", [4, 5]), ("bld", [6])):
             out[name + (f"_over{t}" if t else "")] = F.try_divide(F.sum(F.when(inside & k.isin(codes), 1.0).otherwise(0.0)), n)
-    a = p.groupBy(*SEGMENT).agg(*(v.alias(n) for n, v in out.items()))
-    return attach(segments, a.select(*SEGMENT, *(stored(F.col(n)).alias(f"{prefix}_{n}") for n in out)), [f"{prefix}_{n}" for n in out])
+    return out
+
+
+def _kept(df: DataFrame, cols: Mapping[str, Column], prefix: str) -> DataFrame:
+    return df.select(*SEGMENT, *(stored(v).alias(f"{prefix}_{k}") for k, v in cols.items()))
+
+
+def las_metrics(points: DataFrame, segments: DataFrame, prefix: str, ground: bool | None = None, full: bool | None = None, rgb: bool | None = None) -> DataFrame:
+    """All lidar metrics of segments: heights, and where the cloud has them shares of ground and of other classes, and colours.
+
+    What is None is found out from the points. Heights and classes are one
+    aggregate; colours are a second one, as they need the first one's percentiles.
+    """
+    if None in (ground, full, rgb):
+        seen = presence(points).first().asDict()
+        ground, full, rgb = (seen.get(k, False) if v is None else v for k, v in (("is_ground", ground), ("is_full", full), ("is_rgb", rgb)))
+    p = usable(points)
+    shares = _classes(ground, full)
+    one = p.groupBy(*SEGMENT).agg(*(v.alias(k) for k, v in (_heights() | shares).items()))
+    out = _kept(one, _of_percentiles() | {k: F.col(k) for k in shares}, prefix)
+    if rgb:
+        colours = _colours()
+        two = point_indices(p).join(one.select(*SEGMENT, "_q"), list(SEGMENT)).groupBy(*SEGMENT).agg(*(v.alias(k) for k, v in colours.items()))
+        out = out.join(_kept(two, {k: F.col(k) for k in colours}, prefix), list(SEGMENT), "left")
+    return attach(segments, out, [c for c in out.columns if c not in SEGMENT])
+
+
+def height_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
+    """Quadratic mean, mean, sd, interquartile range, exact percentiles and shares above 1, 2, 3 of Z."""
+    return las_metrics(points, segments, prefix, ground=False, full=False, rgb=False)
+
+
+def colour_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
+    """Mean and greatest value of the colours and indices, over all points and over those at or above the percentiles 50, 75 and 90 of Z: 64 columns. A null among them makes the metric 0."""
+    p = usable(points)
+    cut = p.groupBy(*SEGMENT).agg(_heights()["_q"].alias("_q"))
+    a = point_indices(p).join(cut, list(SEGMENT)).groupBy(*SEGMENT).agg(*(v.alias(k) for k, v in _colours().items()))
+    return attach(segments, _kept(a, {k: F.col(k) for k in _colours()}, prefix), [f"{prefix}_{k}" for k in _colours()])
+
+
+def class_metrics(points: DataFrame, segments: DataFrame, prefix: str) -> DataFrame:
+    """Shares of ground (2), and of low (3) and high (4, 5) vegetation and buildings (6) among all points and among those above 1, 2, 3; 0 where there are none."""
+    a = usable(points).groupBy(*SEGMENT).agg(*(v.alias(k) for k, v in _classes().items()))
+    return attach(segments, _kept(a, {k: F.col(k) for k in _classes()}, prefix), [f"{prefix}_{k}" for k in _classes()])

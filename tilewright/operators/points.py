@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import chunks, ranges
 from tilewright.operators.raster import jitter
+from tilewright.plans.skew import split_join
 from tilewright.plans.stage import materialize
 
 NOISE = 7
@@ -60,18 +61,37 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return points.groupBy("x", "y", "z").agg(F.min(F.struct("classification", *rest)).alias("_p")).select("x", "y", "z", "_p.*")
 
 
-def classify_noise(points: DataFrame, width: float = 5.0, most: int = 6) -> DataFrame:
-    """Class 7 for points with at most ``most`` others in the 27 cubes around: isolated voxels.
-
-    Cubes are counted first, so only cube counts are exploded, not points.
-    """
+def _isolated(points: DataFrame, width: float, most: int) -> DataFrame:
+    """Cubes are counted first, so only cube counts are exploded, not points."""
     keys = ["vx", "vy", "vz"]
     v = points.withColumns({f"v{a}": F.floor(F.col(a) / float(width)).cast("bigint") for a in "xyz"})
     n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     off = F.explode(F.array(*(F.struct(*(F.lit(o).alias(a) for o, a in zip(d, "xyz", strict=True))) for d in np.ndindex(3, 3, 3)))).alias("o")
     around = n.select(*keys, "n", off).groupBy(*((F.col(f"v{a}") + F.col(f"o.{a}") - 1).alias(f"v{a}") for a in "xyz")).agg(F.sum("n").alias("_n"))
-    out = v.join(around, keys)
-    return out.withColumn("classification", F.when(F.col("_n") - 1 <= most, F.lit(NOISE)).otherwise(F.col("classification"))).select(*points.columns)
+    return v.join(around, keys).withColumn("_noise", F.col("_n") - 1 <= most)
+
+
+def _lonely(points: DataFrame, radius: float, most: int) -> DataFrame:
+    """Equal places are counted first; places meet those of the 27 cubes around, and each place's neighbours are counted by part before they are added up."""
+    place = points.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    cells = ["cx", "cy", "cz"]
+    p = place.withColumns({f"c{a}": F.floor(F.col(a) / float(radius)).cast("bigint") for a in "xyz"})
+    off = F.explode(F.array(*(F.struct(*(F.lit(o - 1).alias(a) for o, a in zip(d, "xyz", strict=True))) for d in np.ndindex(3, 3, 3)))).alias("o")
+    other = p.select(*(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("n").alias("n2"), *cells, off).select("x2", "y2", "z2", "n2", *((F.col(f"c{a}") + F.col(f"o.{a}")).alias(f"c{a}") for a in "xyz"))
+    near = sum(((F.col(a) - F.col(f"{a}2")) * (F.col(a) - F.col(f"{a}2")) for a in "xyz"), F.lit(0.0)) <= float(radius) ** 2
+    met = split_join(p.drop("n"), other, cells, ["x", "y", "z"], ["x2", "y2", "z2"]).where(near)
+    around = met.groupBy("x", "y", "z").agg((F.sum("n2") - 1).alias("_n"))
+    return points.join(around, ["x", "y", "z"]).withColumn("_noise", F.col("_n") <= most)
+
+
+#: How noise is told: by few points in the 27 cubes around (``width`` is a cube's), or within a distance (``width``).
+NOISE_ALGORITHMS = {"voxels": _isolated, "radius": _lonely}
+
+
+def classify_noise(points: DataFrame, width: float = 5.0, most: int = 6, algorithm: str = "voxels") -> DataFrame:
+    """Class 7 for points with at most ``most`` others around, by one of NOISE_ALGORITHMS. Points without a place are left out."""
+    out = NOISE_ALGORITHMS[algorithm](points.dropna(subset=["x", "y", "z"]), width, most)
+    return out.withColumn("classification", F.when(F.col("_noise"), F.lit(NOISE)).otherwise(F.col("classification"))).select(*points.columns)
 
 
 def remove_noise(points: DataFrame) -> DataFrame:
@@ -113,9 +133,29 @@ def quality(files: DataFrame, points: DataFrame, checked: DataFrame) -> DataFram
     return seen.withColumns({"files": bad.select("files").scalar(), "invalid": bad.select("invalid").scalar()})
 
 
-def surface(points: DataFrame, width: float = 0.25, fill: float | None = None, grid: DataFrame | None = None, jittered: bool = False) -> DataFrame:
-    """Highest z of each cell. With ``grid`` every cell of it, ``fill`` where there is no point. Duplicates don't matter to a maximum."""
-    s = cell(points, width).groupBy("px", "py").agg(F.max("z").alias("z"))
+def _discs(points: DataFrame, radius: float) -> DataFrame:
+    """Each point and eight places at the radius around it."""
+    at = [(0.0, 0.0)] + [(radius * math.cos(k * math.pi / 4), radius * math.sin(k * math.pi / 4)) for k in range(8)]
+    off = F.explode(F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in at))).alias("o")
+    return points.select("x", "y", "z", off).select((F.col("x") + F.col("o.x")).alias("x"), (F.col("y") + F.col("o.y")).alias("y"), "z")
+
+
+def surface(points: DataFrame, width: float = 0.25, fill: float | None = None, grid: DataFrame | None = None, jittered: bool = False, algorithm: str = "highest", radius: float = 0.0) -> DataFrame:
+    """Surface of the points by cell: px, py, z. With ``grid`` every cell of it, ``fill`` where there is no value.
+
+    ``algorithm`` is 'highest', the greatest z in a cell; 'circle', the same
+    with each point as a disc of ``radius``; or 'tin', the highest points of
+    cells triangulated and read at the centres of the ``grid`` (tile_name, px,
+    py), which it needs. Duplicates don't matter to a maximum.
+    """
+    if algorithm not in ("highest", "circle", "tin"):
+        raise ValueError("algorithm must be 'highest', 'circle' or 'tin'")
+    p = _discs(points, radius) if algorithm == "circle" else points
+    if algorithm == "tin":
+        top = cell(p, width).groupBy("px", "py").agg(F.max_by(F.struct("x", "y", "z"), "z").alias("p")).select(F.lit("").alias("tile_name"), "p.*")
+        s = terrain(top, grid.select(F.lit("").alias("tile_name"), "px", "py"), width).select("px", "py", F.col("dem").alias("z"))
+    else:
+        s = cell(p, width).groupBy("px", "py").agg(F.max("z").alias("z"))
     if grid is not None:
         s = grid.select("px", "py").join(s, ["px", "py"], "left")
         if fill is not None:
@@ -123,6 +163,11 @@ def surface(points: DataFrame, width: float = 0.25, fill: float | None = None, g
     return s.withColumn("z", jitter("z")) if jittered else s
 
 
+def tiles_with_ground(points: DataFrame, least: int = 4) -> DataFrame:
+    """Names of the tiles with at least ``least`` points of class 2, as delivered."""
+    return points.where(F.col("classification") == 2).groupBy("tile_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("tile_name")
+
+
 def ground_points(points: DataFrame, classes: Sequence[int] = (2, 9)) -> DataFrame:
     """Ground and water points, duplicates removed."""
     return distinct_points(points.where(F.col("classification").isin(list(classes))))
@@ -284,11 +329,12 @@ def _within(circ: np.ndarray, box: tuple[float, float, float, float]) -> np.ndar
     return (circ[:, 0] - r >= box[0]) & (circ[:, 1] - r >= box[1]) & (circ[:, 0] + r <= box[2]) & (circ[:, 1] + r <= box[3])
 
 
-def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int = 4, block: int = 64, halo: int = 32) -> DataFrame:
+def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int = 4, block: int = 64, halo: int = 32, enough: DataFrame | None = None) -> DataFrame:
     """Bare earth of ``cells`` (tile_name, px, py) out of ground ``points`` (tile_name, x, y, z): a triangulated surface.
 
-    A tile with fewer than ``least`` distinct ground points is null, and so are
-    cells outside the hull. Points of all tiles count, so tiles make no
+    A tile that isn't in ``enough`` (tile_name), or has fewer than ``least``
+    distinct ground points where that isn't given, is null, and so are cells
+    outside the hull. Points of all tiles count, so tiles make no
     seams; of points at one place the lowest, those of a null tile last. The surface is made in blocks of
     ``block`` cells with the points of ``halo`` more cells around. A cell is
     settled if the circle of its triangle lies in that window, as it then is a
@@ -298,7 +344,8 @@ def terrain(points: DataFrame, cells: DataFrame, width: float = 1.0, least: int
     edges are needed: a point whose triangles all have circles of half the halo
     at most is in none that an unsettled cell could need.
     """
-    enough = points.select("tile_name", "x", "y").distinct().groupBy("tile_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("tile_name")
+    if enough is None:
+        enough = points.select("tile_name", "x", "y").distinct().groupBy("tile_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("tile_name")
     p = points.join(enough.withColumn("_ok", F.lit(True)), "tile_name", "left").groupBy("x", "y").agg(F.coalesce(F.min(F.when(F.col("_ok"), F.col("z"))), F.min("z")).cast("double").alias("z"))
     for a in "xy":
         at = F.floor(F.col(a) / float(width))

@@ -248,3 +248,21 @@ def resampled(df: DataFrame, bands: Sequence[str], source: tuple[float, float, f
     d = d.withColumn("_w", w).where("_w <> 0")
     agg = [F.try_divide(F.sum(_num(b) * F.col("_w")), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) for b in bands]
     return d.groupBy(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).agg(*agg)
+
+
+def ingested(df: DataFrame, bands: Sequence[str], source: tuple[float, float, float], tiles: DataFrame, width: float, kernel: str = "bilinear", done: DataFrame | None = None, bounds: str = "buff") -> DataFrame:
+    """A raster tileset out of a source grid's cells: tile_name, px, py and bands of every tile's buffered extent on a grid of ``width`` from the origin.
+
+    Tiles in ``done`` (tile_name) are skipped. Cells are resampled once for all
+    tiles, then given to each tile that they lie in. Where files overlap, a
+    cell's greatest filename wins if ``df`` has that column.
+    """
+    if done is not None:
+        tiles = tiles.join(done.select("tile_name"), "tile_name", "left_anti")
+    e = tiles.agg(*(f(f"{bounds}.{c}").alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy")))).first()
+    if e.minx is None:
+        return df.select(F.lit(None).cast("string").alias("tile_name"), *CELL, *(_num(b).alias(b) for b in bands)).limit(0)
+    if "filename" in df.columns:
+        df = df.groupBy(*CELL).agg(F.max_by(F.struct(*bands), "filename").alias("_b")).select(*CELL, "_b.*")
+    box = (math.floor(e.minx / width), math.floor(e.miny / width), math.ceil(e.maxx / width), math.ceil(e.maxy / width))
+    return crop(resampled(df, bands, source, (0.0, 0.0, width), box, kernel), tiles, bounds, width)

@@ -32,6 +32,10 @@ def _training(s, d):
     return fixture(s, d, "fx_training")
 
 
+def _selected_data(s, d):
+    return table(s, d, "training_data").select("fid", "type", "training_set", "training_fid", "seg_class", "spec_mean_r", "spec_mean_g", "spec_ndvi")
+
+
 def _seg_registry(s, d):
     """Tiles of the fixture's segments, all done but the first."""
     return fixture(s, d, "SELECT DISTINCT tile_name, 'geom' AS attribute, tile_name <> 'R1C1' AS done FROM fx_segments")
@@ -62,6 +66,11 @@ def _files(s, d):
     return fixture(s, d, "SELECT concat('f', CAST(b % 16 AS VARCHAR(10))) AS filename, x, y, z, classification, r, g, b FROM fx_points")
 
 
+def _local_files(s, d):
+    """Point files that each hold a stretch of 25 along x."""
+    return fixture(s, d, "SELECT concat('x', CAST(CAST(floor(x / 25) AS INT) AS VARCHAR(10))) AS filename, x, y FROM fx_points")
+
+
 def _qc(s, d):
     p = _files(s, d)
     f = p.groupBy("filename").agg(F.count(F.lit(1)).alias("size")).withColumn("status", F.when(F.col("size") % 2 == 0, "Valid").otherwise("truncated"))
@@ -105,7 +114,7 @@ def _pca_global(s, d):
 
 def _dem(s, d):
     p = fixture(s, d, "fx_points_t")
-    return points.terrain(points.ground_points(p.select("tile_name", "x", "y", "z", "classification")), _pixels(s, d))
+    return points.terrain(points.ground_points(p.select("tile_name", "x", "y", "z", "classification")), _pixels(s, d), enough=points.tiles_with_ground(p))
 
 
 def _accuracy_pairs(s, d):
@@ -156,8 +165,8 @@ QUERIES = {
     "poly_to_ras": lambda s, d: spatial.rasterized(fixture(s, d, "fx_segments")),
     "merge_vts": lambda s, d: spatial.merged_by_zone(_zone_sources(s, d), fixture(s, d, "fx_zones"), "zone_name"),
     "final_trees": lambda s, d: canopy.final_trees(_segs_with_class_id(s, d), "class_1", fixture(s, d, "fx_class_table"), fixture(s, d, "fx_zones")),
-    "las_coverage": lambda s, d: spatial.uncovered_area(fixture(s, d, "fx_zones"), s.createDataFrame([(0.0, 0.0, 200.0, 100.0)], "minx double, miny double, maxx double, maxy double"), 1.0),
-    "las_tiles_outside": lambda s, d: points.files_meeting(points.footprints(_files(s, d)), (250.0, 0.0, 300.0, 50.0), meet=False),
+    "las_coverage": lambda s, d: spatial.uncovered_area(fixture(s, d, "fx_segments"), fixture(s, d, "fx_zones"), 1.0),
+    "las_tiles_outside": lambda s, d: points.files_meeting(points.footprints(_local_files(s, d)), (60.0, 0.0, 101.0, 50.0), meet=False),
     "renumber_after": lambda s, d: spatial.renumbered_after(fixture(s, d, "SELECT tile_name, CASE WHEN n_px > 20 THEN poly_id END AS poly_id, n_px, minx, miny FROM fx_segments"), F.col("n_px") > 20, ["minx", "miny"]),
     # lidar
     "read_las_tile": lambda s, d: points.read_tile_points(fixture(s, d, "fx_points"), (20, 20, 40, 40), [2, 3], ["x", "y", "z", "classification"]),
@@ -180,7 +189,14 @@ QUERIES = {
     "final_canopy": lambda s, d: canopy.final_canopy(fixture(s, d, "fx_class_cells"), fixture(s, d, "fx_class_table"), (10.0, 10.0, 90.0, 60.0), 5.0),
     "hillshade": lambda s, d: raster.hillshade(fixture(s, d, "fx_dem"), "dem"),
     "seg_metrics_tex": lambda s, d: metrics.texture(_pixels(s, d), fixture(s, d, "fx_segments"), "ir", (0, 250), "tex"),
+    "detect_trees_by_tile": lambda s, d: segment.treetops(fixture(s, d, "fx_pixels"), lambda h: 1 + h * 0.04, 3, 10, tiles=_scheme(s)),
+    "sample_tiles": lambda s, d: spatial.read_from_points(fixture(s, d, "SELECT tree_id, x * 1.1 AS x, y FROM fx_treetops"), _scheme(s).select("tile_name", "core.*"), "tree_id", ["tile_name"], ["tile_name"]),
+    "seg_metrics_las": lambda s, d: metrics.las_metrics(fixture(s, d, "fx_points_t"), fixture(s, d, "fx_segments"), "las"),
+    "surface_circle": lambda s, d: points.surface(fixture(s, d, "fx_points"), 1.0, algorithm="circle", radius=0.5).withColumn("z", F.col("z").cast("double")),
+    "noise_radius": lambda s, d: points.remove_noise(points.classify_noise(fixture(s, d, "fx_points").select("x", "y", "z", "classification"), 2.0, 3, algorithm="radius")),
     # learning
+    "classifier_rows": lambda s, d: classify.training_rows(_selected_data(s, d), [1, 3]),
+    "monte_carlo_accuracy": lambda s, d: classify.monte_carlo_accuracy(_labelled(s, d).withColumn("row_id", F.xxhash64(*SEG)), ["spec_r", "spec_g", "spec_ir"], {"tree": ["C", "D", "E", "H"], "other": ["B"]}, iterations=3, trees=20, depth=6),
     "training_data_extract": lambda s, d: classify.extracted(_training(s, d), fixture(s, d, "fx_training_polys"), _seg_fid(s, d), ["spec_n"]),
     "training_fids_without_hit": lambda s, d: classify.hit_nothing(_training(s, d), classify.extracted(_training(s, d), fixture(s, d, "fx_training_polys"), _seg_fid(s, d), ["spec_n"]), 1),
     "training_summary": lambda s, d: classify.training_summary(_training(s, d), {"tree": ["C", "D", "H"], "other": ["B"]}),
@@ -277,15 +293,9 @@ _MEET = "a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >
 _MASK = "SELECT px, py, CASE WHEN b < 200 THEN CAST(b AS INTEGER) % 2 END AS m FROM fx_pixels WHERE px % 3 <> 0"
 
 
-def _edit_sql(n: int = 4) -> str:
-    steps = ["c0 AS (SELECT * FROM fx_seg_class)"]
-    for k in range(n):
-        steps.append(f"""c{k + 1} AS (SELECT a.tile_name, a.poly_id, a.minx, a.miny, a.maxx, a.maxy,
-  CASE WHEN b.seq IS NOT NULL AND (trim(b.from_class) = '' OR list_contains(string_split(b.from_class, ' '), a.seg_class)) THEN b.to_class ELSE a.seg_class END AS seg_class
-  FROM c{k} a LEFT JOIN fx_edits b ON b.seq = {k} AND {_MEET})""")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT tile_name, poly_id, seg_class FROM c{n}"
-
-
+_FOLD = f"""WITH e AS (SELECT a.tile_name, a.poly_id, list({{'s': '', 'f': string_split(b.from_class, ' '), 't': b.to_class}} ORDER BY b.seq) AS steps FROM fx_seg_class a JOIN fx_edits b ON {_MEET} GROUP BY a.tile_name, a.poly_id)
+SELECT c.tile_name, c.poly_id, CASE WHEN e.steps IS NULL THEN c.seg_class ELSE list_reduce(e.steps, lambda a, x: {{'s': CASE WHEN x.f = [''] OR list_contains(x.f, a.s) THEN x.t ELSE a.s END, 'f': x.f, 't': x.t}}, {{'s': c.seg_class, 'f': [''], 't': ''}}).s END AS seg_class
+FROM fx_seg_class c LEFT JOIN e ON e.tile_name = c.tile_name AND e.poly_id = c.poly_id"""
 _CANOPY = f"""WITH base AS (SELECT p.px, p.py, CASE WHEN c.class_id IN (1, 2, 3, 5) THEN 1 WHEN c.class_id IS NOT NULL THEN 0 END AS v FROM fx_pixels p LEFT JOIN fx_class_cells c ON p.px = c.px AND p.py = c.py),
 off AS (SELECT 0 AS i, 0 AS j UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1),
 er AS (SELECT p.px, p.py, min(q.v) AS v FROM base p JOIN off ON true LEFT JOIN base q ON q.px = p.px + i AND q.py = p.py + j GROUP BY p.px, p.py),
@@ -311,6 +321,8 @@ _NAME = "concat('R', CAST(CAST(floor(y / 20) AS INTEGER) + 1 AS VARCHAR), 'C', C
 _CLASS_1 = "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CAST(n_px AS DOUBLE) AS height, CAST(n_px * 2 AS DOUBLE) AS crown_area, CASE WHEN poly_id % 7 <> 0 THEN poly_id % 6 END AS class_1 FROM fx_segments"
 _NORM = "SELECT p.*, p.z - d.dem AS zz, d.px, d.py FROM fx_points p JOIN fx_dem d ON CAST(floor(p.x) AS INTEGER) = d.px AND CAST(floor(p.y) AS INTEGER) = d.py WHERE p.z - d.dem > 0 AND p.z - d.dem <= 40"
 
+_TOPS = "SELECT p.px, p.py, p.chm AS height FROM fx_pixels p WHERE p.chm >= 10 AND NOT EXISTS (SELECT 1 FROM fx_pixels q WHERE q.px BETWEEN p.px - 3 AND p.px + 3 AND q.py BETWEEN p.py - 3 AND p.py + 3 AND (p.px - q.px) * (p.px - q.px) + (p.py - q.py) * (p.py - q.py) <= least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) * least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) AND q.chm > p.chm)"
+
 _SQL = {
     "seg_metrics_spec_ir": _zonal_sql({"r": "r", "ir": "ir", "NDVI": "(ir - r) / (ir + r)", "EVI2": "(ir - r) / (ir + CAST(2.4 AS DOUBLE) * r + 1)", "MSAVI2": "(2 * ir + 1 - sqrt((2 * ir + 1) * (2 * ir + 1) - 8 * (ir - r))) / 2", "SAVI": "CAST(1.5 AS DOUBLE) * (ir - r) / (ir + r + CAST(0.5 AS DOUBLE))"}),
     "seg_metrics_spec_rgb": _zonal_sql({"GLI": "(2 * g - r - b + CAST(0.01 AS DOUBLE)) / (2 * g + r + b + CAST(0.01 AS DOUBLE))", "VARI": "(g - r) / (g + r - b + CAST(0.01 AS DOUBLE))", "NGRDI": "(g - r) / (g + r)", "NGBDI": "(g - b) / (g + b)", "NRBDI": "(r - b) / (r + b)"}),
@@ -357,8 +369,9 @@ UNION ALL SELECT 'east', fid, x, y, NULL, seg_class, {_NAME} FROM fx_training WH
 UNION ALL SELECT '<none>', tree_id, x, y, height, NULL, {_NAME} FROM fx_treetops WHERE x > 60 AND x < 140)
 SELECT *, CAST(row_number() OVER (PARTITION BY tile_name ORDER BY zone_name, fid) AS INTEGER) AS poly_id FROM f""",
     "final_trees": f"WITH a AS ({_CLASS_1}) SELECT DISTINCT a.tile_name, a.poly_id, a.height, a.crown_area, c.label AS class FROM a JOIN fx_class_table c ON a.class_1 = c.id JOIN fx_zones b ON {_MEET}",
-    "las_coverage": "SELECT CAST(count(*) AS DOUBLE) AS area FROM range(200) x, range(100) y WHERE NOT EXISTS (SELECT 1 FROM fx_zones z WHERE x.range + CAST(0.5 AS DOUBLE) >= z.minx AND x.range + CAST(0.5 AS DOUBLE) < z.maxx AND y.range + CAST(0.5 AS DOUBLE) >= z.miny AND y.range + CAST(0.5 AS DOUBLE) < z.maxy)",
-    "las_tiles_outside": f"SELECT filename, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, count(*) AS n FROM ({_FILES}) GROUP BY filename HAVING max(x) < 250",
+    "las_coverage": f"""WITH c AS (SELECT x.range + CAST(0.5 AS DOUBLE) AS x, y.range + CAST(0.5 AS DOUBLE) AS y FROM range(200) x, range(100) y), inside AS (SELECT c.x, c.y FROM c JOIN fx_zones z ON x >= z.minx AND x < z.maxx AND y >= z.miny AND y < z.maxy)
+SELECT CAST(count(*) AS DOUBLE) AS area FROM inside i WHERE NOT EXISTS (SELECT 1 FROM fx_segments s WHERE i.x >= s.minx AND i.x < s.maxx AND i.y >= s.miny AND i.y < s.maxy)""",
+    "las_tiles_outside": "SELECT concat('x', CAST(CAST(floor(x / 25) AS INTEGER) AS VARCHAR)) AS filename, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, count(*) AS n FROM fx_points GROUP BY 1 HAVING max(x) < 60 OR min(x) > 101 OR min(y) > 50",
     "renumber_after": """WITH s AS (SELECT tile_name, CASE WHEN n_px > 20 THEN poly_id END AS poly_id, n_px, minx, miny FROM fx_segments)
 SELECT tile_name, CAST(CASE WHEN n_px > 20 THEN poly_id ELSE coalesce(max(poly_id) OVER (PARTITION BY tile_name), 0) + row_number() OVER (PARTITION BY tile_name, n_px > 20 ORDER BY minx, miny) END AS INTEGER) AS poly_id, n_px, minx, miny FROM s""",
     "read_las_tile": "SELECT x, y, z, classification FROM fx_points WHERE x BETWEEN 20 AND 40 AND y BETWEEN 20 AND 40 AND classification IN (2, 3)",
@@ -379,7 +392,16 @@ SELECT x, y, z, classification FROM v JOIN a ON v.vx = a.vx AND v.vy = a.vy AND
     "seg_metrics_las_z": _las_sql(_z_cols()),
     "seg_metrics_las_rgb": _colour_sql(),
     "seg_metrics_las_class": _las_sql(_class_cols()),
-    "detect_trees": "SELECT p.px, p.py, p.chm AS height FROM fx_pixels p WHERE p.chm >= 10 AND NOT EXISTS (SELECT 1 FROM fx_pixels q WHERE q.px BETWEEN p.px - 3 AND p.px + 3 AND q.py BETWEEN p.py - 3 AND p.py + 3 AND (p.px - q.px) * (p.px - q.px) + (p.py - q.py) * (p.py - q.py) <= least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) * least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) AND q.chm > p.chm)",
+    "detect_trees_by_tile": f"WITH t AS ({_SCHEME}), tops AS ({_TOPS}) SELECT t.tile_name, p.px, p.py, p.height FROM tops p JOIN t ON {_CENTRE[0]} >= nx AND {_CENTRE[0]} < nx2 AND {_CENTRE[1]} >= ny AND {_CENTRE[1]} < ny2",
+    "sample_tiles": "SELECT p.tree_id, min(t.tile_name) AS tile_name FROM fx_treetops p LEFT JOIN fx_tiles t ON p.x * CAST(1.1 AS DOUBLE) BETWEEN t.minx AND t.maxx AND p.y BETWEEN t.miny AND t.maxy GROUP BY p.tree_id",
+    "surface_circle": """WITH o AS (SELECT CAST(0 AS DOUBLE) AS dx, CAST(0 AS DOUBLE) AS dy UNION ALL SELECT CAST(0.5 AS DOUBLE) * cos(k * pi() / 4), CAST(0.5 AS DOUBLE) * sin(k * pi() / 4) FROM (SELECT unnest(range(8)) AS k))
+SELECT CAST(floor(x + dx) AS INTEGER) AS px, CAST(floor(y + dy) AS INTEGER) AS py, max(z) AS z FROM fx_points JOIN o ON true GROUP BY 1, 2""",
+    "noise_radius": """WITH p AS (SELECT x, y, z, min(classification) AS c0, count(*) AS n FROM fx_points GROUP BY x, y, z),
+k AS (SELECT *, CAST(floor(x / 2) AS BIGINT) AS cx, CAST(floor(y / 2) AS BIGINT) AS cy, CAST(floor(z / 2) AS BIGINT) AS cz FROM p), o AS (SELECT unnest([-1, 0, 1]) AS d),
+a AS (SELECT p.x, p.y, p.z, sum(q.n) - 1 AS others FROM k p JOIN o i ON true JOIN o j ON true JOIN o h ON true JOIN k q ON q.cx = p.cx + i.d AND q.cy = p.cy + j.d AND q.cz = p.cz + h.d WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 4 GROUP BY p.x, p.y, p.z)
+SELECT f.x, f.y, f.z, f.classification FROM fx_points f JOIN a ON f.x = a.x AND f.y = a.y AND f.z = a.z WHERE a.others > 3 AND f.classification <> 7""",
+    "classifier_rows": "SELECT seg_class, spec_mean_r, spec_mean_g, spec_ndvi FROM training_data WHERE training_set IN (1, 3) AND seg_class IS NOT NULL AND spec_mean_r IS NOT NULL AND spec_mean_g IS NOT NULL AND spec_ndvi IS NOT NULL",
+    "detect_trees": _TOPS,
     "canopy_mask": _CANOPY + " SELECT px, py, nullif(v, 0) AS canopy FROM di",
     "canopy_mask_edits": _CANOPY + " SELECT px, py, nullif(CASE WHEN px BETWEEN 20 AND 40 AND py < 50 THEN CASE WHEN px < 30 THEN 1 ELSE 0 END ELSE v END, 0) AS canopy FROM di",
     "final_canopy": f"SELECT DISTINCT p.px, p.py, 1 AS canopy FROM fx_class_cells p WHERE class_id IN (1, 2, 3, 5) AND {_CENTRE[0]} BETWEEN 5 AND 95 AND {_CENTRE[1]} BETWEEN 5 AND 65",
@@ -388,7 +410,7 @@ SELECT x, y, z, classification FROM v JOIN a ON v.vx = a.vx AND v.vy = a.vy AND
     "training_data_extract": _EXTRACT + " SELECT fid, type, training_set, training_fid, seg_class, spec_n FROM ex",
     "training_fids_without_hit": _EXTRACT + " SELECT fid AS training_fid FROM fx_training WHERE fid NOT IN (SELECT training_fid FROM ex WHERE type = 1)",
     "training_summary": "SELECT CASE WHEN seg_class IN ('C', 'D', 'H') THEN 'tree' WHEN seg_class = 'B' THEN 'other' ELSE seg_class END AS seg_class, count(*) AS n FROM fx_training GROUP BY 1",
-    "class_edits_fold": _edit_sql(),
+    "class_edits_fold": _FOLD,
     "accuracy_from_confusion": _MARGIN + " SELECT round(sum(hit) / max(total), 6) AS pcc, round((sum(hit) / max(total) - sum(obs * ele) / (max(total) * max(total))) / (1 - sum(obs * ele) / (max(total) * max(total))), 6) AS kappa, round(avg(hit / nullif(obs, 0)), 6) AS sensitivity, round(avg((total - obs - ele + hit) / nullif(total - obs, 0)), 6) AS specificity FROM m",
     "class_accuracy": _MARGIN + " SELECT seg_class, round(hit / nullif(ele, 0), 6) AS users, round(hit / nullif(obs, 0), 6) AS producers FROM m",
     "pie_donut_pie": f"""WITH f AS (SELECT event_type, count(*) AS freq FROM events GROUP BY event_type),
@@ -406,4 +428,6 @@ SELECT event_type, kind, freq, of_pie, round(start1, 6) AS start1, round(end1, 6
     "latest_project": "SELECT event_type AS project FROM events GROUP BY event_type ORDER BY min(ts) DESC, event_type DESC LIMIT 1",
 }
 
+_SQL["seg_metrics_las"] = f"SELECT * FROM ({_SQL['seg_metrics_las_z']}) JOIN ({_SQL['seg_metrics_las_rgb']}) USING (tile_name, poly_id) JOIN ({_SQL['seg_metrics_las_class']}) USING (tile_name, poly_id)"
+
 ORACLE = {k: expanded(v) for k, v in _SQL.items()} | queries_polygons.ORACLE

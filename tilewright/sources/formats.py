@@ -1,14 +1,13 @@
 """Readers and writers of the file formats that tilesets come in.
 
-Rasters: ESRI ASCII grids. Point clouds: uncompressed LAS 1.0 to 1.4. Vectors:
-GeoPackage. Each file is read by one task from a path that all executors see;
+Rasters: ESRI ASCII grids and plain TIFF. Point clouds: uncompressed LAS 1.0 to
+1.4. Vectors: GeoPackage. Attributes: GeoPackage and DBF. Each file is read by one task from a path that all executors see;
 many files are read in parallel. Everything else is Spark's own: Parquet, CSV,
 JSON.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import sqlite3
@@ -58,20 +57,26 @@ def write_metadata(df: DataFrame, path: str) -> None:
 
 
 class Metadata:
-    """Computed attributes of a tileset, kept as JSON beside it under the version they were computed for."""
+    """Computed attributes of a tileset, kept as JSON beside it under the version they were computed for, on any file system that Spark reads."""
 
-    def __init__(self, path: str, compute: dict) -> None:
-        self.path, self.compute = path, compute
+    def __init__(self, spark: SparkSession, path: str, compute: dict) -> None:
+        self.spark, self.path, self.compute = spark, path, compute
+
+    def _file(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def get(self, attribute: str, version: str):
         """The kept value if it is of this version, else computed and kept."""
         if attribute not in self.compute:
             raise KeyError(f"Unknown metadata attribute '{attribute}'")
-        kept = json.loads(open(self.path, encoding="utf-8").read()) if os.path.exists(self.path) else {}
+        at, files = self._file()
+        kept = json.loads("\n".join(r.value for r in self.spark.read.text(self.path).collect())) if files.exists(at) else {}
         if kept.get(attribute, {}).get("version") != version:
             kept[attribute] = {"version": version, "value": self.compute[attribute]()}
-            with open(self.path, "w", encoding="utf-8") as f:
-                json.dump(kept, f)
+            out = files.create(at, True)
+            out.write(bytearray(json.dumps(kept).encode()))
+            out.close()
         return kept[attribute]["value"]
 
 
@@ -114,6 +119,160 @@ def read_ascii_grids(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return _files(spark, paths).mapInPandas(read, "filename string, px int, py int, value double")
 
 
+#: Numbers of the tags that a plain TIFF's reader needs.
+_TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "offsets": 273, "samples": 277, "rows": 278, "planar": 284, "tiled": 322, "kind": 339, "scale": 33550, "tie": 33922, "nodata": 42113}
+#: Code and size of a tag's field types.
+_FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
+
+
+def _tiff_tags(f, e: str) -> dict[int, tuple]:
+    (at,) = struct.unpack(e + "I", f.read(4))
+    f.seek(at)
+    (n,) = struct.unpack(e + "H", f.read(2))
+    raw, out = f.read(12 * n), {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(e + "HHI", raw, 12 * k)
+        if kind not in _FIELDS:
+            continue
+        form = f"{e}{count}{_FIELDS[kind]}"
+        size = struct.calcsize(form)
+        if size <= 4:
+            out[tag] = struct.unpack_from(form, raw, 12 * k + 8)
+        else:
+            f.seek(struct.unpack_from(e + "I", raw, 12 * k + 8)[0])
+            out[tag] = struct.unpack(form, f.read(size))
+    return out
+
+
+def read_tiffs(spark: SparkSession, paths: Sequence[str], bands: int = 1) -> DataFrame:
+    """filename, px, py, band1 .. of the cells of plain TIFF files, null where a band has no data; px and py count cells from the origin, y grows north.
+
+    Plain is: uncompressed, in strips, square cells and a georeference by a cell
+    size and a corner, 8 to 64 bits a value. A strip is read at a time. Other
+    files are an error.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b["path"]:
+                yield from _tiff_cells(path, bands)
+
+    return _files(spark, paths).mapInPandas(read, "filename string, px int, py int, " + ", ".join(f"band{k + 1} double" for k in range(bands)))
+
+
+def _tiff_cells(path: str, bands: int) -> Iterator[pd.DataFrame]:
+    with open(path, "rb") as f:
+        head = f.read(4)
+        if head not in (b"II*\0", b"MM\0*"):
+            raise ValueError("not a TIFF file")
+        e = "<" if head[:1] == b"I" else ">"
+        t = _tiff_tags(f, e)
+        tag = lambda name, default=None: t.get(_TAGS[name], default)
+        if tag("compression", (1,))[0] != 1 or tag("tiled"):
+            raise ValueError("a TIFF file that is compressed or tiled")
+        width, height, samples = tag("width")[0], tag("height")[0], tag("samples", (1,))[0]
+        if bands > samples:
+            raise ValueError(f"the file has {samples} bands")
+        size, kind = tag("bits", (1,))[0] // 8, {1: "u", 2: "i", 3: "f"}[tag("kind", (1,))[0]]
+        form = np.dtype(f"{e}{kind}{size}")
+        scale, tie = tag("scale"), tag("tie")
+        if not scale or not tie:
+            raise ValueError("a TIFF file without a georeference")
+        left, top = round((tie[3] - tie[0] * scale[0]) / scale[0]), round((tie[4] + tie[1] * scale[1]) / scale[1])
+        nodata = float(tag("nodata")[0].split(b"\0")[0]) if tag("nodata") else None
+        planar, rows, offsets = tag("planar", (1,))[0] == 2, min(tag("rows", (height,))[0], height), tag("offsets")
+        strips = -(-height // rows)
+        for k in range(strips):
+            n = min(rows, height - k * rows)
+            one = []
+            for band in range(bands):
+                if planar or not band:
+                    f.seek(offsets[k + band * strips] if planar else offsets[k])
+                    raw = np.frombuffer(f.read(n * width * (1 if planar else samples) * size), form).reshape(n, width, -1)
+                v = raw[:, :, 0 if planar else band].astype(float).ravel()
+                one.append(np.where(v == nodata, np.nan, v) if nodata is not None else v)
+            at = np.arange(n * width)
+            out = pd.DataFrame({"filename": path, "px": (left + at % width).astype(np.int32), "py": (top - 1 - k * rows - at // width).astype(np.int32)})
+            yield out.assign(**{f"band{j + 1}": pd.array(v, dtype="Float64") if not np.isnan(v).any() else pd.Series(v).astype("Float64") for j, v in enumerate(one)})
+
+
+def tiff_bytes(bands: Sequence[np.ndarray], left: float, top: float, width: float, nodata: float | None = None, e: str = "<") -> bytes:
+    """A small plain TIFF file of bands of one kind, rows from the top."""
+    first = np.asarray(bands[0])
+    data = np.stack([np.asarray(b) for b in bands], -1).astype(first.dtype.newbyteorder(e)).tobytes()
+    kind = {"u": 1, "i": 2, "f": 3}[first.dtype.kind]
+    tags = [(256, "I", (first.shape[1],)), (257, "I", (first.shape[0],)), (258, "H", (first.dtype.itemsize * 8,) * len(bands)), (259, "H", (1,)), (273, "I", (8,)), (277, "H", (len(bands),)), (278, "I", first.shape[:1]), (279, "I", (len(data),)), (339, "H", (kind,) * len(bands)), (33550, "d", (width, width, 0)), (33922, "d", (0, 0, 0, left, top, 0))]
+    if nodata is not None:
+        text = str(nodata).encode() + b"\0"
+        tags.append((42113, "s", (text,)))
+    code = {v: k for k, v in _FIELDS.items()}
+    at = 8 + len(data)
+    entries, extra = b"", b""
+    for tag, form, v in tags:
+        n = len(v[0]) if form == "s" else len(v)
+        raw = struct.pack(f"{e}{n}{form}", *v)
+        where = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(e + "I", at + 2 + 12 * len(tags) + 4 + len(extra))
+        extra += raw if len(raw) > 4 else b""
+        entries += struct.pack(e + "HHI", tag, code[form], n) + where
+    return (b"II*\0" if e == "<" else b"MM\0*") + struct.pack(e + "I", at) + data + struct.pack(e + "H", len(tags)) + entries + struct.pack(e + "I", 0) + extra
+
+
+def read_attributes(spark: SparkSession, paths: Sequence[str], layer: str | None = None) -> DataFrame:
+    """filename and the attributes, without geometry, of the first (or the named) layer of GeoPackages, or of DBF files."""
+    if paths[0].lower().endswith(".dbf"):
+        return read_dbf(spark, paths)
+    if layer is None:
+        with sqlite3.connect(f"file:{paths[0]}?mode=ro", uri=True) as con:
+            layer = con.execute("SELECT table_name FROM gpkg_contents ORDER BY rowid LIMIT 1").fetchone()[0]
+    df = read_gpkg(spark, paths, layer)
+    return df.select(*(f.name for f in df.schema.fields if f.dataType.simpleString() != "binary"))
+
+
+def _dbf_fields(path: str) -> list[tuple[str, str, int, int]]:
+    """Name, type, width and decimals of the fields."""
+    with open(path, "rb") as f:
+        head = f.read(32)
+        (size,) = struct.unpack_from("<H", head, 8)
+        raw = f.read(size - 33)
+    return [(raw[k : k + 11].split(b"\0")[0].decode("latin-1"), chr(raw[k + 11]), raw[k + 16], raw[k + 17]) for k in range(0, len(raw) - 31, 32) if raw[k] != 0x0D]
+
+
+def read_dbf(spark: SparkSession, paths: Sequence[str], encoding: str = "latin-1") -> DataFrame:
+    """filename and the columns of DBF files; the first file's columns hold for all. Deleted rows are left out, blank values are null, dates are text."""
+    fields = _dbf_fields(paths[0])
+    kinds = {n: ("boolean" if t == "L" else ("double" if d or w > 18 else "bigint") if t in "NF" else "string") for n, t, w, d in fields}
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b["path"]:
+                with open(path, "rb") as f:
+                    head = f.read(32)
+                    n, start, width = struct.unpack_from("<IHH", head, 4)
+                    f.seek(start)
+                    while n > 0:
+                        k = min(n, CHUNK)
+                        raw = np.frombuffer(f.read(k * width), np.uint8)
+                        raw = raw[: len(raw) // width * width].reshape(-1, width)
+                        if not len(raw):
+                            break
+                        raw = raw[raw[:, 0] != 0x2A]
+                        out, at = {"filename": [path] * len(raw)}, 1
+                        for name, _, w, _ in fields:
+                            text = [bytes(v).decode(encoding).strip(" \0") or None for v in raw[:, at : at + w]]
+                            if kinds[name] == "boolean":
+                                out[name] = pd.array([None if v in (None, "?") else v in "YyTt" for v in text], "boolean")
+                            elif kinds[name] == "string":
+                                out[name] = pd.Series(text, dtype=object)
+                            else:
+                                v = pd.to_numeric(pd.Series(text, dtype=object), errors="coerce")
+                                out[name] = v.astype("Float64" if kinds[name] == "double" else "Int64")
+                            at += w
+                        yield pd.DataFrame(out)
+                        n -= k
+
+    return _files(spark, paths).mapInPandas(read, "filename string, " + ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
 #: Offset of intensity, classification, returns and colour in each LAS point format, and whether the classification has five bits.
 _LAS = {0: (12, 15, 14, None, True), 1: (12, 15, 14, None, True), 2: (12, 15, 14, 20, True), 3: (12, 15, 14, 28, True), 6: (12, 16, 14, None, False), 7: (12, 16, 14, 30, False), 8: (12, 16, 14, 30, False)}
 
@@ -241,20 +400,43 @@ def write_archives(df: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
     """Zip archives of CSV files, one a tile, by a plan (tile_name, archive): archive, tiles, bytes.
 
     Each archive, a fixed number of tiles, is written by one task into a folder
-    that all executors share. An archive appears under its name only when whole.
+    that all executors share, a tile at a time as its rows come in order. An
+    archive appears under its name only when whole.
     """
     cols = [c for c in df.columns if c != "tile_name"]
+    d = df.join(broadcast_if_small(plan.select("tile_name", "archive")), "tile_name").select("archive", "tile_name", *cols)
+    d = d.repartition("archive").sortWithinPartitions("archive", "tile_name", *cols)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = tile = z = entry = part = None
+        tiles = 0
+
+        def close() -> pd.DataFrame | None:
+            if z is None:
+                return None
+            entry.close()
+            z.close()
+            size = os.path.getsize(part)
+            os.replace(part, os.path.join(folder, name))
+            return pd.DataFrame({"archive": [name], "tiles": [tiles], "bytes": [size]})
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["archive"].iloc[0]
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for tile, part in pdf.sort_values(["tile_name", *cols]).groupby("tile_name"):
-                z.writestr(zipfile.ZipInfo(f"{tile}.csv"), part[cols].to_csv(index=False))
-        part = os.path.join(folder, f".{name}.{os.getpid()}")
-        with open(part, "wb") as f:
-            f.write(buf.getvalue())
-        os.replace(part, os.path.join(folder, name))
-        return pd.DataFrame({"archive": [name], "tiles": [pdf["tile_name"].nunique()], "bytes": [len(buf.getvalue())]})
-
-    return df.join(broadcast_if_small(plan.select("tile_name", "archive")), "tile_name").groupBy("archive").applyInPandas(one, "archive string, tiles bigint, bytes bigint")
+        for b in batches:
+            for (a, t), rows in b.groupby(["archive", "tile_name"], sort=False):
+                if a != name:
+                    if z is not None:
+                        yield close()
+                    name, tile, tiles = a, None, 0
+                    part = os.path.join(folder, f".{a}.{os.getpid()}")
+                    z = zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED)
+                if t != tile:
+                    if tile is not None:
+                        entry.close()
+                    info = zipfile.ZipInfo(f"{t}.csv")
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    entry, tile, tiles = z.open(info, "w", force_zip64=True), t, tiles + 1
+                    entry.write((",".join(cols) + "\n").encode())
+                entry.write(rows[cols].to_csv(index=False, header=False).encode())
+        if z is not None:
+            yield close()
+
+    return d.mapInPandas(write, "archive string, tiles bigint, bytes bigint")
