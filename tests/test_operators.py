@@ -277,6 +277,79 @@ def test_forest_on_separable_data(spark, tmp_path):
     assert (acc.pcc > 0.95).all() and (acc.kappa > 0.9).all()
 
 
+def test_classifier_of_chosen_sets(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 400)
+    pdf = pd.DataFrame({"fid": np.arange(400), "type": 1, "training_fid": 1, "training_set": np.arange(400) % 4, "seg_class": [["C", "D"][k] for k in y], "spec_a": y * 10 + rng.normal(0, 1, 400), "spec_b": rng.normal(0, 1, 400)})
+    # set 3 is labelled the wrong way round, and isn't chosen; a null is left out
+    pdf.loc[pdf.training_set == 3, "seg_class"] = pdf.seg_class.map({"C": "D", "D": "C"})
+    df = spark.createDataFrame(pdf).withColumn("spec_b", F.when(F.col("fid") != 8, F.col("spec_b")))
+    assert classify.training_rows(df, [0, 1]).columns == ["seg_class", "spec_a", "spec_b"] and classify.training_rows(df, [0, 1]).count() == 199
+    m, error = classify.created(df, [0, 1, 2], trees=10, depth=4, held_out=0.2)
+    assert classify.predictors_of(m) == ["spec_a", "spec_b"] and error < 0.05
+    m, error = classify.created(df, [0, 1, 2], ["spec_a"], trees=10, depth=4, held_out=0)
+    assert classify.predictors_of(m) == ["spec_a"] and error is None
+    for bad, match in (({"sets": [9]}, "No training rows"), ({"sets": [0], "predictors": ["nope"]}, "nope"), ({"sets": [0], "predictors": ["auto"]}, "automatically")):
+        with pytest.raises(ValueError, match=match):
+            classify.created(df, **bad)
+
+
+def test_surface_algorithms(spark):
+    p = spark.createDataFrame([(0.5, 0.5, 1.0), (0.4, 0.4, 3.0), (3.5, 0.5, 5.0), (0.5, 3.5, 5.0), (3.5, 3.5, 7.0)], "x double, y double, z double")
+    g = spark.createDataFrame([("R1C1", x, y) for x in range(5) for y in range(4)], "tile_name string, px int, py int")
+    assert cells(points.surface(p, 1.0), "z") == {(0, 0): 3, (3, 0): 5, (0, 3): 5, (3, 3): 7}
+    disc = cells(points.surface(p, 1.0, algorithm="circle", radius=0.6), "z")
+    assert disc[0, 0] == 3 and disc[-1, 0] == 3 and disc[4, 3] == 7 and (1, 0) in disc and (1, 1) not in disc
+    tin = cells(points.surface(p, 1.0, grid=g, algorithm="tin", fill=-1), "z")
+    assert tin[1, 2] == pytest.approx(5, abs=0.7) and 3 < tin[1, 1] < 5 and tin[4, 0] == -1 and len(tin) == 20
+    with pytest.raises(ValueError, match="algorithm"):
+        points.surface(p, algorithm="other")
+
+
+def test_noise_within_a_radius(spark):
+    rng = np.random.default_rng(6)
+    xyz = np.vstack([rng.uniform(0, 10, (150, 3)), np.repeat([[30.0, 30, 30]], 5, axis=0)])
+    rows = [(*map(float, r), 2) for r in xyz] + [(None, 1.0, 1.0, 2)]
+    got = points.classify_noise(spark.createDataFrame(rows, "x double, y double, z double, classification int"), 1.5, 3, "radius").collect()
+    d = ((xyz[:, None] - xyz) ** 2).sum(-1) <= 2.25
+    assert sum(r.classification == 7 for r in got) == int((d.sum(1) - 1 <= 3).sum()) > 20 and len(got) == 155
+    # five in one place are four others to each
+    assert {r.classification for r in got if r.x == 30} == {2}
+
+
+def test_metrics_find_out_what_the_points_have(spark):
+    p = spark.createDataFrame([("a", 1, float(z), 1, 0, 0, 0) for z in range(6)], "tile_name string, poly_id int, z double, classification int, r int, g int, b int")
+    seg = spark.createDataFrame([("a", 1), ("b", 1)], "tile_name string, poly_id int")
+    got = metrics.las_metrics(p, seg, "m")
+    assert got.columns == ["tile_name", "poly_id", *(f"m_{c}" for c in ("Z_qmn", "Z_mn", "Z_sd", "Z_iq", "Z_p50", "Z_p75", "Z_p90", "Z_over1", "Z_over2", "Z_over3"))]
+    assert {r.tile_name: r.m_Z_mn for r in got.collect()} == {"a": 25000, "b": 0}
+    more = metrics.las_metrics(p.withColumns({"classification": F.lit(2), "r": F.lit(9)}), seg, "m")
+    assert len(more.columns) == 2 + 10 + 1 + 64 and len(metrics.las_metrics(p, seg, "m", full=True, ground=True).columns) == 2 + 10 + 13
+
+
+def test_polygons_into_tiles(spark):
+    from tests.test_proximity import wkb_polygon
+    from tilewright.operators.proximity import with_rings
+
+    ts = tiles.scheme(spark, 1, 2, 10.0, 1.0)
+    # within a buffer; a comb whose teeth lie in the other tile; a frame across the border; outside
+    rings = {1: [[(8, 1), (10.5, 1), (10.5, 2), (8, 2)]], 2: [[(8, 3), (14, 3), (14, 4), (9, 4), (9, 5), (14, 5), (14, 6), (8, 6)]], 3: [[(7, 7), (13, 7), (13, 9), (7, 9)], [(8, 7.5), (12, 7.5), (12, 8.5), (8, 8.5)]], 4: [[(90, 1), (91, 1), (91, 2)]]}
+    df = spark.createDataFrame([(k, bytearray(wkb_polygon(*r)), "x") for k, r in rings.items()] + [(5, None, "x"), (6, bytearray(b"1"), "x")], "fid int, g binary, tile_name string")
+    got = spatial.tile_polygons(with_rings(df, "g", "fid"), ts, "fid").collect()
+    assert sorted((r.tile_name, r.fid, round(r.area, 9)) for r in got) == [("R1C1", 1, 2.5), ("R1C1", 2, 5.0), ("R1C1", 3, 4.0), ("R1C2", 2, 4.0), ("R1C2", 2, 4.0), ("R1C2", 3, 4.0)]
+    assert {(r.tile_name, r.poly_id) for r in got} == {("R1C1", 1), ("R1C1", 2), ("R1C1", 3), ("R1C2", 1), ("R1C2", 2), ("R1C2", 3)}
+    empty = with_rings(df.limit(0), "g", "fid")
+    assert spatial.tile_polygons(empty, ts, "fid").count() == 0 and spatial.rasterized(empty.withColumn("poly_id", F.lit(1))).count() == 0
+    # rectangles and polygons meet
+    box = spark.createDataFrame([("in the gap", 10.0, 4.2, 13.0, 4.8), ("on a tooth", 13.0, 5.5, 20.0, 5.7), ("in the frame", 9.0, 7.8, 11.0, 8.2)], "name string, minx double, miny double, maxx double, maxy double")
+    poly = with_rings(df, "g", "fid")
+    assert {(r.name, r.fid) for r in spatial.read_from_areas(box, poly, "name", ["fid"]).collect()} == {("on a tooth", 2)}
+    assert {r.fid for r in spatial.semi_shapes(poly, box, ["fid"]).collect()} == {2} and {r.fid for r in spatial.semi_shapes(poly, box, ["fid"], inside=False).collect()} == {1, 3, 4}
+    pts = spark.createDataFrame([(1, 13.0, 5.5), (2, 12.0, 4.5), (3, 14.0, 5.0), (None, 1.0, 1.0)], "k int, x double, y double")
+    assert {(r.k, r.fid) for r in spatial.read_from_points(pts, poly.drop("tile_name"), "k", ["fid"], ["fid"]).collect()} == {(1, 2), (2, None), (3, 2), (None, None)}
+    assert spatial.shapes_meet(poly, poly.limit(0)).count() == 0
+
+
 def test_accuracy_by_hand(spark):
     pairs = spark.createDataFrame([("a", "a")] * 40 + [("a", "b")] * 10 + [("b", "b")] * 45 + [("b", "a")] * 5, "observed string, elected string")
     r = classify.accuracy(pairs, ["a", "b", "c"]).collect()[0]

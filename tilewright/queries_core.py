@@ -106,12 +106,39 @@ def _pca(s, d):
     return s.createDataFrame([(k + 1, float(v)) for k, v in enumerate(m.variance)], "component int, variance double")
 
 
+def _pca_sums(s, d):
+    """What no choice of axes changes: the sum of the variances, and of their squares."""
+    return _rounded(_pca(s, d).agg(F.sum("variance").alias("total"), F.sum(F.col("variance") * F.col("variance")).alias("squares")), "total", "squares", digits=8)
+
+
 def _pca_global(s, d):
     p = _pixels(s, d)
     m = pca.pca_model(pca.sampled(p, ["r", "g", "b"]), ["r", "g", "b"])
     return pca.scored(p, m).select("tile_name", "px", "py", "pc1", "pc2")
 
 
+def _pca_two_bands(s, d):
+    p = _pixels(s, d)
+    # a sample larger than any tile is all of it
+    m = pca.pca_model(pca.sampled(p, ["b", "ir"], 1_000_000_000), ["b", "ir"])
+    return _rounded(pca.scored(p, m).select("tile_name", "px", "py", "pc1", "pc2"), "pc1", "pc2", digits=5)
+
+
+def _crown_cover(s, d):
+    """How many cells the crowns of each tile's buffered area have: those of height that a top can be reached from."""
+    tops = _trees(s, d).withColumn("tree_id", (F.col("py") * 1000 + F.col("px")).cast("bigint"))
+    cells = segment.crowns(raster.crop(fixture(s, d, "SELECT px, py, chm FROM fx_pixels"), _scheme(s), "buff"), raster.crop(tops.select("px", "py", "tree_id"), _scheme(s), "buff"))
+    return cells.groupBy("tile_name").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _dem_plane(s, d):
+    """The terrain of points on a plane: wherever there is one, it is the plane."""
+    p = fixture(s, d, "fx_points_t").withColumn("z", 2 * F.col("x") - F.col("y") + 3)
+    dem = points.terrain(points.ground_points(p.select("tile_name", "x", "y", "z", "classification")), _pixels(s, d), enough=points.tiles_with_ground(p))
+    plane = 2 * (F.col("px") + 0.5) - (F.col("py") + 0.5) + 3
+    return dem.select("tile_name", "px", "py", F.coalesce(F.abs(F.col("dem") - plane) < 1e-6, F.lit(True)).alias("on_plane"))
+
+
 def _dem(s, d):
     p = fixture(s, d, "fx_points_t")
     return points.terrain(points.ground_points(p.select("tile_name", "x", "y", "z", "classification")), _pixels(s, d), enough=points.tiles_with_ground(p))
@@ -179,6 +206,7 @@ QUERIES = {
     "surface_dsm": lambda s, d: points.surface(fixture(s, d, "fx_points"), 1.0),
     "surface_ndsm": lambda s, d: points.surface(points.normalized(fixture(s, d, "fx_points").select("x", "y", "z"), fixture(s, d, "fx_dem"), 0, 40), 1.0, 0.0, fixture(s, d, "fx_pixels")),
     "surface_dem": _dem,
+    "surface_dem_plane": _dem_plane,
     "seg_metrics_las_z": lambda s, d: metrics.height_metrics(fixture(s, d, "fx_points_t"), fixture(s, d, "fx_segments"), "las"),
     "seg_metrics_las_rgb": lambda s, d: metrics.colour_metrics(fixture(s, d, "fx_points_t"), fixture(s, d, "fx_segments"), "las"),
     "seg_metrics_las_class": lambda s, d: metrics.class_metrics(fixture(s, d, "fx_points_t"), fixture(s, d, "fx_segments"), "las"),
@@ -205,6 +233,9 @@ QUERIES = {
     "class_accuracy": lambda s, d: _rounded(classify.class_accuracy(_accuracy_pairs(s, d), CODES), "users", "producers"),
     "pca_model": _pca,
     "pca_global": _pca_global,
+    "pca_model_sums": _pca_sums,
+    "pca_global_two_bands": _pca_two_bands,
+    "pca_local_two_bands": lambda s, d: _rounded(pca.pca_local(_pixels(s, d), ["b", "ir"]), "pc1", "pc2", digits=5),
     "pca_local": lambda s, d: pca.pca_local(_pixels(s, d), ["r", "g", "b"]),
     "classify_seg_poly": _forest,
     # reports and scalars
@@ -216,6 +247,8 @@ QUERIES = {
     "latest_project": lambda s, d: report.latest_project(table(s, d, "events").groupBy(F.col("event_type").alias("project")).agg(F.min("ts").alias("created"))).select("project"),
     # algorithms by tile
     "segment_watershed": lambda s, d: segment.tile_crowns(fixture(s, d, "fx_pixels"), _trees(s, d).withColumn("tree_id", (F.col("py") * 1000 + F.col("px")).cast("bigint")), _scheme(s)),
+    "segment_watershed_trees": lambda s, d: QUERIES["segment_watershed"](s, d).select("tile_name", "tree_id", "height", (F.col("crown_area") >= 1).alias("has_area")),
+    "segment_watershed_cover": _crown_cover,
     "segment_mss": lambda s, d: segment.mean_shift_segments(_pixels(s, d), ["r", "g", "b"], 3, 40, 6),
 }
 QUERIES |= queries_polygons.QUERIES
@@ -321,6 +354,20 @@ _NAME = "concat('R', CAST(CAST(floor(y / 20) AS INTEGER) + 1 AS VARCHAR), 'C', C
 _CLASS_1 = "SELECT tile_name, poly_id, minx, miny, maxx, maxy, CAST(n_px AS DOUBLE) AS height, CAST(n_px * 2 AS DOUBLE) AS crown_area, CASE WHEN poly_id % 7 <> 0 THEN poly_id % 6 END AS class_1 FROM fx_segments"
 _NORM = "SELECT p.*, p.z - d.dem AS zz, d.px, d.py FROM fx_points p JOIN fx_dem d ON CAST(floor(p.x) AS INTEGER) = d.px AND CAST(floor(p.y) AS INTEGER) = d.py WHERE p.z - d.dem > 0 AND p.z - d.dem <= 40"
 
+_CUBIC = "CASE WHEN {d} < 1 THEN (CAST(1.5 AS DOUBLE) * {d} - CAST(2.5 AS DOUBLE)) * {d} * {d} + 1 WHEN {d} < 2 THEN ((CAST(-0.5 AS DOUBLE) * {d} + CAST(2.5 AS DOUBLE)) * {d} - 4) * {d} + 2 ELSE 0 END"
+
+
+def _two_bands(by: str) -> str:
+    """Components of two bands in closed form, by tile or over all."""
+    group, on = (f"GROUP BY {by}", f"USING ({by})") if by else ("", "ON true")
+    key = f"{by}, " if by else ""
+    return f"""WITH m AS (SELECT {key}avg(b) AS mx, avg(ir) AS mz, var_samp(b) AS a, covar_samp(b, ir) AS b, var_samp(ir) AS c FROM fx_pixels_t {group}),
+l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS big FROM m),
+u AS (SELECT *, CASE WHEN a >= c THEN big - c ELSE b END AS ux, CASE WHEN a >= c THEN b ELSE big - a END AS uz FROM l),
+n AS (SELECT *, CASE WHEN abs(ux) >= abs(uz) THEN sign(ux) ELSE sign(uz) END * sqrt(ux * ux + uz * uz) AS len, CASE WHEN abs(ux) >= abs(uz) THEN sign(ux) ELSE -sign(uz) END * sqrt(ux * ux + uz * uz) AS len2 FROM u)
+SELECT p.tile_name, p.px, p.py, round(((p.b - mx) * ux + (p.ir - mz) * uz) / len, 5) AS pc1, round(((p.ir - mz) * ux - (p.b - mx) * uz) / len2, 5) AS pc2 FROM fx_pixels_t p JOIN n {on}"""
+
+
 _TOPS = "SELECT p.px, p.py, p.chm AS height FROM fx_pixels p WHERE p.chm >= 10 AND NOT EXISTS (SELECT 1 FROM fx_pixels q WHERE q.px BETWEEN p.px - 3 AND p.px + 3 AND q.py BETWEEN p.py - 3 AND p.py + 3 AND (p.px - q.px) * (p.px - q.px) + (p.py - q.py) * (p.py - q.py) <= least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) * least(1 + p.chm * CAST(0.04 AS DOUBLE), 3) AND q.chm > p.chm)"
 
 _SQL = {
@@ -341,6 +388,10 @@ _SQL = {
     "to_rts": """WITH w AS (SELECT t.px, t.py, p.r, p.ir, greatest(1 - abs((2 * t.px + 1) - (p.px + CAST(0.5 AS DOUBLE))), 0) * greatest(1 - abs((2 * t.py + 1) - (p.py + CAST(0.5 AS DOUBLE))), 0) AS w
 FROM (SELECT CAST(a.range AS INTEGER) AS px, CAST(b.range AS INTEGER) AS py FROM range(100) a, range(50) b) t JOIN fx_pixels p ON p.px BETWEEN 2 * t.px AND 2 * t.px + 1 AND p.py BETWEEN 2 * t.py AND 2 * t.py + 1)
 SELECT px, py, round(sum(r * w) / sum(w), 6) AS r, round(sum(ir * w) / sum(w), 6) AS ir FROM w WHERE w > 0 GROUP BY px, py""",
+    "to_rts_cubic": f"""WITH d AS (SELECT t.px, t.py, p.r, abs((2 * t.px + 1) - (p.px + CAST(0.5 AS DOUBLE))) AS dx, abs((2 * t.py + 1) - (p.py + CAST(0.5 AS DOUBLE))) AS dy
+FROM (SELECT CAST(a.range AS INTEGER) AS px, CAST(b.range AS INTEGER) AS py FROM range(100) a, range(50) b) t JOIN fx_pixels p ON p.px BETWEEN 2 * t.px - 1 AND 2 * t.px + 2 AND p.py BETWEEN 2 * t.py - 1 AND 2 * t.py + 2),
+w AS (SELECT px, py, r, ({_CUBIC.format(d="dx")}) * ({_CUBIC.format(d="dy")}) AS w FROM d)
+SELECT px, py, round(sum(r * w) / sum(w), 6) AS r FROM w WHERE w <> 0 GROUP BY px, py""",
     "tile_queue": "SELECT tile_name FROM tile_reg WHERE NOT spec",
     "tile_queue_overwrite": "SELECT tile_name FROM tile_reg WHERE tile_name IN ('R1C1', 'R2C2')",
     "complete_input": "SELECT DISTINCT n.tile_name FROM tile_reg t JOIN tile_reg n ON abs(t.row_no - n.row_no) <= 1 AND abs(t.col_no - n.col_no) <= 1 WHERE t.tile_name IN ('R1C1', 'R3C3', 'R50C50') AND NOT n.las",
@@ -413,6 +464,18 @@ SELECT f.x, f.y, f.z, f.classification FROM fx_points f JOIN a ON f.x = a.x AND
     "class_edits_fold": _FOLD,
     "accuracy_from_confusion": _MARGIN + " SELECT round(sum(hit) / max(total), 6) AS pcc, round((sum(hit) / max(total) - sum(obs * ele) / (max(total) * max(total))) / (1 - sum(obs * ele) / (max(total) * max(total))), 6) AS kappa, round(avg(hit / nullif(obs, 0)), 6) AS sensitivity, round(avg((total - obs - ele + hit) / nullif(total - obs, 0)), 6) AS specificity FROM m",
     "class_accuracy": _MARGIN + " SELECT seg_class, round(hit / nullif(ele, 0), 6) AS users, round(hit / nullif(obs, 0), 6) AS producers FROM m",
+    "pca_model_sums": """WITH v AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS x FROM embeddings), c AS (SELECT vec_id, k, x - avg(CAST(x AS DOUBLE)) OVER (PARTITION BY k) AS x FROM v),
+q AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) / ((SELECT count(*) FROM embeddings) - 1) AS cov FROM c a JOIN c b USING (vec_id) GROUP BY a.k, b.k)
+SELECT round(sum(CASE WHEN i = j THEN cov ELSE 0 END), 8) AS total, round(sum(cov * cov), 8) AS squares FROM q""",
+    "pca_global_two_bands": _two_bands(""),
+    "pca_local_two_bands": _two_bands("tile_name"),
+    "surface_dem_plane": "SELECT tile_name, px, py, true AS on_plane FROM fx_pixels_t",
+    "segment_watershed_trees": f"WITH t AS ({_SCHEME}), tops AS ({_TOPS}) SELECT t.tile_name, CAST(p.py * 1000 + p.px AS BIGINT) AS tree_id, p.height, true AS has_area FROM tops p JOIN t ON {_CENTRE[0]} >= nx AND {_CENTRE[0]} < nx2 AND {_CENTRE[1]} >= ny AND {_CENTRE[1]} < ny2",
+    "segment_watershed_cover": f"""WITH RECURSIVE t AS ({_SCHEME}), tops AS ({_TOPS}),
+c AS (SELECT t.tile_name, p.px, p.py FROM fx_pixels p JOIN t ON {_CENTRE[0]} >= ox AND {_CENTRE[0]} < ox2 AND {_CENTRE[1]} >= oy AND {_CENTRE[1]} < oy2 WHERE p.chm >= CAST(0.3 AS DOUBLE)),
+reach AS (SELECT c.tile_name, c.px, c.py FROM c JOIN tops p ON p.px = c.px AND p.py = c.py
+  UNION SELECT c.tile_name, c.px, c.py FROM reach r JOIN c ON c.tile_name = r.tile_name AND abs(c.px - r.px) + abs(c.py - r.py) = 1)
+SELECT tile_name, count(*) AS cells FROM reach GROUP BY tile_name""",
     "pie_donut_pie": f"""WITH f AS (SELECT event_type, count(*) AS freq FROM events GROUP BY event_type),
 e AS (SELECT *, sum(freq) OVER (ORDER BY event_type) AS upto, sum(freq) OVER () AS total FROM f),
 c AS (SELECT event_type, CAST(freq AS BIGINT) AS freq, (upto - freq) * 2 * pi() / total AS start1, upto * 2 * pi() / total AS end1, ((upto - freq) * 2 * pi() / total + upto * 2 * pi() / total) / 2 AS mid, freq / total AS ratio FROM e)
