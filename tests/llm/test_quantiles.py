@@ -62,10 +62,19 @@ def test_digests_in_spark(spark):
         for p in (50, 90):
             assert got[g, p][1] == len(own)
             assert rank_error(own, got[g, p][0], p / 100) <= q.BITS / q.K
-    whole = q.percentiles(q.merged(d.withColumnRenamed("g", "x").selectExpr("1 AS one", "nodes", "counts"), ["one"]), ["one"], [50]).collect()
+    whole = q.percentiles(q.merged(d.withColumnRenamed("g", "x").selectExpr("1 AS one", "nodes", "counts", "ends"), ["one"]), ["one"], [50]).collect()
     assert whole[0].n == 5000 and abs(whole[0].value / np.median(v) - 1) < 0.02
 
 
+def test_values_beyond_the_universe_are_told(spark):
+    rows = [("a", float(x)) for x in (1e-9, 1e12, 1e300, *range(1, 998))] + [("b", 5.0)]
+    d = q.digests(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 50)
+    assert {r.g: r.ends for r in d.collect()} == {"a": 3, "b": 0}
+    m = q.merged(d.unionByName(d).selectExpr("1 AS one", "nodes", "counts", "ends"), ["one"], 50)
+    got = q.percentiles(m, ["one"], [50]).collect()[0]
+    assert (got.n, got.ends) == (2002, 6) and abs(got.value / 500 - 1) < 0.6
+
+
 def trees(spark, rows):
     return spark.createDataFrame([(f, b, "R1C1", h, c, k, t, "x", 1) for f, b, h, c, k, t in rows], TREES)
 

@@ -105,3 +105,9 @@ def test_p6_ids(spark, reference, monkeypatch):
     got = [(r.doc_id, r.ids) for r in tk.p6_ids(df).collect()]
     assert sorted(got, key=str) == sorted(((a, reference(b or "")) for a, b in rows), key=str)
     assert tk.p6_ids(df.limit(0)).collect() == []
+
+
+def test_ids_are_the_text(spark):
+    rows = [(1, "Ünï \U00010348 <|endoftext|>"), (2, None), (3, ""), (4, "x " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in tk.p6_texts(df).collect()} == {(a, b or "") for a, b in rows}

@@ -282,3 +282,15 @@ def p3_split(data: DataFrame, proportions: Mapping[str, float] | None = None, se
 def p3_found(data: DataFrame) -> DataFrame:
     """row_id, group_id of each row in a group of two or more. An empty table gives no rows."""
     return grouped(data).where("tied").select("row_id", "group_id")
+
+
+def p3_checks(data: DataFrame, proportions: Mapping[str, float] | None = None) -> DataFrame:
+    """One row about a split: rows, groups, parted (groups in two splits or more), even (whether each split's share of all rows is within 1 % of its proportion, or within the largest group if that is more)."""
+    proportions = dict(proportions or {"train": 0.8, "validation": 0.1, "test": 0.1})
+    whole = sum(proportions.values())
+    of = materialize(p3_split(data, proportions).groupBy("group_id", "split").agg(F.count(F.lit(1)).alias("n")), "p3-checked")
+    held = {f"_{i}": F.coalesce(F.sum(F.when(F.col("split") == k, F.col("n"))), F.lit(0)) for i, k in enumerate(proportions)}
+    groups = of.groupBy("group_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("splits"), *(v.alias(k) for k, v in held.items()))
+    one = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("splits") > 1).alias("parted"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in held))
+    off = F.greatest(*(F.abs(F.col(k) - F.col("rows") * F.lit(p / whole)) for k, p in zip(held, proportions.values(), strict=True)), F.lit(0.0))
+    return one.select("rows", "groups", "parted", (off <= F.greatest(F.col("rows") * F.lit(0.01), F.col("largest"))).alias("even"))

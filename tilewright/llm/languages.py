@@ -26,7 +26,7 @@ MIN_LETTERS = 80
 #: n-grams of these sizes are hashed into 2**BITS buckets.
 SIZES, BITS = (1, 2, 3, 4), 16
 #: The training sample: so many documents a label at most, the ones with the smallest hashes of doc_id, of each the first paragraphs up to so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 8_000
 #: Refits on the model's own labels of the sample's paragraphs, and the count added to every bucket.
 ROUNDS, SMOOTHING = 4, 0.02
 #: Characters scored at a time.

@@ -9,7 +9,9 @@ count then stands for values somewhere below it, and a rank read off the digest
 is wrong by at most BITS * n / k (Shrivastava et al. 2004), whatever the data.
 Digests of other partitions or days merge by adding the counts of equal nodes
 and compressing again. A digest is one row: its group, its nodes and their
-counts; many digests are compressed and read at a time in numpy.
+counts, and how many values it has at the ends of the universe, where values
+beyond it count as well and are bounded in rank only; many digests are
+compressed and read at a time in numpy.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def quantiles_of(group: np.ndarray, node: np.ndarray, count: np.ndarray, at: Seq
 
 
 def digests(df: DataFrame, by: Sequence[str], value: str, k: int = K) -> DataFrame:
-    """One digest (``by``, nodes, counts) of each group's positive, finite values.
+    """One digest (``by``, nodes, counts, ends) of each group's positive, finite values.
 
     Null, NaN, infinite, zero and negative values don't count, and groups
     without others have no digest; a null in ``by`` is a group of its own.
@@ -106,29 +108,31 @@ def digests(df: DataFrame, by: Sequence[str], value: str, k: int = K) -> DataFra
 
 def of_nodes(df: DataFrame, by: Sequence[str], k: int = K) -> DataFrame:
     """Digests of rows (``by``, node). Rows are counted by node in the partial hash aggregate, so a group brings at most 2**BITS rows to the task that compresses it, however many values it has."""
-    return _compress(df.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n")), by, k)
+    n = df.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
+    return _compress(n.withColumn("ends", F.when(F.col("node").isin(2**BITS, 2 ** (BITS + 1) - 1), F.col("n")).otherwise(F.lit(0)).cast("bigint")), by, k)
 
 
 def merged(digest: DataFrame, by: Sequence[str], k: int = K) -> DataFrame:
     """Digests of coarser groups ``by``: counts of equal nodes are added, then compressed. A rank stays wrong by BITS / k at most."""
-    flat = digest.select(*by, F.explode(F.arrays_zip("nodes", "counts")).alias("e")).select(*by, F.col("e.nodes").alias("node"), F.col("e.counts").alias("n"))
-    return _compress(flat.groupBy(*by, "node").agg(F.sum("n").alias("n")), by, k)
+    flat = digest.select(*by, "ends", F.posexplode(F.arrays_zip("nodes", "counts")).alias("_at", "e"))
+    flat = flat.select(*by, F.col("e.nodes").alias("node"), F.col("e.counts").alias("n"), F.when(F.col("_at") == 0, F.col("ends")).otherwise(F.lit(0)).alias("ends"))
+    return _compress(flat.groupBy(*by, "node").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), by, k)
 
 
 def _compress(nodes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     by = list(by)
     kinds = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in by)
     # lists of at most 2**(BITS + 1) nodes
-    whole = nodes.groupBy(*by).agg(F.collect_list(F.struct(F.col("node").cast("int").alias("node"), "n")).alias("e")).select(*by, "e.node", "e.n")
+    whole = nodes.groupBy(*by).agg(F.collect_list(F.struct(F.col("node").cast("int").alias("node"), "n")).alias("e"), F.sum("ends").alias("ends")).select(*by, "e.node", "e.n", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, group, node, n in _chunks(batches, "node", "n"):
             g, node, n = compressed(group, node, n, k)
             ends = pa.array(np.searchsorted(g, np.arange(b.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(node, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *lists], names=[*by, "nodes", "counts"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *lists, b.column("ends")], names=[*by, "nodes", "counts", "ends"])
 
-    return whole.mapInArrow(run, f"{kinds}, nodes array<int>, counts array<bigint>")
+    return whole.mapInArrow(run, f"{kinds}, nodes array<int>, counts array<bigint>, ends bigint")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], nodes: str, counts: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,7 +149,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], nodes: str, counts: str) -> Itera
 
 
 def percentiles(digest: DataFrame, by: Sequence[str], pcts: Sequence[int]) -> DataFrame:
-    """(``by``, pct, value, n) of each digest; n is the number of values in the group."""
+    """(``by``, pct, value, n, ends) of each digest; n is the number of values in the group, ends how many of them are at the ends of the universe or beyond."""
     by = list(by)
     kinds = ", ".join(f"`{c}` {digest.schema[c].dataType.simpleString()}" for c in by)
 
@@ -154,9 +158,9 @@ def percentiles(digest: DataFrame, by: Sequence[str], pcts: Sequence[int]) -> Da
             v, size = quantiles_of(group, node, n, [p / 100 for p in pcts])
             row = pa.array(np.repeat(np.arange(b.num_rows), len(pcts)))
             cols = [pa.array(np.tile(np.array(pcts, np.int32), b.num_rows)), pa.array(v.ravel()), pa.array(np.repeat(size, len(pcts)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in by), *cols], names=[*by, "pct", "value", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in by), *cols, b.column("ends").take(row)], names=[*by, "pct", "value", "n", "ends"])
 
-    return digest.select(*by, "nodes", "counts").mapInArrow(run, f"{kinds}, pct int, value double, n bigint")
+    return digest.select(*by, "nodes", "counts", "ends").mapInArrow(run, f"{kinds}, pct int, value double, n bigint, ends bigint")
 
 
 MEASURES = ("height", "crown_area")
@@ -195,9 +199,9 @@ def _named(df: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
 
 
 def p1_percentiles(trees: DataFrame, classes: DataFrame, pcts: Sequence[int] = (10, 25, 50, 75, 90, 99)) -> DataFrame:
-    """All percentiles: batch_id (null: over all batches), tree_class, measure, pct, value, n."""
+    """All percentiles: batch_id (null: over all batches), tree_class, measure, pct, value, n, ends."""
     own, every = batch_percentiles(trees, classes, pcts)
-    return _named(own.unionByName(every.withColumn("batch_id", F.lit(None).cast(own.schema["batch_id"].dataType))), classes, "pct", "value", "n")
+    return _named(own.unionByName(every.withColumn("batch_id", F.lit(None).cast(own.schema["batch_id"].dataType))), classes, "pct", "value", "n", "ends")
 
 
 def p1_found(trees: DataFrame, classes: DataFrame, least: int = 100, low: float = 0.6, high: float = 1.7) -> DataFrame:
@@ -210,3 +214,10 @@ def p1_found(trees: DataFrame, classes: DataFrame, least: int = 100, low: float
     both = own.where((F.col("n") >= least) & F.col("batch_id").isNotNull()).join(every.select("tree", "measure", "pct", F.col("value").alias("whole")), ["tree", "measure", "pct"])
     ratio = F.col("value") / F.col("whole")
     return _named(both.where((ratio <= low) | (ratio >= high)), classes, "pct")
+
+
+def p1_counts(trees: DataFrame, classes: DataFrame) -> DataFrame:
+    """batch_id, tree_class, measure, n, whole: values in each batch's digest and in the class's merged one."""
+    own, every = batch_percentiles(trees, classes, (50,))
+    both = own.join(every.select("tree", "measure", F.col("n").alias("whole")), ["tree", "measure"])
+    return _named(both, classes, "n", "whole")

@@ -149,3 +149,11 @@ def p2_report(data: DataFrame, targets: DataFrame, classes: DataFrame) -> DataFr
 def p2_found(data: DataFrame, targets: DataFrame, classes: DataFrame) -> DataFrame:
     """training_set, seg_class of the targets that the rows there are can't fill."""
     return p2_report(data, targets, classes).where(F.col("reason") == "availability").select("training_set", "seg_class")
+
+
+def p2_totals(data: DataFrame, targets: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
+    """training_set, quota, sampled: rows of each set's sample as planned and as drawn."""
+    e = materialize(eligible(data, classes), "p2-eligible")
+    plan = materialize(quota_plan(_counts(e), targets), "p2-plan")
+    drawn = smallest_keys(e, plan, ["training_set", "seg_class"], "fid", seed).groupBy("training_set").agg(F.count(F.lit(1)).alias("sampled"))
+    return plan.groupBy("training_set").agg(F.sum("quota").alias("quota")).join(drawn, "training_set", "left").select("training_set", "quota", F.coalesce("sampled", F.lit(0)).alias("sampled"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.stage import materialize
+
 #: White space between terms, as a Java pattern: ASCII and Unicode spaces, controls that separate, next line.
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
@@ -38,9 +40,10 @@ def term_counts(fields: Sequence[tuple[str, DataFrame, str]], rare: int = 2, com
     # one marker a record, a null term, carries the number of records that have terms
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n")))
     flat = rows.select("field", F.explode(F.concat(marker, each)).alias("e")).select("field", "e.term", "e.n")
-    counts = flat.groupBy("field", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
+    # written, as both the terms and the markers' totals are read from it: the input is scanned once
+    counts = materialize(flat.groupBy("field", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records")), "terms")
     # as many rows as fields
-    total = F.broadcast(flat.where(F.col("term").isNull()).groupBy("field").agg(F.count(F.lit(1)).alias("of")))
+    total = F.broadcast(counts.where(F.col("term").isNull()).select("field", F.col("records").alias("of")))
     out = counts.where(F.col("term").isNotNull()).join(total, "field")
     return out.select("field", "term", "occurrences", "records", (F.col("records") <= rare).alias("is_rare"), (F.col("records") >= F.lit(common) * F.col("of")).alias("is_common"))
 

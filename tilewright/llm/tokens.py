@@ -435,6 +435,26 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     return spread(df.select(key, F.col(text).cast("string").alias("_text")), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``key`` and ``text`` of lists of ids; null and empty lists give empty texts, ids that the vocabulary lacks are an error."""
+    path = path or default_vocabulary()
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        token = {int(v.ids[t]): raw for raw, t in v.number.items()}
+        for b in batches:
+            texts = [b"".join(map(token.__getitem__, x or ())).decode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
+def p6_texts(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, text: what the ids of each document stand for, which is its text."""
+    return decoded(encoded(documents, path=path), path=path)
+
+
 def p6_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids: one row a document."""
     return encoded(documents, path=path)
