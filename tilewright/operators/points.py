@@ -50,6 +50,11 @@ def footprints(points: DataFrame) -> DataFrame:
     return points.groupBy("filename").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"), F.count(F.lit(1)).alias("n"))
 
 
+def write_footprints(points: DataFrame, path: str) -> None:
+    """The footprints of the files as Parquet, over what was there."""
+    footprints(points).write.mode("overwrite").parquet(path)
+
+
 def indexed(points: DataFrame, width: float, partitions: int) -> DataFrame:
     """Points in ranges of cells, sorted by cell inside: written so, row-group statistics prune bounds."""
     return cell(points, width).repartitionByRange(partitions, "px", "py").sortWithinPartitions("px", "py")

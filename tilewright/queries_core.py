@@ -169,6 +169,7 @@ QUERIES = {
     "band_range": lambda s, d: raster.band_range(fixture(s, d, "fx_pixels"), ["r", "g", "b", "ir", "chm"]),
     "to_rts": lambda s, d: _rounded(raster.resampled(fixture(s, d, "fx_pixels"), ["r", "ir"], (0, 0, 1), (0, 0, 2), (0, 0, 100, 50)), "r", "ir"),
     "to_rts_cubic": lambda s, d: _rounded(raster.resampled(fixture(s, d, "fx_pixels"), ["r"], (0, 0, 1), (0, 0, 2), (0, 0, 100, 50), "cubic"), "r"),
+    "to_rts_tiles": lambda s, d: _rounded(raster.ingested(fixture(s, d, "fx_pixels"), ["r", "ir"], (0, 0, 1), _scheme(s), 2.0, done=_scheme(s).where("row = 2")), "r", "ir"),
     # registry, definition and change of data
     "tile_queue": lambda s, d: tiles.tile_queue(table(s, d, "tile_reg"), fixture(s, d, "fx_registry"), "spec"),
     "tile_queue_overwrite": lambda s, d: tiles.tile_queue(table(s, d, "tile_reg"), fixture(s, d, "fx_registry"), "spec", True, ["R1C1", "R2C2"]),
@@ -388,6 +389,10 @@ _SQL = {
     "to_rts": """WITH w AS (SELECT t.px, t.py, p.r, p.ir, greatest(1 - abs((2 * t.px + 1) - (p.px + CAST(0.5 AS DOUBLE))), 0) * greatest(1 - abs((2 * t.py + 1) - (p.py + CAST(0.5 AS DOUBLE))), 0) AS w
 FROM (SELECT CAST(a.range AS INTEGER) AS px, CAST(b.range AS INTEGER) AS py FROM range(100) a, range(50) b) t JOIN fx_pixels p ON p.px BETWEEN 2 * t.px AND 2 * t.px + 1 AND p.py BETWEEN 2 * t.py AND 2 * t.py + 1)
 SELECT px, py, round(sum(r * w) / sum(w), 6) AS r, round(sum(ir * w) / sum(w), 6) AS ir FROM w WHERE w > 0 GROUP BY px, py""",
+    "to_rts_tiles": f"""WITH t AS ({_SCHEME}), w AS (SELECT c.px, c.py, p.r, p.ir, greatest(1 - abs((2 * c.px + 1) - (p.px + CAST(0.5 AS DOUBLE))), 0) * greatest(1 - abs((2 * c.py + 1) - (p.py + CAST(0.5 AS DOUBLE))), 0) AS w
+FROM (SELECT CAST(a.range AS INTEGER) AS px, CAST(b.range AS INTEGER) AS py FROM range(-1, 101) a, range(-1, 51) b) c JOIN fx_pixels p ON p.px BETWEEN 2 * c.px AND 2 * c.px + 1 AND p.py BETWEEN 2 * c.py AND 2 * c.py + 1),
+v AS (SELECT px, py, round(sum(r * w) / sum(w), 6) AS r, round(sum(ir * w) / sum(w), 6) AS ir FROM w WHERE w > 0 GROUP BY px, py)
+SELECT t.tile_name, v.px, v.py, v.r, v.ir FROM v JOIN t ON 2 * v.px + 1 >= ox AND 2 * v.px + 1 < ox2 AND 2 * v.py + 1 >= oy AND 2 * v.py + 1 < oy2 WHERE t.row_no <> 2""",
     "to_rts_cubic": f"""WITH d AS (SELECT t.px, t.py, p.r, abs((2 * t.px + 1) - (p.px + CAST(0.5 AS DOUBLE))) AS dx, abs((2 * t.py + 1) - (p.py + CAST(0.5 AS DOUBLE))) AS dy
 FROM (SELECT CAST(a.range AS INTEGER) AS px, CAST(b.range AS INTEGER) AS py FROM range(100) a, range(50) b) t JOIN fx_pixels p ON p.px BETWEEN 2 * t.px - 1 AND 2 * t.px + 2 AND p.py BETWEEN 2 * t.py - 1 AND 2 * t.py + 2),
 w AS (SELECT px, py, r, ({_CUBIC.format(d="dx")}) * ({_CUBIC.format(d="dy")}) AS w FROM d)

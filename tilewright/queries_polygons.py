@@ -72,6 +72,7 @@ QUERIES = {
     "vts_poly_to_ras": lambda s, d: spatial.rasterized(segments(s, d).select("tile_name", F.col("fid").alias("poly_id"), *ANY).where("tile_name IS NOT NULL")),
     "vts_training_extract": _extract,
     "vts_class_edits": _fold,
+    "vts_coverage": lambda s, d: spatial.uncovered_area(segments(s, d).select(*ANY), boundary(s), 10.0),
     # points near points, and in regions
     "p4_found": lambda s, d: proximity.p4_found(table(s, d, "training_points"), table(s, d, "seg_vts"), table(s, d, "tile_reg")),
     "vts_final_trees": lambda s, d: canopy.final_trees(segments(s, d), "class_1", table(s, d, "class_table"), boundary(s), ["fid"]),
@@ -137,6 +138,10 @@ met AS (SELECT n.a, n.b FROM near n JOIN {a}_e p ON p.id = n.a AND p.x2 IS NOT N
 _LABEL = "SELECT s.fid, c.code AS seg_class FROM seg_row s JOIN seg_b USING (id) LEFT JOIN class_table c ON s.class_1 = c.id"
 _EDGE = ", ".join(f"({x} - 400000, {y} - 5200000, {x2} - 400000, {y2} - 5200000)" for (x, y), (x2, y2) in zip(BOUNDARY, (*BOUNDARY[1:], BOUNDARY[0]), strict=True))
 
+_BD = f"""bd_e AS (SELECT 0 AS id, x + 400000 AS x, y + 5200000 AS y, x2 + 400000 AS x2, y2 + 5200000 AS y2 FROM (VALUES {_EDGE}) AS v(x, y, x2, y2)),
+bd_v AS (SELECT 0 AS id, 1 AS ring, CASE WHEN x = {BOUNDARY[0][0]} THEN 0 ELSE 1 END AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM bd_e),
+bd_b AS (SELECT 0 AS id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM bd_e)"""
+
 
 def _clipped(src: str, name: str, axis: str, limit: str, op: str) -> str:
     """Ring lists l with what is beyond a limit cut off, vertex by vertex."""
@@ -195,10 +200,14 @@ SELECT l.fid, CASE WHEN e.steps IS NULL THEN l.seg_class ELSE list_reduce(e.step
 SELECT 'near' AS relation, a.fid AS key_a, CAST(b.fid AS VARCHAR) AS key_b FROM pt a JOIN pt b ON a.fid < b.fid AND b.x BETWEEN a.x - 2 AND a.x + 2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4
 UNION ALL SELECT 'segment', fid, CAST(seg AS VARCHAR) FROM hit
 UNION ALL SELECT 'tile', p.fid, t.tile_name FROM pt p JOIN pt_row r USING (fid) JOIN tile_reg t ON p.x >= t.minx AND p.x < t.maxx AND p.y >= t.miny AND p.y < t.maxy WHERE r.tile_name IS DISTINCT FROM t.tile_name""",
+    "vts_coverage": f"""WITH {_SEG},
+{_BD},
+k AS (SELECT px * 10 + CAST(5 AS DOUBLE) AS x, py * 10 + CAST(5 AS DOUBLE) AS y, px, py FROM (SELECT *, unnest(range(CAST(floor(miny / 10) AS BIGINT), CAST(ceil(maxy / 10) AS BIGINT))) AS py FROM (SELECT *, unnest(range(CAST(floor(minx / 10) AS BIGINT), CAST(ceil(maxx / 10) AS BIGINT))) AS px FROM bd_b))),
+area AS (SELECT k.px, k.py FROM k JOIN bd_e e ON (e.y > k.y) <> (e.y2 > k.y) GROUP BY k.px, k.py HAVING sum(CASE WHEN {_inside("k", "e")} THEN 1 ELSE 0 END) % 2 = 1),
+full_ AS (SELECT k.px, k.py, b.id FROM k JOIN seg_b b ON k.x BETWEEN b.minx AND b.maxx AND k.y BETWEEN b.miny AND b.maxy JOIN seg_e e ON e.id = b.id AND e.x2 IS NOT NULL GROUP BY k.px, k.py, b.id HAVING sum(CASE WHEN {_inside("k", "e")} THEN 1 ELSE 0 END) % 2 = 1)
+SELECT CAST(count(*) * 100 AS DOUBLE) AS area FROM area a WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.px = a.px AND f.py = a.py)""",
     "vts_final_trees": f"""WITH {_SEG},
-bd_e AS (SELECT 0 AS id, x + 400000 AS x, y + 5200000 AS y, x2 + 400000 AS x2, y2 + 5200000 AS y2 FROM (VALUES {_EDGE}) AS v(x, y, x2, y2)),
-bd_v AS (SELECT 0 AS id, 1 AS ring, CASE WHEN x = {BOUNDARY[0][0]} THEN 0 ELSE 1 END AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM bd_e),
-bd_b AS (SELECT 0 AS id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM bd_e),
+{_BD},
 {_met("bd", "seg")}
 SELECT DISTINCT s.fid, s.height, s.crown_area, c.label AS class FROM met m JOIN seg_row s ON s.fid = m.b JOIN class_table c ON c.id = s.class_1 WHERE c.label IS NOT NULL""",
 }
