@@ -132,3 +132,37 @@ def test_greedy_assignment():
     sizes = np.array([50.0, 30, 10, 10])
     split = g.assigned(sizes, sizes[:, None], np.array([100.0]), np.array([0.5, 0.3, 0.2]))
     assert split.tolist() == [0, 1, 2, 2]
+
+
+def test_split_of_many_rare_strata(spark):
+    # 400 pairs of class and set, most of them with a few rows: what one gives too much to a split is made up for by others
+    rng = np.random.default_rng(8)
+    rows = []
+    while len(rows) < 12_000:
+        at, n = len(rows), int(rng.choice([1, 2, 3, 30], p=[0.6, 0.2, 0.15, 0.05]))
+        s, c = int(rng.zipf(1.5)) % 20 + 1, "ABCDEFGHIJKLMNOPQRST"[int(rng.zipf(1.5)) % 20]
+        rows += [(at + j, at, 1, s, None, c) for j in range(n)]
+    got = g.p3_split(rows_of(spark, rows)).toPandas()
+    of = {r[0]: (r[5], r[3]) for r in rows}
+    got = got.assign(cls=got.row_id.map(lambda i: of[i][0]), set=got.row_id.map(lambda i: of[i][1]))
+    for name, share in {"train": 0.8, "validation": 0.1, "test": 0.1}.items():
+        assert abs((got.split == name).mean() - share) < 0.01
+        for by in ("cls", "set"):
+            part = (got.split == name).groupby(got[by]).agg(["mean", "count"])
+            assert (part["mean"] - share).abs()[part["count"] > 1000].max() < 0.01
+    assert [tuple(r) for r in g.p3_checks(rows_of(spark, rows)).collect()] == [(len(rows), got.group_id.nunique(), 0, True)]
+
+
+def test_raking_meets_sums():
+    rng = np.random.default_rng(9)
+    shares = np.array([0.8, 0.1, 0.1])
+    n = rng.integers(1, 40, 60)
+    cls, sets = rng.integers(0, 6, 60), rng.integers(0, 5, 60)
+    lack = shares[:, None] * n
+    # the first split has too much of some strata already
+    lack[0, :5] -= n[:5]
+    need = g._raked(lack, [cls, sets, np.zeros(60, int)], shares)
+    assert np.allclose(need.sum(0), 1) and (need >= 0).all()
+    got = need * np.maximum(lack.sum(0), 0)
+    assert np.allclose(got.sum(1), lack.clip(0).sum(1) * lack.sum() / lack.clip(0).sum(), rtol=0.25)
+    assert g._raked(np.zeros((3, 4)), [np.zeros(4, int)], shares).tolist() == np.repeat(shares[:, None], 4, 1).tolist()

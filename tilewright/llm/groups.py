@@ -198,6 +198,30 @@ def _targets(n: np.ndarray, need: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.diff(edge, axis=0, prepend=0)
 
 
+def _raked(lack: np.ndarray, of: list[np.ndarray], shares: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Each split's part (rows) of what is left of each stratum (columns).
+
+    In proportion to what the splits lack of the stratum. A split that has too
+    much of one stratum already would get too much in all, so parts are scaled
+    in turn until what the splits get of the strata of each set and each class
+    (``of``: lists of the number of each stratum's) is what they lack of it.
+    Where a split has too much of a whole set or class, as of a group too large
+    for it, nothing is scaled: others keep their shares.
+    """
+    rest = np.maximum(lack.sum(0), 0)
+    # a little of everything, so that scaling can move it
+    m = np.maximum(lack, 0) + 0.02 * shares[:, None] * rest
+    for _ in range(rounds):
+        for k in of:
+            want, have = (np.stack([np.bincount(k, r) for r in x]) for x in (lack, m))
+            can = (have > 0) & (want >= 0).all(0)
+            m *= np.divide(want, have, out=np.ones_like(have), where=can)[:, k]
+        total = m.sum(0)
+        m *= np.divide(rest, total, out=np.zeros_like(rest), where=total > 0)
+    total = m.sum(0)
+    return np.where(total > 0, m / np.where(total > 0, total, 1), shares[:, None])
+
+
 def _placed(counts: DataFrame, tasks: int, strata: np.ndarray, need: np.ndarray, seed: int) -> DataFrame:
     """``counts`` with the number of their group's split, and ``first`` on one row of each group. ``need`` has the splits' parts of what is left of each of the ``strata``."""
     shared = counts.sparkSession.sparkContext.broadcast((strata, need))
@@ -241,8 +265,8 @@ def p3_split(data: DataFrame, proportions: Mapping[str, float] | None = None, se
     by size, those within one stratum after the others. A tier is dealt out to tasks in ranges of the stratum that most of
     a group's rows are in; each task divides its rows of a stratum as the splits
     then lack rows of that stratum, so smaller groups make up for what larger
-    ones are off. The driver holds
-    what each split has of each stratum, and no groups.
+    ones are off, in their strata, sets and classes. The driver
+    holds what each split has of each stratum, and no groups.
     """
     proportions = dict(proportions or {"train": 0.8, "validation": 0.1, "test": 0.1})
     names, shares = list(proportions), np.array(list(proportions.values()), float)
@@ -262,14 +286,13 @@ def p3_split(data: DataFrame, proportions: Mapping[str, float] | None = None, se
     single = (F.count(F.lit(1)).over(Window.partitionBy("group_id")) == 1).cast("int")
     counts = materialize(counts.withColumn("tier", 2 * tier + single), "p3-counts")
     tasks = {r.tier: -(-r.n // per_task) for r in counts.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_rows = counts.groupBy("stratum").agg(F.sum("n").alias("n")).toPandas().sort_values("stratum")
+    all_rows = counts.groupBy("stratum", "set", "class").agg(F.sum("n").alias("n")).toPandas().sort_values("stratum")
     strata = all_rows["stratum"].to_numpy(np.int64)
+    of = [np.unique(all_rows[c], return_inverse=True)[1] for c in ("set", "class")]
     lack = shares[:, None] * all_rows["n"].to_numpy(float)[None, :]
     done = []
     for k in sorted(tasks):
-        need = np.maximum(lack, 0)
-        need = np.where(need.sum(0) > 0, need, shares[:, None])
-        done.append(materialize(_placed(counts.where(F.col("tier") == k), tasks[k], strata, need / need.sum(0), seed + k), f"p3-tier-{k}"))
+        done.append(materialize(_placed(counts.where(F.col("tier") == k), tasks[k], strata, _raked(lack, of, shares), seed + k), f"p3-tier-{k}"))
         held = done[-1].groupBy("stratum", "split").agg(F.sum("n").alias("n")).toPandas()
         lack[held["split"].to_numpy(np.int64), np.searchsorted(strata, held["stratum"].to_numpy(np.int64))] -= held["n"].to_numpy(float)
     rows = g.select("row_id", "group_id")
