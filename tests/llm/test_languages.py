@@ -104,3 +104,18 @@ def test_language_with_long_texts_only(spark):
     assert all(len(r.t) <= 1000 and set(lg.paragraphs(r.t)) <= set(lg.paragraphs(r.text)) for r in got)
     one = spark.createDataFrame([("x" * 50, "x" * 20), ("a\n\n" + "b" * 50, "a")], "text string, want string")
     assert all(r.t == r.want for r in one.select(lg.sample_text("text", 20).alias("t"), "want").collect())
+
+
+def test_sample_is_the_smallest_hashes_whatever_is_short(spark):
+    # almost all texts of one language are too short, so its sample is looked for in more and more rows
+    long = {"en": "the quick brown fox jumps over the lazy dog and runs away " * 3, "de": "der schnelle braune Fuchs springt über den faulen Hund und rennt " * 3}
+    rows = [(i, long["de"] if i % 100 == 0 else "kurz", "de") for i in range(4000)] + [(10_000 + i, long["en"], "en") for i in range(300)] + [(20_000, long["en"], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit, lg.fit = lg.fit, lambda texts, labels: seen.append((texts, labels))
+    try:
+        lg.fitted(df, docs=20)
+    finally:
+        lg.fit = fit
+    texts, labels = seen[0]
+    assert labels == ["de"] * 20 + ["en"] * 20 and set(texts) == set(long.values())

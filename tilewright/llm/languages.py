@@ -11,6 +11,7 @@ the corpus; every whole paragraph of every document is scored with it in numpy.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ MIN_LETTERS = 80
 SIZES, BITS = (1, 2, 3, 4), 16
 #: The training sample: so many documents a label at most, the ones with the smallest hashes of doc_id, of each the first paragraphs up to so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 8_000
+#: Different hashes of doc_id.
+_HASHES = 1 << 30
 #: Refits on the model's own labels of the sample's paragraphs, and the count added to every bucket.
 ROUNDS, SMOOTHING = 4, 0.02
 #: Characters scored at a time.
@@ -180,15 +183,22 @@ def sample_text(text: str, chars: int) -> Column:
 
 def fitted(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of at most ``docs`` documents of each language that documents.lang names, whole paragraphs of each up to ``chars`` characters."""
-    text = F.col("text").cast("string")
-    some = documents.where(F.length(text) >= MIN_LETTERS).select("doc_id", text.alias("text"), named_language(F.col("lang")).alias("_lang"), F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)).alias("_h"))
-    n = {r._lang: r.n for r in some.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect() if r._lang is not None}
-    # so few rows reach the ranking that it's small however many a label has
-    limit = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, 3 * docs / v) * (1 << 30))))), F.col("_lang")) if n else F.lit(0)
-    # of long texts, whole paragraphs up to the budget, else the start of the first one
-    some = some.where(F.col("_lang").isNotNull() & (F.col("_h") < limit)).withColumn("text", sample_text("text", chars))
+    hashed = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(_HASHES))
+    some = documents.select("doc_id", F.col("text").cast("string").alias("text"), named_language(F.col("lang")).alias("_lang"), hashed.alias("_h")).where(F.col("_lang").isNotNull())
+    # labels are counted without a look at texts; so few rows reach the ranking that it's small however many a label has
+    n = {r._lang: r.n for r in some.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = {k: 3 * docs / v for k, v in n.items()}
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "doc_id"))
-    rows = some.withColumn("_r", rank).where(F.col("_r") <= docs).select("doc_id", "_lang", "text").collect()
+    rows: list = []
+    while part:
+        limit = F.element_at(F.create_map(*(F.lit(x) for k, v in part.items() for x in (k, int(min(1.0, v) * _HASHES)))), F.col("_lang"))
+        # of long texts, whole paragraphs up to the budget, else the start of the first one
+        few = some.where((F.col("_h") < limit) & (F.length("text") >= MIN_LETTERS)).withColumn("text", sample_text("text", chars))
+        got = few.withColumn("_r", rank).where(F.col("_r") <= docs).select("doc_id", "_lang", "text").collect()
+        have = Counter(r._lang for r in got)
+        # labels whose texts are mostly too short are looked for among more rows
+        part = {k: 20 * v for k, v in part.items() if v < 1 and have[k] < docs}
+        rows += [r for r in got if r._lang not in part]
     rows.sort(key=lambda r: (r._lang, r.doc_id))
     return fit([r.text for r in rows], [r._lang for r in rows])
 
