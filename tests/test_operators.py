@@ -274,7 +274,9 @@ def test_forest_on_separable_data(spark, tmp_path):
     got = classify.predicted(df.withColumnRenamed("seg_class", "seen"), m)
     assert got.where("seen = seg_class").count() > 590
     acc = classify.monte_carlo_accuracy(df, ["spec_a", "spec_b"], {"tree": ["C", "D"], "other": ["E"]}, iterations=2, trees=10).toPandas()
-    assert (acc.pcc > 0.95).all() and (acc.kappa > 0.9).all()
+    assert len(acc) == 2 and (acc.pcc > 0.95).all() and (acc.kappa > 0.9).all()
+    of = {r.seg_class: r for r in classify.monte_carlo_classes(df, ["spec_a", "spec_b"], {"tree": ["C", "D"], "other": ["E"], "none": ["X"]}, iterations=2, trees=10).collect()}
+    assert of["tree"].users > 0.95 and of["other"].producers > 0.95 and of["none"].users is None
 
 
 def test_classifier_of_chosen_sets(spark):
@@ -356,6 +358,11 @@ def test_accuracy_by_hand(spark):
     assert r.pcc == pytest.approx(0.85) and r.kappa == pytest.approx(0.7) and r.sensitivity == pytest.approx((0.8 + 0.9) / 2)
     c = {x.seg_class: (x.users, x.producers) for x in classify.class_accuracy(pairs, ["a", "b", "c"]).collect()}
     assert c["a"] == (pytest.approx(40 / 45), 0.8) and c["c"] == (None, None)
+    two = pairs.withColumn("k", F.lit(1)).unionByName(pairs.where("observed = 'a'").withColumn("k", F.lit(2)))
+    got = {x.k: (x.pcc, x.kappa) for x in classify.accuracy(two, ["a", "b", "c"], ["k"]).collect()}
+    assert got == {1: (pytest.approx(0.85), pytest.approx(0.7)), 2: (pytest.approx(0.8), pytest.approx(0))}
+    none = classify.accuracy(pairs.limit(0), ["a", "b"]).collect()
+    assert [tuple(x) for x in none] == [(None, None, None, None)]
 
 
 def test_empty_layers(spark):

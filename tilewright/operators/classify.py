@@ -166,48 +166,65 @@ def training_summary(data: DataFrame, reclass: Mapping[str, Sequence[str]]) -> D
     return data.groupBy(regrouped("seg_class", reclass).alias("seg_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def accuracy(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """One row: pcc, kappa, and the means of sensitivity and specificity over ``classes``, NaN ignored. ``pairs`` is (observed, elected)."""
-    k = confusion(pairs)
-    m = _margins(k, classes)
-    n = F.sum("tp_n").alias("right")
-    return m.agg(n, F.max("total").alias("total"), F.sum(F.col("obs") * F.col("ele")).alias("chance"), F.avg(F.try_divide("tp_n", "obs")).alias("sensitivity"), F.avg(F.try_divide(F.col("total") - F.col("obs") - F.col("ele") + F.col("tp_n"), F.col("total") - F.col("obs"))).alias("specificity")).select(
-        F.try_divide("right", "total").alias("pcc"),
-        F.try_divide(F.col("right") / F.col("total") - F.col("chance") / (F.col("total") * F.col("total")), 1 - F.col("chance") / (F.col("total") * F.col("total"))).alias("kappa"),
-        "sensitivity", "specificity",
-    )
+def accuracy(pairs: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """pcc, kappa, and the means of sensitivity and specificity over ``classes``, NaN ignored: one row, or one for each value of ``by``. ``pairs`` is (``by``, observed, elected)."""
+    return _accuracy(confusion(pairs, by), classes, by)
 
 
-def class_accuracy(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """User's and producer's accuracy of each class; null where there is nothing to divide by."""
-    return _margins(confusion(pairs), classes).select("seg_class", F.try_divide("tp_n", "ele").alias("users"), F.try_divide("tp_n", "obs").alias("producers"))
+def _accuracy(k: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    m = _margins(k, classes, by)
+    total, chance = F.col("total"), F.col("chance")
+    sums = m.groupBy(*by).agg(F.sum("tp_n").alias("right"), F.max("total").alias("total"), F.sum(F.col("obs") * F.col("ele")).alias("chance"), F.avg(F.try_divide("tp_n", "obs")).alias("sensitivity"), F.avg(F.try_divide(total - F.col("obs") - F.col("ele") + F.col("tp_n"), total - F.col("obs"))).alias("specificity"))
+    return sums.select(*by, F.try_divide("right", "total").alias("pcc"), F.try_divide(F.try_divide(F.col("right"), total) - F.try_divide(chance, total * total), 1 - F.try_divide(chance, total * total)).alias("kappa"), "sensitivity", "specificity")
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("observed", "elected").agg(F.count(F.lit(1)).cast("double").alias("n"))
+def class_accuracy(pairs: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """User's and producer's accuracy of each class, and of each value of ``by``; null where there is nothing to divide by."""
+    return _class_accuracy(confusion(pairs, by), classes, by)
 
 
-def _margins(k: DataFrame, classes: Sequence[str]) -> DataFrame:
-    spark = k.sparkSession
-    c = spark.createDataFrame([(x,) for x in classes], "seg_class string")
+def _class_accuracy(k: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return _margins(k, classes, by).select(*by, "seg_class", F.try_divide("tp_n", "ele").alias("users"), F.try_divide("tp_n", "obs").alias("producers"))
+
+
+def confusion(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return pairs.groupBy(*by, "observed", "elected").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def _margins(k: DataFrame, classes: Sequence[str], by: Sequence[str]) -> DataFrame:
+    by = list(by)
     flat = k.where(F.col("observed").isin(list(classes)) & F.col("elected").isin(list(classes)))
-    part = flat.select(F.explode(F.array(F.struct(F.col("observed").alias("seg_class"), F.col("n").alias("obs"), F.lit(0.0).alias("ele"), F.when(F.col("observed") == F.col("elected"), F.col("n")).otherwise(0.0).alias("tp_n")), F.struct(F.col("elected").alias("seg_class"), F.lit(0.0).alias("obs"), F.col("n").alias("ele"), F.lit(0.0).alias("tp_n")))).alias("e")).select("e.*")
-    s = part.groupBy("seg_class").agg(*(F.sum(x).alias(x) for x in ("obs", "ele", "tp_n")))
-    return c.join(F.broadcast(s), "seg_class", "left").fillna(0.0).withColumn("total", F.coalesce(flat.agg(F.sum("n")).scalar(), F.lit(0.0)))
+    zero, right = F.lit(0.0), F.when(F.col("observed") == F.col("elected"), F.col("n")).otherwise(0.0)
+    sides = F.array(F.struct(F.col("observed").alias("seg_class"), F.col("n").alias("obs"), zero.alias("ele"), right.alias("tp_n")), F.struct(F.col("elected").alias("seg_class"), zero.alias("obs"), F.col("n").alias("ele"), zero.alias("tp_n")))
+    s = flat.select(*by, F.explode(sides).alias("e")).select(*by, "e.*").groupBy(*by, "seg_class").agg(*(F.sum(x).alias(x) for x in ("obs", "ele", "tp_n")))
+    every = flat.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("total")).withColumn("seg_class", F.explode(F.array(*map(F.lit, classes))))
+    # as many rows as classes, for each value of ``by``
+    return every.join(s, [*by, "seg_class"], "left").fillna(0.0, ["obs", "ele", "tp_n"])
 
 
-def monte_carlo_accuracy(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], iterations: int = 100, held_out: float = 0.1, trees: int = 1000, seed: int = 1, depth: int = 10) -> DataFrame:
-    """(iteration, pcc, kappa, sensitivity, specificity) of refits on random parts of the rows without nulls; average over iterations for the estimate.
+def monte_carlo(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], iterations: int = 100, held_out: float = 0.1, trees: int = 1000, seed: int = 1, depth: int = 10) -> DataFrame:
+    """(iteration, observed, elected, n): confusion counts, of regrouped classes, of refits on random parts of the rows without nulls.
 
-    Rows are held out by a hash of ``row_id`` and the iteration.
+    Rows are held out by a hash of ``row_id`` and the iteration. An iteration
+    ends with its counts, classes squared, on the driver; no plan grows with
+    the number of iterations.
     """
     codes = [c for v in reclass.values() for c in v]
-    d = data.where(F.col("seg_class").isin(codes)).na.drop("any", subset=["seg_class", *predictors])
-    out = None
+    d = materialize(data.where(F.col("seg_class").isin(codes)).na.drop("any", subset=["seg_class", *predictors]).select("row_id", "seg_class", *predictors), "monte-carlo")
+    rows: list[tuple[int, str, str, float]] = []
     for i in range(iterations):
         at = F.pmod(F.xxhash64(F.lit(seed * 100_003 + i), F.col("row_id")), F.lit(1_000_000)) < int(held_out * 1_000_000)
         m = forest(d.where(~at), predictors, trees=trees, seed=seed + i, depth=depth)
-        v = predicted(d.where(at).withColumnRenamed("seg_class", "_seen"), m)
-        a = accuracy(v.select(regrouped("_seen", reclass).alias("observed"), regrouped("seg_class", reclass).alias("elected")), list(reclass)).withColumn("iteration", F.lit(i))
-        out = a if out is None else out.unionByName(a)
-    return out
+        v = predicted(d.where(at).withColumnRenamed("seg_class", "_seen"), m).select(regrouped("_seen", reclass).alias("observed"), regrouped("seg_class", reclass).alias("elected"))
+        rows += [(i, r.observed, r.elected, r.n) for r in confusion(v).collect()]
+    return data.sparkSession.createDataFrame(rows, "iteration int, observed string, elected string, n double")
+
+
+def monte_carlo_accuracy(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], **more) -> DataFrame:
+    """(iteration, pcc, kappa, sensitivity, specificity) of :func:`monte_carlo`; average over iterations for the estimate."""
+    return _accuracy(monte_carlo(data, predictors, reclass, **more), list(reclass), ["iteration"])
+
+
+def monte_carlo_classes(data: DataFrame, predictors: Sequence[str], reclass: Mapping[str, Sequence[str]], **more) -> DataFrame:
+    """(seg_class, users, producers): means over the iterations in which there is something to divide by."""
+    return _class_accuracy(monte_carlo(data, predictors, reclass, **more), list(reclass), ["iteration"]).groupBy("seg_class").agg(F.avg("users").alias("users"), F.avg("producers").alias("producers"))
