@@ -276,7 +276,7 @@ def test_forest_on_separable_data(spark, tmp_path):
     acc = classify.monte_carlo_accuracy(df, ["spec_a", "spec_b"], {"tree": ["C", "D"], "other": ["E"]}, iterations=2, trees=10).toPandas()
     assert len(acc) == 2 and (acc.pcc > 0.95).all() and (acc.kappa > 0.9).all()
     of = {r.seg_class: r for r in classify.monte_carlo_classes(df, ["spec_a", "spec_b"], {"tree": ["C", "D"], "other": ["E"], "none": ["X"]}, iterations=2, trees=10).collect()}
-    assert of["tree"].users > 0.95 and of["other"].producers > 0.95 and of["none"].users is None
+    assert of["tree"].users > 0.95 and of["other"].producers > 0.9 and of["none"].users is None
 
 
 def test_classifier_of_chosen_sets(spark):
