@@ -160,13 +160,15 @@ def tile_polygons(polys: DataFrame, tiles: DataFrame, key: str, least: float = 1
     """
     t = lambda b: tiles.select("tile_name", f"{b}.*")
     p = materialize(polys.select(key, *_BOX, *_RINGS), "tile-polygons")
+    # which polygon meets which tile is found out by bounds alone; vertices are joined once
     near = boxes_meet(p.select(key, *_BOX), t("buff"))
     within = (F.col("minx") >= F.col("minx_b")) & (F.col("miny") >= F.col("miny_b")) & (F.col("maxx") <= F.col("maxx_b")) & (F.col("maxy") <= F.col("maxy_b"))
     whole = materialize(near.where(within).select(key).distinct(), "tile-whole")
-    cross = boxes_meet(p.join(whole, key, "left_anti"), t("nbuff"), strict=True).select(key, *_RINGS, *(f"{c}_b" for c in _BOX))
+    rest = materialize(p.select(key, *_BOX).join(whole, key, "left_anti"), "tile-rest")
+    cross = boxes_meet(rest, t("nbuff"), strict=True).select(key, *(f"{c}_b" for c in _BOX))
     # a whole polygon is clipped by nothing
     wide = [F.lit(v).alias(f"{c}_b") for c, v in zip(_BOX, (float("-inf"),) * 2 + (float("inf"),) * 2, strict=True)]
-    both = p.join(whole, key, "left_semi").select(key, *_RINGS, *wide).unionByName(cross)
+    both = p.select(key, *_RINGS).join(whole.select(key, *wide).unionByName(cross), key)
     names = [*_BOX, *_RINGS, "area", "x", "y"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,29 +176,38 @@ def tile_polygons(polys: DataFrame, tiles: DataFrame, key: str, least: float = 1
             r = Rings.of(b)
             box = np.column_stack([b.column(f"{c}_b").to_numpy() for c in _BOX])
             whole = np.isinf(box).all(1)
+            plain = whole & (np.bincount(r.ring_row, minlength=b.num_rows) == 1)
+            if plain.any():
+                yield measured(b.select([key, *_RINGS]).filter(pa.array(plain)))
             rows, made = [], []
-            for i in range(b.num_rows):
+            for i in np.flatnonzero(~plain).tolist():
                 rings = r.rings(i)
                 for part in parts(rings if whole[i] else clip(rings, tuple(box[i])), least):
                     rows.append(i)
                     made.append(part)
-            if not made:
-                continue
-            flat = [np.concatenate(m) for m in made]
-            at = np.concatenate(([0], np.cumsum([len(f) for f in flat])))
-            xy = np.concatenate(flat)
-            xs, ys = (pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(xy[:, k]))) for k in (0, 1))
-            ends = pa.array([np.cumsum([len(q) for q in m]).tolist() for m in made], pa.list_(pa.int32()))
-            area, cx, cy = Rings(xs, ys, ends).moments()
-            bounds = [f.reduceat(xy[:, k], at[:-1]) for f in (np.minimum, np.maximum) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), *map(pa.array, bounds), xs, ys, ends, *map(pa.array, (area, cx, cy))], names=[key, *names])
+            if made:
+                flat = [np.concatenate(m) for m in made]
+                at = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in flat]))), pa.int32())
+                xy = np.concatenate(flat)
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(xy[:, k]))) for k in (0, 1)]
+                ends = pa.array([np.cumsum([len(q) for q in m]).tolist() for m in made], pa.list_(pa.int32()))
+                yield measured(pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), *lists, ends], names=[key, *_RINGS]))
+
+    def measured(b: pa.RecordBatch) -> pa.RecordBatch:
+        """With bounds, area and centroid, where there is an area."""
+        r = Rings.of(b)
+        area, cx, cy = r.moments()
+        bounds = [f.reduceat(v, r.first) for f in (np.minimum, np.maximum) for v in (r.x, r.y)]
+        out = pa.RecordBatch.from_arrays([b.column(key), *map(pa.array, bounds), *(b.column(c) for c in _RINGS), *map(pa.array, (area, cx, cy))], names=[key, *names])
+        return out.filter(pa.array(area > least))
 
     kind = polys.schema[key].dataType.simpleString()
     pieces = both.mapInArrow(cut, f"`{key}` {kind}, minx double, miny double, maxx double, maxy double, xs array<double>, ys array<double>, ends array<int>, area double, x double, y double")
     home = t("nbuff").withColumnsRenamed({c: f"_{c}" for c in _BOX})
     at = region_candidates(pieces.withColumnsRenamed({c: f"p_{c}" for c in (*_BOX, *_RINGS)}), home.withColumnsRenamed({f"_{c}": c for c in _BOX}), key)
     at = at.where((F.col("x") < F.col("maxx")) & (F.col("y") < F.col("maxy"))).select("tile_name", key, *(F.col(f"p_{c}").alias(c) for c in (*_BOX, *_RINGS)), "area")
-    return renumbered(at, [key, *_BOX, "area"])
+    # written, as the ranges that rows are numbered by are sampled first
+    return renumbered(materialize(at, "tile-pieces"), [key, *_BOX, "area"])
 
 
 def rasterized(features: DataFrame, width: float = 1.0) -> DataFrame:
