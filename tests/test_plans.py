@@ -1,4 +1,7 @@
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,6 +77,20 @@ def test_stages_end_with_their_scope(spark):
     assert not os.path.exists(df._stage_path)
 
 
+def test_stages_dont_outlive_the_program(tmp_path):
+    code = """
+from tilewright.session import session
+from tilewright.plans import materialize
+s = session("x", "local[1]", **{"spark.ui.enabled": "false", "spark.checkpoint.dir": "%s"})
+df = materialize(s.range(3))
+assert df.count() == 3
+%s
+"""
+    for end in ("", "s.stop()"):
+        subprocess.run([sys.executable, "-c", code % (tmp_path, end)], check=True, timeout=120, cwd=Path(__file__).resolve().parent.parent)
+        assert not list(tmp_path.glob("stage-*"))
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Elsewhere:
         class sparkContext:  # noqa: N801

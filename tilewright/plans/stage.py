@@ -28,6 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scopes: list[list[DataFrame]] = []
+#: Stages that are still there, with the session that wrote them.
+_there: dict[str, SparkSession] = {}
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """Stages don't outlive the program: nothing can read them any more."""
+    for path, spark in list(_there.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # noqa: BLE001
+            # the session's machine has gone already, and what it kept with it
+            return
 
 
 @contextmanager
@@ -54,6 +72,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    _there[path] = df.sparkSession
     if _scopes:
         _scopes[-1].append(out)
     return out
@@ -62,7 +81,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete the files of a materialized DataFrame that nothing will read any more."""
     path = getattr(df, "_stage_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if path and _there.pop(path, None):
+        _delete(path, df.sparkSession)
